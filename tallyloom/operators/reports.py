@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import fixed
 from . import stats as ST
@@ -47,15 +47,17 @@ def briefing(artifacts: DataFrame, repairs: DataFrame, reviews: DataFrame) -> Da
 
 def report_lines(labels: DataFrame, totals: DataFrame) -> DataFrame:
     """The failure report as ordered text lines; both inputs are small aggregates."""
+    def line(part: int, tie: str, text) -> Column:
+        return F.struct(
+            F.lit(part).alias("part"), F.lit(0).cast("long").alias("weight"), F.lit(tie).alias("tie"), text.alias("line")
+        )
+
     head = totals.select(
         F.inline(
             F.array(
-                F.struct(F.lit(0).alias("part"), F.lit(0).cast("long").alias("weight"), F.lit("").alias("tie"),
-                         F.lit("# Failure report").alias("line")),
-                F.struct(F.lit(1), F.lit(0).cast("long"), F.lit("a"),
-                         F.format_string("- Total: %d, failures: %d", F.col("total"), F.col("failures"))),
-                F.struct(F.lit(1), F.lit(0).cast("long"), F.lit("b"),
-                         F.format_string("- Failure rate: %.4f (95%% CI %.4f to %.4f)", "failure_rate", "ci_low", "ci_high")),
+                line(0, "", F.lit("# Failure report")),
+                line(1, "a", F.format_string("- Total: %d, failures: %d", "total", "failures")),
+                line(1, "b", F.format_string("- Failure rate: %.4f (95%% CI %.4f to %.4f)", "failure_rate", "ci_low", "ci_high")),
             )
         )
     )

@@ -173,7 +173,7 @@ def _(t):
 
 @query(
     "f17_latest_outcomes",
-    "SELECT event_id, key, name, ok FROM outcomes ORDER BY at DESC, event_id DESC LIMIT 80",
+    'SELECT event_id, key, name, ok FROM outcomes ORDER BY "at" DESC, event_id DESC LIMIT 80',
     "outcomes",
 )
 def _(t):

@@ -12,6 +12,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import scores as S
+from ..operators.hold import hold
 
 RAW = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
@@ -465,25 +466,28 @@ class Tables:
 
     @cached_property
     def named(self) -> DataFrame:
-        return self.documents.selectExpr("doc_id", "lang", "text", f"{names_expr(False)} AS n")
+        return hold(self.documents.select("doc_id", "lang", "text"), {"n": F.expr(names_expr(False))})
+
+    def _text(self, df: DataFrame, name: str, expr: str) -> DataFrame:
+        kind = df.selectExpr("doc_id AS artifact_id", f"{TYPE_OF_LANG} AS diagram_type", "doc_id", "n")
+        return hold(kind, {name: F.expr(expr)}, ["artifact_id", "diagram_type"])
 
     @cached_property
     def diagrams(self) -> DataFrame:
-        return self.named.selectExpr(
-            "doc_id AS artifact_id", f"{TYPE_OF_LANG} AS diagram_type",
-            f"{code_expr(False)} AS plantuml_code",
-        )
+        return self._text(self.named, "plantuml_code", code_expr(False))
+
+    @cached_property
+    def spec_names(self) -> DataFrame:
+        return hold(self.named, {"n": F.expr(spec_names_expr(False))}, ["doc_id", "lang"])
 
     @cached_property
     def specs(self) -> DataFrame:
-        picked = self.named.selectExpr("doc_id", "lang", f"{spec_names_expr(False)} AS n")
-        return picked.selectExpr(
-            "doc_id AS artifact_id", f"{TYPE_OF_LANG} AS diagram_type", f"{spec_expr(False)} AS spec_text"
-        )
+        texts = self.spec_names.selectExpr("doc_id AS artifact_id", f"{TYPE_OF_LANG} AS diagram_type", "doc_id", "lang", "n")
+        return hold(texts, {"spec_text": F.expr(spec_expr(False))}, ["artifact_id", "diagram_type"])
 
     @cached_property
     def code_sources(self) -> DataFrame:
-        return self.named.selectExpr("doc_id AS artifact_id", f"{source_expr(False)} AS code")
+        return self._text(self.named, "code", source_expr(False)).drop("diagram_type")
 
     @cached_property
     def replies(self) -> DataFrame:
