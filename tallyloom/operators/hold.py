@@ -16,3 +16,15 @@ def hold(df: DataFrame, columns: dict[str, Column], keep: list[str] | None = Non
     kept = [c for c in (keep if keep is not None else df.columns) if c not in columns]
     values = F.struct(*[c.alias(n) for n, c in columns.items()])
     return df.select(*kept, F.inline(F.array(values)))
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give costly per-row work a task per core where the input arrives in fewer tasks.
+
+    A table already read by at least as many tasks as there are cores is left alone, so a large
+    input never pays for this shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, key)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import fixed
 from ..functions import text as X
+from .hold import hold
 
 # --- fixed values: declaration patterns -------------------------------------------------
 CLASS_DECL = r"(?imd)^\s*(?:abstract\s+)?(?:class|interface|enum|annotation)\s+([A-Za-z_][\w.]*)"
@@ -32,7 +33,8 @@ COLOUR_WORD = (
 )
 
 
-def _body(code: Column) -> Column:
+def body_of(code: Column) -> Column:
+    """The first block without its tags; the name functions below read this."""
     return F.regexp_replace(X.bounded_block(code), r"(?i)@startuml|@enduml", "")
 
 
@@ -40,17 +42,16 @@ def _all(c: Column, pattern: str, group: int = 1) -> Column:
     return F.regexp_extract_all(c, F.lit(pattern), F.lit(group))
 
 
-def class_names(code: Column) -> Column:
-    return _all(_body(code), CLASS_DECL)
+def class_names(body: Column) -> Column:
+    return _all(body, CLASS_DECL)
 
 
-def object_names(code: Column) -> Column:
-    return _all(_body(code), OBJECT_DECL)
+def object_names(body: Column) -> Column:
+    return _all(body, OBJECT_DECL)
 
 
-def component_names(code: Column) -> Column:
+def component_names(body: Column) -> Column:
     """Bracketed or keyword components, first word, odd characters underscored."""
-    body = _body(code)
     picked = F.zip_with(
         _all(body, COMPONENT_DECL, 1), _all(body, COMPONENT_DECL, 2), lambda a, b: F.when(a != "", a).otherwise(b)
     )
@@ -61,21 +62,20 @@ def component_names(code: Column) -> Column:
     return F.filter(first, lambda n: n != "")
 
 
-def package_names(code: Column) -> Column:
-    body = _body(code)
+def package_names(body: Column) -> Column:
     picked = F.zip_with(
         _all(body, PACKAGE_DECL, 1), _all(body, PACKAGE_DECL, 2), lambda a, b: F.when(a != "", a).otherwise(b)
     )
     return F.filter(F.transform(picked, X.strip), lambda n: n != "")
 
 
-def declared_names(code: Column, kind: Column) -> Column:
+def declared_names(body: Column, kind: Column) -> Column:
     """Names a diagram of this kind declares; the caller makes them distinct."""
-    classes = class_names(code)
+    classes = class_names(body)
     return (
-        F.when(kind == "object", F.concat(object_names(code), classes))
-        .when(kind == "component", F.concat(component_names(code), classes))
-        .when(kind == "package", F.concat(package_names(code), classes))
+        F.when(kind == "object", F.concat(object_names(body), classes))
+        .when(kind == "component", F.concat(component_names(body), classes))
+        .when(kind == "package", F.concat(package_names(body), classes))
         .otherwise(classes)
     )
 
@@ -102,15 +102,18 @@ def relation_count(code: Column) -> Column:
 
 def entity_facts(diagrams: DataFrame) -> DataFrame:
     """L1: one row per declared name with its kind and place among its kind."""
-    code = F.col("plantuml_code")
+    bodies = hold(diagrams, {"body": body_of(F.col("plantuml_code"))}, ["artifact_id"])
+    code = F.col("body")
     kinds = [
         ("class", class_names(code)), ("object", object_names(code)),
         ("component", component_names(code)), ("package", package_names(code)),
     ]
-    facts = F.flatten(
-        F.array(*[F.transform(names, lambda n, i, k=k: F.struct(F.lit(k).alias("kind"), n.alias("name"), i.alias("pos"))) for k, names in kinds])
-    )
-    return diagrams.select("artifact_id", F.inline(facts))
+
+    def facts(kind: str, names: Column) -> Column:
+        return F.transform(names, lambda n, i: F.struct(F.lit(kind).alias("kind"), n.alias("name"), i.alias("pos")))
+
+    every = F.flatten(F.array(*[facts(k, names) for k, names in kinds]))
+    return bodies.select("artifact_id", F.inline(every))
 
 
 def entity_frequency(diagrams: DataFrame) -> DataFrame:
@@ -123,26 +126,25 @@ def edge_facts(diagrams: DataFrame) -> DataFrame:
     """Relationship edges between declared names, parents first for inheritance.
 
     Both ends are checked against the names of the same diagram inside the row; nothing is
-    joined or paired.
+    joined or paired, and only lines with a connector leave the row.
     """
     code = F.col("plantuml_code")
-    rows = diagrams.select(
-        "artifact_id",
-        F.map_from_arrays(
-            F.array_distinct(_all(code, ENTITY_DECL)),
-            F.transform(F.array_distinct(_all(code, ENTITY_DECL)), lambda x: F.lit(True)),
-        ).alias("known"),
-        F.posexplode(F.transform(X.lines(code), X.strip)).alias("line_no", "line"),
-    )
-    parts = rows.where((F.col("line") != "") & ~F.col("line").startswith("'")).select(
-        "artifact_id", "known", "line_no",
-        F.regexp_extract("line", EDGE, 1).alias("a"),
-        F.regexp_extract("line", EDGE, 2).alias("op"),
-        F.regexp_extract("line", EDGE, 3).alias("b"),
+    names = hold(diagrams, {"names": F.array_distinct(_all(code, ENTITY_DECL)), "lines": X.lines(code)}, ["artifact_id"])
+    known = hold(
+        names, {"known": F.map_from_arrays("names", F.transform("names", lambda x: F.lit(True)))}, ["artifact_id", "lines"]
     )
-    both = parts.where(
-        (F.col("op") != "") & F.map_contains_key("known", F.col("a")) & F.map_contains_key("known", F.col("b"))
+    edges = F.filter(
+        F.transform(
+            "lines",
+            lambda x, i: F.struct(
+                i.alias("line_no"), X.strip(x).alias("line"), F.regexp_extract(x, EDGE, 1).alias("a"),
+                F.regexp_extract(x, EDGE, 2).alias("op"), F.regexp_extract(x, EDGE, 3).alias("b"),
+            ),
+        ),
+        lambda e: (e["op"] != "") & ~e["line"].startswith("'")
+        & F.map_contains_key("known", e["a"]) & F.map_contains_key("known", e["b"]),
     )
+    both = known.select("artifact_id", F.inline(edges))
     down, up = F.col("op").isin("<|--", "<|.."), F.col("op").isin("--|>", "..|>")
     return both.select(
         "artifact_id", "line_no", "op",
@@ -328,11 +330,10 @@ def flowchart_messages(code: Column) -> Column:
     )
 
 
-def structure_messages(code: Column, kind: Column) -> Column:
-    """L4: what a diagram of its kind must declare."""
-    classes, objects = class_names(code), object_names(code)
-    components, packages = component_names(code), package_names(code)
-    body = _body(code)
+def structure_messages(body: Column, kind: Column) -> Column:
+    """L4: what a diagram of its kind must declare; reads the text without its tags."""
+    classes, objects = class_names(body), object_names(body)
+    components, packages = component_names(body), package_names(body)
     of_class = _messages(
         [
             ("Class diagram has no class/interface/enum declarations", F.size(classes) == 0),
@@ -373,9 +374,18 @@ def type_messages(code: Column, kind: Column) -> Column:
     )
 
 
-def all_messages(code: Column, kind: Column) -> Column:
-    block = X.bounded_block(code)
-    return F.concat(syntax_messages(block), type_messages(block, kind), structure_messages(block, kind))
+def checked(diagrams: DataFrame) -> DataFrame:
+    """L3/L4: the block and the messages of every rule set, each computed once."""
+    blocks = hold(diagrams, {"block": X.bounded_block(F.col("plantuml_code"))})
+    bodies = hold(blocks, {"body": F.regexp_replace("block", r"(?i)@startuml|@enduml", "")})
+    return hold(
+        bodies,
+        {
+            "syntax": syntax_messages(F.col("block")),
+            "typed": type_messages(F.col("block"), F.col("diagram_type")),
+            "rules": structure_messages(F.col("body"), F.col("diagram_type")),
+        },
+    )
 
 
 def rule_counts(diagrams: DataFrame, messages: Column) -> DataFrame:
@@ -419,11 +429,11 @@ def _rewrite(line: Column) -> Column:
     )
 
 
-def first_lines(lines: Column) -> Column:
-    """Drop repeats of a stripped line; blank lines, tags and closers may repeat.
+def keyed_lines(lines: Column) -> Column:
+    """Lines sorted by key and place; lines that may repeat get their place as key.
 
-    Sorted by key and place, a repeat stands right behind its first occurrence: one sort inside
-    the row instead of a search per line, and no shuffle of exploded text.
+    Blank lines, tags and closers may repeat. Sorted, a repeat stands right behind its first
+    occurrence: one sort inside the row instead of a search per line, and no shuffle of text.
     """
     def key(line: Column, i: Column) -> Column:
         s = X.strip(line)
@@ -433,7 +443,11 @@ def first_lines(lines: Column) -> Column:
             i.alias("i"), line.alias("line"),
         )
 
-    ordered = F.array_sort(F.transform(lines, key))
+    return F.array_sort(F.transform(lines, key))
+
+
+def unrepeated(ordered: Column) -> Column:
+    """The first line of every key of :func:`keyed_lines`, in text order."""
     none = F.array(F.lit(None).cast("struct<key:string,i:int,line:string>"))
     marked = F.zip_with(
         ordered, F.concat(none, ordered),
@@ -465,54 +479,55 @@ def without_colours(lines: Column) -> Column:
     return F.filter(bare, lambda x: X.strip(x) != "")
 
 
-def _balanced(code: Column) -> Column:
+def _balanced(code: Column, lines: Column) -> Column:
     """Missing closers go before the end tag; surplus closer lines go from the end."""
     extra = X.count_char(code, "{") - X.count_char(code, "}")
-    closed = F.regexp_replace(code, r"(?i)@enduml", "@enduml")
-    closed = F.replace(closed, F.lit("@enduml"), F.concat(F.repeat(F.lit("}"), F.greatest(extra, F.lit(0))), F.lit("\n@enduml")))
-    lines = X.lines(code)
-    closers = F.filter(
-        F.transform(lines, lambda x, i: F.when(X.strip(x) == "}", i)), lambda i: i.isNotNull()
+    closed = F.replace(
+        code, F.lit("@enduml"), F.concat(F.repeat(F.lit("}"), F.greatest(extra, F.lit(0))), F.lit("\n@enduml"))
     )
+    closers = F.filter(F.transform(lines, lambda x, i: F.when(X.strip(x) == "}", i)), lambda i: i.isNotNull())
     dropped = F.slice(F.reverse(closers), F.lit(1), F.greatest(-extra, F.lit(0)))
-    edge = F.array_min(dropped)
-    trimmed = F.array_join(
-        F.filter(lines, lambda x, i: ~((X.strip(x) == "}") & (i >= F.coalesce(edge, F.lit(2147483647))))), "\n"
-    )
+    trimmed = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(dropped, i)), "\n")
     return F.when(extra > 0, closed).when(extra < 0, trimmed).otherwise(code)
 
 
-def clean_diagram(code: Column, max_lines: int | None = 180) -> Column:
+def cleaned(diagrams: DataFrame, max_lines: int | None = 180) -> DataFrame:
     """Safe, uncoloured, repeat-free text with the publication header.
 
-    ``max_lines`` cuts runaway output; ``None`` keeps every line.
+    ``max_lines`` cuts runaway output; ``None`` keeps every line. Each step is held, so a text
+    passes each pattern once, and all steps run in one stage without a shuffle.
     """
-    block = F.regexp_replace(X.bounded_block(code), r"(?imd)^@(?:startchen|endchen)\b.*$", "")
-    lines = F.transform(X.lines(block), _rewrite)
-    lines = F.transform(
-        F.filter(lines, lambda x: ~is_unsafe(x)),
+    name = "plantuml_code"
+    block = F.regexp_replace(X.bounded_block(F.col(name)), r"(?imd)^@(?:startchen|endchen)\b.*$", "")
+    out = hold(diagrams, {"__lines": X.lines(block)}, [c for c in diagrams.columns if c != name])
+    out = hold(out, {"__lines": F.transform("__lines", _rewrite)})
+    safe = F.transform(
+        F.filter("__lines", lambda x: ~is_unsafe(x)),
         lambda x: F.regexp_replace(x, r"(?i)!(?:include|includeurl|import)\b[^\n]*", ""),
     )
-    lines = F.filter(lines, lambda x, i: (i == 0) | ~F.lower(X.strip(x)).startswith("@startuml"))
-    lines = first_lines(lines)
+    out = hold(out, {"__lines": F.filter(safe, lambda x, i: (i == 0) | ~F.lower(X.strip(x)).startswith("@startuml"))})
+    out = hold(out, {"__lines": keyed_lines(F.col("__lines"))})
+    out = hold(out, {"__lines": unrepeated(F.col("__lines"))})
     if max_lines is not None:
-        cut = F.concat(F.slice(lines, 1, max_lines), F.array(F.lit("@enduml")))
-        lines = F.when(F.size(lines) > max_lines, cut).otherwise(lines)
-    text = X.strip(_balanced(F.array_join(lines, "\n")))
-    bare = F.array_join(without_colours(X.lines(text)), "\n")
+        cut = F.concat(F.slice("__lines", 1, max_lines), F.array(F.lit("@enduml")))
+        out = hold(out, {"__lines": F.when(F.size("__lines") > max_lines, cut).otherwise(F.col("__lines"))})
+    out = hold(out, {"__lines": F.col("__lines"), "__text": F.array_join("__lines", "\n")})
+    out = hold(out, {"__text": _balanced(F.col("__text"), F.col("__lines"))}).drop("__lines")
     header = "\n".join(fixed.PUBLICATION_STYLE)
-    return F.regexp_replace(bare, r"(?i)^(@startuml[^\n]*)", "$1\n" + header)
+    bare = F.array_join(without_colours(X.lines(F.col("__text"))), "\n")
+    return hold(out, {name: F.regexp_replace(bare, r"(?i)^(@startuml[^\n]*)", "$1\n" + header)}).drop("__text")
 
 
 def cleaning_counts(diagrams: DataFrame) -> DataFrame:
     """What the clean-up takes out or rewrites, by kind."""
-    lines = X.lines(X.bounded_block(F.col("plantuml_code")))
     worded = r"^\s*[A-Za-z_][\w.]*\s+--\s*[A-Za-z_]+\s*-->\s*[A-Za-z_][\w.]*\s*;?\s*$"
-    per = diagrams.select(
-        F.size(F.filter(lines, is_unsafe)).alias("unsafe"),
-        F.size(F.filter(lines, is_style)).alias("style"),
-        F.size(F.filter(lines, lambda x: _found(x, worded))).alias("worded_arrow"),
-        (F.size(lines) - F.size(first_lines(lines))).alias("repeated"),
+    split = hold(diagrams, {"lines": X.lines(X.bounded_block(F.col("plantuml_code")))}, [])
+    keys = F.array_distinct(F.transform(keyed_lines(F.col("lines")), lambda x: x["key"]))
+    per = split.select(
+        F.size(F.filter("lines", is_unsafe)).alias("unsafe"),
+        F.size(F.filter("lines", is_style)).alias("style"),
+        F.size(F.filter("lines", lambda x: _found(x, worded))).alias("worded_arrow"),
+        (F.size("lines") - F.size(keys)).alias("repeated"),
     )
     names = ["unsafe", "style", "worded_arrow", "repeated"]
     stacked = per.unpivot([], names, "rule", "n")
@@ -520,7 +535,8 @@ def cleaning_counts(diagrams: DataFrame) -> DataFrame:
 
 
 def needs_fallback(code: Column, entities: Column) -> Column:
-    """Only generic class names, or none of the specified entities in the text."""
+    """Only generic class names, or none of the first eight specified entities in the text."""
+    entities = F.slice(entities, 1, 8)
     names = F.transform(_all(code, r"(?imd)^\s*class\s+(\w+)"), F.lower)
     generic = (F.size(names) > 0) & F.forall(names, lambda n: n.isin(*fixed.GENERIC_CLASS_NAMES))
     low = F.lower(code)

@@ -11,8 +11,9 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from . import sqltext
 from ..operators import scores as S
-from ..operators.hold import hold
+from ..operators.hold import hold, spread
 
 RAW = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
@@ -361,6 +362,8 @@ VIEW_SQL: dict[str, tuple[list[str], str]] = {
         ["named"],
         f"SELECT doc_id AS artifact_id, {source_expr(True)} AS code FROM named",
     ),
+    "blocks": (["diagrams"], sqltext.BLOCKS),
+    "declared": (["blocks"], sqltext.DECLARED),
     "replies": ([], f"SELECT doc_id AS artifact_id, {REPLY_EXPR} FROM documents"),
     "requirements": ([], f"SELECT doc_id AS artifact_id, {REQUIREMENT_EXPR} FROM documents"),
 }
@@ -466,7 +469,8 @@ class Tables:
 
     @cached_property
     def named(self) -> DataFrame:
-        return hold(self.documents.select("doc_id", "lang", "text"), {"n": F.expr(names_expr(False))})
+        texts = spread(self.documents.select("doc_id", "lang", "text"), "doc_id")
+        return hold(texts, {"n": F.expr(names_expr(False))})
 
     def _text(self, df: DataFrame, name: str, expr: str) -> DataFrame:
         kind = df.selectExpr("doc_id AS artifact_id", f"{TYPE_OF_LANG} AS diagram_type", "doc_id", "n")
@@ -491,8 +495,8 @@ class Tables:
 
     @cached_property
     def replies(self) -> DataFrame:
-        return self.documents.selectExpr("doc_id AS artifact_id", REPLY_EXPR)
+        return spread(self.documents, "doc_id").selectExpr("doc_id AS artifact_id", REPLY_EXPR)
 
     @cached_property
     def requirements(self) -> DataFrame:
-        return self.documents.selectExpr("doc_id AS artifact_id", REQUIREMENT_EXPR)
+        return spread(self.documents, "doc_id").selectExpr("doc_id AS artifact_id", REQUIREMENT_EXPR)
