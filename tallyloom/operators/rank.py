@@ -22,26 +22,34 @@ def order_key(seed: int | str, *keys: str | Column) -> Column:
     return F.md5(F.concat_ws("|", *parts))
 
 
+#: the offsets are broadcast only where their number of rows provably stays below this
+BROADCAST_ROWS = 1_000_000
+
+
 def bucket_offsets(counts: DataFrame, by: Sequence[str], buckets: Sequence[str], n: str) -> DataFrame:
     """Rows standing before each bucket of its group, one level of buckets at a time.
 
     Each window sees only the buckets under one parent, so its size is bounded by the number of
-    distinct values of one level and not by the number of rows.
+    distinct values of one level and not by the number of rows. ``__size`` is the group's size.
     """
     out = counts
     parts: list[Column] = []
     for level, bucket in enumerate(buckets):
         parents = list(by) + list(buckets[:level])
-        totals = out if level == len(buckets) - 1 else counts.groupBy(*parents, bucket).agg(F.sum(n).alias(n))
+        last = level == len(buckets) - 1
+        totals = out if last else counts.groupBy(*parents, bucket).agg(F.sum(n).alias(n))
         w = W.partitionBy(*parents).orderBy(bucket) if parents else W.orderBy(bucket)
         before = F.coalesce(F.sum(n).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
         name = f"__before{level}"
         parts.append(F.col(name))
-        if level == len(buckets) - 1:
-            out = totals.withColumn(name, before)
+        extra = [F.sum(n).over(W.partitionBy(*parents)).alias("__size")] if level == 0 else []
+        placed = totals.select("*", before.alias(name), *extra)
+        if last:
+            out = placed
         else:
-            out = out.join(totals.select(*parents, bucket, before.alias(name)), parents + [bucket])
-    return out.withColumn("__offset", reduce(lambda a, b: a + b, parts)).select(*by, *buckets, "__offset")
+            out = out.join(placed.drop(n), parents + [bucket])
+    offset = reduce(lambda a, b: a + b, parts)
+    return out.select(*by, *buckets, offset.alias("__offset"), "__size")
 
 
 def exact_rank(
@@ -51,12 +59,16 @@ def exact_rank(
     by: Sequence[str] = (),
     name: str = "rank",
     below: int | None = None,
+    max_offsets: int | None = None,
+    size: str | None = None,
 ) -> DataFrame:
     """Number the rows of every ``by`` group from 1 in ``order``.
 
     ``coarse`` are columns by which ``order`` is already sorted (compared left to right, rising),
-    and ``by`` columns must not be null.  With ``below``, buckets that start past that rank are
-    left out before any row is shuffled; the caller still filters on the rank.
+    and ``by`` columns must not be null. ``max_offsets`` states how many (group, bucket) pairs can
+    exist; where that bound is small the offsets are broadcast, and with ``below`` every bucket
+    that starts past that rank is then dropped before any row is shuffled. The caller still
+    filters on the rank. ``size`` names a column for the number of rows in the group.
     """
     buckets = [f"__b{i}" for i in range(len(coarse))]
     keyed = df.select("*", *[c.alias(b) for c, b in zip(coarse, buckets)])
@@ -65,12 +77,13 @@ def exact_rank(
     offsets = bucket_offsets(counts, by, buckets, "__n")
     if below is not None:
         offsets = offsets.where(F.col("__offset") < below)
+    if max_offsets is not None and max_offsets <= BROADCAST_ROWS:
+        offsets = F.broadcast(offsets)
     inside = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
-    return (
-        keyed.join(offsets, keys)
-        .withColumn(name, (inside + F.col("__offset")).cast("long"))
-        .drop(*buckets, "__offset")
-    )
+    ranked = keyed.join(offsets, keys).withColumn(name, (inside + F.col("__offset")).cast("long"))
+    if size is not None:
+        ranked = ranked.withColumn(size, F.col("__size"))
+    return ranked.drop(*buckets, "__offset", "__size")
 
 
 def seeded_rank(
@@ -80,9 +93,12 @@ def seeded_rank(
     by: Sequence[str] = (),
     name: str = "rank",
     below: int | None = None,
+    groups: int | None = None,
+    size: str | None = None,
 ) -> DataFrame:
-    """Exact rank in seeded md5 order of a unique ``key``."""
+    """Exact rank in seeded md5 order of a unique ``key``; ``groups`` bounds the ``by`` groups."""
     keyed = df.withColumn("__md5", order_key(seed, key))
+    bound = 1 if not by else groups
     ranked = exact_rank(
         keyed,
         [F.col("__md5"), F.col(key)],
@@ -90,6 +106,8 @@ def seeded_rank(
         by=by,
         name=name,
         below=below,
+        max_offsets=bound * 16**BUCKET_DIGITS if bound else None,
+        size=size,
     )
     return ranked.drop("__md5")
 

@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .. import fixed
 from ..functions import text as X
+from ..session import checkpointed
 from . import dedupe as D
 from .gates import first_reason
-from .rank import BUCKET_DIGITS, exact_rank, order_key, seeded_rank, seeded_sample
+from .rank import BUCKET_DIGITS, exact_rank, order_key, seeded_rank
 from .stats import types_frame
 
 OTHER = "__other__"
@@ -59,13 +60,16 @@ def quota_select(
     keyed = df.withColumn("stratum", _listed(F.col("diagram_type"), types))
     counts = keyed.groupBy("stratum").agg(F.count("*").alias("n"))
     asked = quotas(counts, types, target, per_type).select("stratum", "quota")
-    ranked = seeded_rank(keyed, key, seed, by=["stratum"], below=target)
+    ranked = seeded_rank(keyed, key, seed, by=["stratum"], below=target, groups=len(types) + 1)
     return ranked.join(F.broadcast(asked), "stratum").where(F.col("rank") <= F.col("quota")).drop("rank", "quota", "stratum")
 
 
-def stratified(df: DataFrame, n: int, key: str, seed: int, by: str = "diagram_type") -> DataFrame:
-    """F8: ``n`` rows per stratum in seeded order."""
-    return seeded_rank(df, key, seed, by=[by], below=n).where(F.col("rank") <= n).drop("rank")
+def stratified(
+    df: DataFrame, n: int, key: str, seed: int, types: Sequence[str] = fixed.APP_TYPES, by: str = "diagram_type"
+) -> DataFrame:
+    """F8: ``n`` rows per type in seeded order."""
+    pool = df.where(F.col(by).isin(*types))
+    return seeded_rank(pool, key, seed, by=[by], below=n, groups=len(types)).where(F.col("rank") <= n).drop("rank")
 
 
 def shortfall(df: DataFrame, n: int, types: Sequence[str] = fixed.APP_TYPES) -> DataFrame:
@@ -85,14 +89,15 @@ def topup_even(novel: DataFrame, cap: int, key: str, seed: int, types: Sequence[
     """
     per = max(least, cap // 4)
     ranked = seeded_rank(
-        novel.withColumn("stratum", _listed(F.col("diagram_type"), types)), key, seed, by=["stratum"]
+        novel.withColumn("stratum", _listed(F.col("diagram_type"), types)), key, seed, by=["stratum"],
+        groups=len(types) + 1,
     )
     even = (F.col("stratum") != OTHER) & (F.col("rank") <= per)
     tiered = ranked.withColumn("tier", F.when(even, 0).otherwise(1)).drop("rank")
     keyed = tiered.withColumn("__md5", order_key(seed, key))
     placed = exact_rank(
         keyed, [F.col("tier"), F.col("__md5"), F.col(key)],
-        [F.col("tier"), F.substring("__md5", 1, BUCKET_DIGITS)], name="place",
+        [F.col("tier"), F.substring("__md5", 1, BUCKET_DIGITS)], name="place", max_offsets=2 * 16**BUCKET_DIGITS,
     )
     # the even tier stays whole even where it alone passes the cap
     return placed.where((F.col("tier") == 0) | (F.col("place") <= cap)).drop("__md5", "place", "stratum", "tier")
@@ -103,20 +108,21 @@ def language_select(
 ) -> DataFrame:
     """the preferred source evenly by language, then its rest, then the other sources."""
     lang = F.coalesce("source_language", F.lit("unknown"))
-    keyed = df.withColumn("__lang", F.when(preferred, lang).otherwise(F.lit(""))).withColumn("__pref", preferred)
-    # one row per language: a share for each
-    langs = keyed.where("__pref").agg(F.count_distinct("__lang").alias("langs"))
-    ranked = seeded_rank(keyed, key, seed, by=["__pref", "__lang"])
-    share = F.greatest(F.lit(1), F.least(F.floor(F.lit(target) / F.greatest(F.col("langs"), F.lit(1))), F.lit(most)))
-    tiered = (
-        ranked.withColumn("__one", F.lit(1)).join(F.broadcast(langs.withColumn("__one", F.lit(1))), "__one")
-        .withColumn("__tier", F.when(~F.col("__pref"), 2).when(F.col("rank") <= share, 0).otherwise(1))
-        .drop("__one", "langs", "rank")
-    )
+    keyed = df.withColumn("__pref", preferred).withColumn("__lang", F.when(F.col("__pref"), lang).otherwise(F.lit("")))
+    # one row per language, each with the share all languages get
+    table = keyed.groupBy("__pref", "__lang").agg(F.count("*").alias("__n"))
+    langs = F.sum(F.col("__pref").cast("int")).over(W.partitionBy())
+    share = F.greatest(F.lit(1), F.least(F.floor(F.lit(target) / F.greatest(langs, F.lit(1))), F.lit(most)))
+    shares = table.select("__pref", "__lang", share.alias("__share"))
+    ranked = seeded_rank(keyed, key, seed, by=["__pref", "__lang"]).join(shares, ["__pref", "__lang"])
+    tiered = ranked.withColumn(
+        "__tier", F.when(~F.col("__pref"), 2).when(F.col("rank") <= F.col("__share"), 0).otherwise(1)
+    ).drop("__share", "rank")
     md5 = tiered.withColumn("__md5", order_key(seed, key))
     placed = exact_rank(
         md5, [F.col("__tier"), F.col("__md5"), F.col(key)],
         [F.col("__tier"), F.substring("__md5", 1, BUCKET_DIGITS)], name="__place", below=target,
+        max_offsets=3 * 16**BUCKET_DIGITS,
     )
     return placed.where(F.col("__place") <= target).drop("__md5", "__place", "__pref", "__lang").withColumnRenamed("__tier", "tier")
 
@@ -128,32 +134,30 @@ def balanced(
 
     For each type in turn a row is eligible while its rank within its language is within what
     that language has left; the best eligible rows are taken, and deferred rows only fill a
-    gap. Only the counts per language pass from one type to the next.
+    gap. Only the counts per language pass from one type to the next. All of it runs on keys
+    and lengths; the texts are fetched once, at the end, for the chosen keys.
     """
-    sized = df.select("*", (-F.length("uml_code")).alias("__a"), (-F.length("source_requirement")).alias("__b"), F.md5(F.col(key).cast("string")).alias("__m"))
-    order = [F.col("__a"), F.col("__b"), F.col("__m")]
-    coarse = [F.col("__a"), F.substring("__m", 1, 2)]
-    first_rank = exact_rank(
-        sized.where(F.col("diagram_type").isin(*types)),
-        [F.col("__a"), F.col("__b"), F.col("__m")], [F.col("__a"), F.col("__b")],
-        by=["diagram_type", "source_language"], name="__lang_rank",
+    narrow = df.where(F.col("diagram_type").isin(*types)).select(
+        key, "diagram_type", "source_language", (-F.length("uml_code")).alias("__a"),
+        (-F.length("source_requirement")).alias("__b"), F.md5(F.col(key).cast("string")).alias("__m"),
     )
-    left = df.select("source_language").distinct().withColumn("__left", F.lit(per_lang).cast("long"))
+    order = [F.col("__a"), F.col("__b"), F.col("__m")]
+    coarse = [F.col("__a"), F.col("__b"), F.substring("__m", 1, BUCKET_DIGITS)]
+    ranked = exact_rank(narrow, order, coarse, by=["diagram_type", "source_language"], name="__lang_rank")
+    left = narrow.select("source_language").distinct().withColumn("__left", F.lit(per_lang).cast("long"))
     parts = []
     for kind in types:
-        pool = first_rank.where(F.col("diagram_type") == kind).join(left, "source_language")
+        pool = ranked.where(F.col("diagram_type") == kind).join(left, "source_language")
         tiered = pool.withColumn("__tier", F.when(F.col("__lang_rank") <= F.col("__left"), 0).otherwise(1))
-        placed = exact_rank(
-            tiered.drop("__left"), [F.col("__tier"), *order], [F.col("__tier"), *coarse[:1], F.col("__b")],
-            name="__place", below=per_type,
-        )
-        chosen = placed.where(F.col("__place") <= per_type)
-        parts.append(chosen.drop("__a", "__b", "__m", "__tier", "__place", "__lang_rank"))
+        placed = exact_rank(tiered, [F.col("__tier"), *order], [F.col("__tier"), *coarse], name="__place", below=per_type)
+        # the counts below and the next type both read this cut
+        chosen = checkpointed(placed.where(F.col("__place") <= per_type).select(key, "source_language"))
+        parts.append(chosen.select(key))
         used = chosen.groupBy("source_language").agg(F.count("*").alias("__used"))
         left = left.join(used, "source_language", "left").select(
             "source_language", (F.col("__left") - F.coalesce("__used", F.lit(0))).alias("__left")
         )
-    return reduce(DataFrame.unionByName, parts)
+    return df.join(reduce(DataFrame.unionByName, parts), key, "left_semi")
 
 
 def work_list(df: DataFrame, per_type: int, offset: int, key: str, types: Sequence[str] = fixed.APP_TYPES) -> DataFrame:

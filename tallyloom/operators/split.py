@@ -25,24 +25,19 @@ def exact_split(
 ) -> DataFrame:
     """exactly ``max(1, floor(n * ratio))`` test and valid rows, the rest train.
 
-    ``key`` identifies a row; the count is one aggregate row that rides along as a broadcast.
+    ``key`` identifies a row; the number of rows comes from the bucket counts of the rank.
     """
     keyed = df.withColumn("__md5", order_key(seed, *key))
     ranked = exact_rank(
-        keyed, [F.col("__md5"), *[F.col(k) for k in key]], [F.substring("__md5", 1, BUCKET_DIGITS)], name="__rank"
+        keyed, [F.col("__md5"), *[F.col(k) for k in key]], [F.substring("__md5", 1, BUCKET_DIGITS)],
+        name="__rank", max_offsets=16**BUCKET_DIGITS, size="__n",
     )
-    return _cut(ranked, df, valid_ratio, test_ratio).drop("__md5")
-
-
-def _cut(ranked: DataFrame, counted: DataFrame, valid_ratio: float, test_ratio: float) -> DataFrame:
-    total = counted.agg(F.count("*").alias("__n")).withColumn("__one", F.lit(1))
     n_test = F.greatest(F.lit(1), F.floor(F.col("__n") * test_ratio))
     n_valid = F.greatest(F.lit(1), F.floor(F.col("__n") * valid_ratio))
-    split = (
+    side = (
         F.when(F.col("__rank") <= n_test, "test").when(F.col("__rank") <= n_test + n_valid, "valid").otherwise("train")
     )
-    joined = ranked.withColumn("__one", F.lit(1)).join(F.broadcast(total), "__one")
-    return joined.withColumn("split", split).drop("__one", "__n", "__rank")
+    return ranked.withColumn("split", side).drop("__md5", "__rank", "__n")
 
 
 def leakfree_split(
