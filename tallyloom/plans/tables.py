@@ -295,7 +295,7 @@ REPLY_EXPR = (
     "WHEN 5 THEN concat('Scores about ', {n}, ' here. ', text) "
     "WHEN 6 THEN concat('OVERALL SCORE - ', {m}, '\nRATING: ', {n}, '\n', text) "
     "WHEN 7 THEN concat('SEMANTIC: ', {n}, '\n', text) "
-    "ELSE text END AS reply"
+    "ELSE concat('EXPLANATION: ', text, '\nSCORE: ', {n}) END AS reply"
 ).format(n="cast(doc_id * 3 % 7 AS string)", m="cast(doc_id * 5 % 7 AS string)")
 
 REQUIREMENT_EXPR = (
