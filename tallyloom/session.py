@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,3 +41,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="tallyloom-checkpoint-")
         context.setCheckpointDir(folder)
     return df.checkpoint()
+
+
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A new folder for intermediate tables, below the shared folder the cluster names."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        base = tempfile.mkdtemp(prefix="tallyloom-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
