@@ -89,7 +89,14 @@ def with_facts(sources: DataFrame) -> DataFrame:
     ).otherwise(none)
     imports = _facts(F.transform(_all(code, IMPORT), X.strip), "import")
     facts = F.concat(F.when(F.col("language") == "python", python).otherwise(F.concat(braced, structs)), imports)
-    return hold(known, {"facts": F.array_distinct(facts)})
+    # distinct over strings is one hash pass; over structs every pair would be compared
+    keys = F.array_distinct(F.transform(facts, lambda f: F.concat_ws("\u0001", f["kind"], f["name"], f["owner"], f["source"])))
+    rows = hold(known, {"__keys": keys})
+    parts = F.transform(
+        F.transform("__keys", lambda k: F.split(k, "\u0001")),
+        lambda p: F.struct(p[0].alias("kind"), p[1].alias("name"), p[2].alias("owner"), p[3].alias("source")),
+    )
+    return hold(rows, {"facts": parts}).drop("__keys")
 
 
 def code_facts(sources: DataFrame) -> DataFrame:

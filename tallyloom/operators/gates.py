@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .. import fixed
 from ..functions import code as CD, text as X
 from . import structure as ST
+from .hold import hold
 
 
 def library(
@@ -49,15 +50,19 @@ def min_gate(df: DataFrame, spec: str = "technical_spec", code: str = "uml_code"
     )
 
 
-def is_complete(code: Column, min_entities: int = 3, min_relations: int = 2, min_chars: int = 280) -> Column:
-    """C4: both tags, enough text, entities and relations, no numbered stubs."""
-    s = X.clean_code(code)
-    return (
+def with_complete(
+    df: DataFrame, code: str, min_entities: int = 3, min_relations: int = 2, min_chars: int = 280
+) -> DataFrame:
+    """C4: ``complete`` tells both tags, enough text, entities and relations, no numbered stubs."""
+    rows = hold(df, {"__code": X.clean_code(F.col(code))})
+    s = F.col("__code")
+    complete = (
         X.has_open_tag(s) & X.has_close_tag(s) & (F.length(s) >= min_chars)
         & ~F.rlike(s, F.lit(r"\bType[23]\b"))
         & (F.size(ST.entity_names(s)) >= min_entities)
         & (ST.relation_count(s) >= min_relations)
     )
+    return hold(rows, {"complete": complete}).drop("__code")
 
 
 def code_gate(code: Column, low: int = 80, high: int = 6000) -> Column:

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import fixed
+from .hold import hold
 
 
 def insert_missing(base: DataFrame, new: DataFrame, key: str) -> DataFrame:
@@ -68,8 +69,12 @@ def upsert_reviewers(existing: DataFrame, seen: DataFrame) -> DataFrame:
 def golden_compare(expected: DataFrame, actual: DataFrame, case: str) -> DataFrame:
     """Language match and missing classes per case."""
     joined = expected.join(actual, case, "left")
-    low = F.transform(F.coalesce("actual_classes", F.array().cast("array<string>")), F.lower)
-    missing = F.filter("expected_classes", lambda c: ~F.array_contains(low, F.lower(c)))
+    low = F.array_distinct(F.transform(F.coalesce("actual_classes", F.array().cast("array<string>")), F.lower))
+    joined = hold(joined, {"__low": low})
+    joined = hold(joined, {"__known": F.map_from_arrays("__low", F.transform("__low", lambda x: F.lit(True)))})
+    missing = F.filter("expected_classes", lambda c: ~F.map_contains_key("__known", F.lower(c)))
+    joined = hold(joined, {"__missing": missing})
+    missing = F.col("__missing")
     return joined.select(
         case, (F.col("expected_language") == F.col("actual_language")).alias("language_ok"),
         F.array_sort(missing).alias("missing"), (F.size(missing) == 0).alias("classes_ok"),

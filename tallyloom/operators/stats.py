@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from .. import fixed
+from ..session import checkpointed
 from .rank import bucket_offsets
 from .scores import human_six
 
@@ -301,6 +302,7 @@ def spearman(
     """
     w = F.sum(weight) if weight else F.count("*")
     pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by, x, y).agg(w.alias("__w"))
+    pairs = checkpointed(pairs)  # read four times below; without the cut every read would scan the reviews
     ranked = pairs.join(_average_ranks(pairs, x, by, resolution, "__rx"), [*by, x]).join(
         _average_ranks(pairs, y, by, resolution, "__ry"), [*by, y]
     )
@@ -335,7 +337,7 @@ def alignment(reviews: DataFrame, artifacts: DataFrame, types: Sequence[str] = f
         "scope", F.explode(F.array(F.lit("all"), F.col("diagram_type")))
     )
     raters = scoped.groupBy("scope").agg(F.count_distinct("reviewer_id").alias("n_raters"))
-    pairs = scoped.groupBy("scope", "composite_score", "human").agg(F.sum("n").alias("n"))
+    pairs = checkpointed(scoped.groupBy("scope", "composite_score", "human").agg(F.sum("n").alias("n")))
     linear = _weighted_pearson(pairs, "composite_score", "human", "n", "scope")
     ranks = spearman(pairs, "composite_score", "human", ["scope"], weight="n").drop("n")
     scopes = types_frame(artifacts.sparkSession, ["all", *types]).withColumnRenamed("diagram_type", "scope")

@@ -69,7 +69,7 @@ RELS = """len(list_filter(string_split(c, chr(10)), lambda l: regexp_matches(l,
     "diagrams",
 )
 def _(t):
-    return t.diagrams.groupBy("diagram_type", G.is_complete(F.col("plantuml_code")).alias("complete")).agg(F.count("*").alias("n"))
+    return G.with_complete(t.diagrams, "plantuml_code").groupBy("diagram_type", "complete").agg(F.count("*").alias("n"))
 
 
 SIGNALS = [

@@ -16,7 +16,7 @@ NL = "chr(10)"
     f"SELECT doc_id, sha1({stripped('text')}) AS hash, substr(sha1({stripped('text')}), 1, 12) AS id, substr(sha1(concat_ws('|', 'sc', doc_id, lang, source)), 1, 12) AS parts FROM documents",
 )
 def _(t):
-    return t.documents.select(
+    return t.texts.select(
         "doc_id", X.code_hash(F.col("text")).alias("hash"), X.short_id(F.col("text")).alias("id"),
         X.parts_id(F.lit("sc"), F.col("doc_id").cast("string"), F.col("lang"), F.col("source")).alias("parts"),
     )
@@ -60,7 +60,7 @@ def _(t):
     FROM (SELECT doc_id, {stripped('text')} AS s FROM documents)""",
 )
 def _(t):
-    return t.documents.select("doc_id", F.md5(X.truncate(F.col("text"), 900)).alias("digest"))
+    return t.texts.select("doc_id", F.md5(X.truncate(F.col("text"), 900)).alias("digest"))
 
 
 @query(
@@ -70,7 +70,7 @@ def _(t):
     FROM (SELECT doc_id, {stripped('text')} AS s FROM documents)""",
 )
 def _(t):
-    return t.documents.select(
+    return t.texts.select(
         "doc_id", F.md5(X.clip(F.col("text"), 1800)).alias("long"), F.md5(X.clip(F.col("text"), 600)).alias("short")
     )
 
@@ -203,7 +203,7 @@ def _(t):
     f"""SELECT doc_id, CASE WHEN length(s) > 120 THEN concat(substr(s, 1, 120), '…') ELSE s END AS snippet FROM (SELECT doc_id, {stripped("regexp_replace(text, '\\s+', ' ', 'g')")} AS s FROM documents)""",
 )
 def _(t):
-    return t.documents.select("doc_id", X.snippet(F.col("text"), 120).alias("snippet"))
+    return t.texts.select("doc_id", X.snippet(F.col("text"), 120).alias("snippet"))
 
 
 @query(

@@ -122,7 +122,7 @@ def _(t):
 )
 def _(t):
     path = scratch_dir(t.spark, "texts")
-    t.documents.select("text").write.option("maxRecordsPerFile", 50).text(path)
+    t.texts.select("text").write.option("maxRecordsPerFile", 50).text(path)
     lines = R.scan_text_dir(t.spark, path, "*.txt").select(F.explode(F.split("text", "\n")).alias("line")).where("line <> ''")
     return lines.agg(F.count("*").alias("lines"), F.sum(F.length("line")).alias("chars"))
 
@@ -134,7 +134,7 @@ def _(t):
     WHERE line <> '' AND line NOT LIKE '#%'""",
 )
 def _(t):
-    lines = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    lines = t.texts.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     out = R.number_lines(lines, "line", [F.col("doc_id"), F.col("pos")], [F.floor(F.col("doc_id") / 64), F.col("doc_id")])
     return out.select("req_id", "line")
 

@@ -208,7 +208,7 @@ def _(t):
     f"SELECT {LANGUAGE} AS language, count(*) AS n FROM (SELECT text AS code FROM documents) GROUP BY ALL",
 )
 def _(t):
-    return t.documents.groupBy(CD.language(F.col("text")).alias("language")).agg(F.count("*").alias("n"))
+    return t.texts.groupBy(CD.language(F.col("text")).alias("language")).agg(F.count("*").alias("n"))
 
 
 OWNER = "(?m)^\\s*class\\s+(\\w+)(?:\\s*\\(([^)]*)\\))?:"
