@@ -61,12 +61,15 @@ def strip_fences(c: Column) -> Column:
     return F.regexp_replace(opened, r"\s*```$", "")
 
 
+def tagged(s: Column) -> Column:
+    """Both tags supplied where they are missing."""
+    opened = F.when(has_open_tag(s), s).otherwise(F.concat(F.lit("@startuml\n"), s))
+    return strip(F.when(has_close_tag(s), opened).otherwise(F.concat(rstrip(opened), F.lit("\n@enduml"))))
+
+
 def clean_code(c: Column) -> Column:
     """No code fence, both tags present."""
-    s = strip_fences(c)
-    s = F.when(has_open_tag(s), s).otherwise(F.concat(F.lit("@startuml\n"), s))
-    s = F.when(has_close_tag(s), s).otherwise(F.concat(rstrip(s), F.lit("\n@enduml")))
-    return strip(s)
+    return tagged(strip_fences(c))
 
 
 def bounded_block(c: Column) -> Column:
@@ -81,15 +84,18 @@ def bounded_block(c: Column) -> Column:
     return F.when(found != "", found).otherwise(s)
 
 
-def truncate(c: Column, limit: int) -> Column:
-    s = strip(F.coalesce(c, F.lit("")))
+def truncated(s: Column, limit: int) -> Column:
+    """Stripped text cut at the limit, with a mark."""
     cut = F.concat(rstrip(F.substring(s, 1, limit - 20)), F.lit(fixed.TRUNCATED_MARK))
     return F.when(F.length(s) > limit, cut).otherwise(s)
 
 
-def clip(c: Column, limit: int) -> Column:
-    """Keep the head (72 percent) and the tail; short limits keep the head only."""
-    s = strip(F.coalesce(c, F.lit("")))
+def truncate(c: Column, limit: int) -> Column:
+    return truncated(strip(F.coalesce(c, F.lit(""))), limit)
+
+
+def clipped(s: Column, limit: int) -> Column:
+    """Stripped text with its head (72 percent) and its tail; short limits keep the head only."""
     head = int(limit * 0.72)
     tail = limit - head - 80
     if tail < 200:
@@ -103,6 +109,10 @@ def clip(c: Column, limit: int) -> Column:
     return F.when(F.length(s) > limit, cut).otherwise(s)
 
 
+def clip(c: Column, limit: int) -> Column:
+    return clipped(strip(F.coalesce(c, F.lit(""))), limit)
+
+
 def strip_reasoning(c: Column) -> Column:
     s = F.regexp_replace(c, r"(?is)<think>.*?</think>", "")
     s = F.regexp_replace(s, r"(?is)<reasoning>.*?</reasoning>", "")

@@ -103,8 +103,5 @@ def detail_rows(
 
 
 def detail_record(details: DataFrame, artifact_id: int) -> DataFrame:
-    """The nested record of one artifact, as its page shows it."""
-    mine = details.where(F.col("artifact_id") == artifact_id)
-    return mine.groupBy("artifact_id", "section").agg(
-        F.array_sort(F.collect_list(F.struct("place", "info"))).alias("entries")
-    )
+    """Everything about one artifact in page order; rows, so that no list can outgrow a task."""
+    return details.where(F.col("artifact_id") == artifact_id).orderBy("section", "place", "info")

@@ -26,6 +26,14 @@ def order_key(seed: int | str, *keys: str | Column) -> Column:
 BROADCAST_ROWS = 1_000_000
 
 
+def id_levels(key: str) -> list[Column]:
+    """Coarse levels for ranks in the order of a whole-number id.
+
+    At most 65,536 values below each parent for ids up to 2**56, and 1,024 ids in the last level.
+    """
+    return [F.shiftright(key, 40), F.shiftright(key, 25), F.shiftright(key, 10)]
+
+
 def bucket_offsets(counts: DataFrame, by: Sequence[str], buckets: Sequence[str], n: str) -> DataFrame:
     """Rows standing before each bucket of its group, one level of buckets at a time.
 

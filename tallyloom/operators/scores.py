@@ -65,8 +65,9 @@ def formula_snapshots(
             F.col("weight").cast("string"), F.lit(",vote="), F.when(yes, F.lit("Y")).otherwise(F.lit("N")), F.lit(")"),
         )
     )
-    # one entry per model of one artifact: bounded by the ensemble
-    parts = model_scores.groupBy("artifact_id").agg(
+    # one entry per model and score value of an artifact: bounded by the ensemble, whatever repeats
+    entries = model_scores.select("artifact_id", "model_key", "weight", "score").distinct()
+    parts = entries.groupBy("artifact_id").agg(
         F.array_join(
             F.transform(
                 F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("o"), part.alias("p")))),

@@ -12,7 +12,7 @@ from ..functions import text as X
 from ..session import checkpointed
 from . import dedupe as D
 from .gates import first_reason
-from .rank import BUCKET_DIGITS, exact_rank, order_key, seeded_rank
+from .rank import BUCKET_DIGITS, exact_rank, id_levels, order_key, seeded_rank
 from .stats import types_frame
 
 OTHER = "__other__"
@@ -166,8 +166,10 @@ def work_list(df: DataFrame, per_type: int, offset: int, key: str, types: Sequen
     Order is the key's own order, so the list is the same however the table is stored.
     """
     usable = df.where(F.col("diagram_type").isin(*types) & (F.length(X.strip(F.col("source_requirement"))) >= 3))
-    late = exact_rank(usable, [F.col(key)], [F.floor(F.col(key) / 65536)], name="__seen").where(F.col("__seen") > offset)
-    ranked = exact_rank(late.drop("__seen"), [F.col(key)], [F.floor(F.col(key) / 65536)], by=["diagram_type"], name="place", below=per_type)
+    late = exact_rank(usable, [F.col(key)], id_levels(key), name="__seen").where(F.col("__seen") > offset)
+    ranked = exact_rank(
+        late.drop("__seen"), [F.col(key)], id_levels(key), by=["diagram_type"], name="place", below=per_type
+    )
     chosen = ranked.where(F.col("place") <= per_type)
     return chosen
 

@@ -181,7 +181,7 @@ def _(t):
         .join(t.code_sources.select("artifact_id", F.col("code").alias("source_requirement")), "artifact_id")
         .join(t.diagrams.select("artifact_id", F.col("plantuml_code").alias("uml_code")), "artifact_id")
     )
-    records = hold(rows, {"messages": M.chat_record("You write PlantUML.")}, ["artifact_id"]).where("messages IS NOT NULL")
+    records = M.with_chat_records(rows, "You write PlantUML.")
     return records.select(
         "artifact_id", F.md5(F.col("messages")[1]["content"]).alias("user_digest"), F.md5(F.col("messages")[2]["content"]).alias("answer_digest")
     )

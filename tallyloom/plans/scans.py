@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F, types as T
 
 from .. import schema
-from ..operators import adapters as AD, dedupe as D
+from ..operators import dedupe as D
+from ..operators.rank import id_levels
 from ..session import scratch_dir
 from ..sources import readers as R, registry as G, sinks as K
 from . import sqltext as Q
@@ -135,7 +136,7 @@ def _(t):
 )
 def _(t):
     lines = t.texts.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    out = R.number_lines(lines, "line", [F.col("doc_id"), F.col("pos")], [F.floor(F.col("doc_id") / 64), F.col("doc_id")])
+    out = R.number_lines(lines, "line", [F.col("doc_id"), F.col("pos")], id_levels("doc_id"))
     return out.select("req_id", "line")
 
 
