@@ -9,13 +9,20 @@ from .. import fixed
 BLOCK = r"(?is)(@startuml.*?@enduml)"
 
 
+WHITESPACE = " \t\n\x0b\f\r"
+
+
 def strip(c: Column) -> Column:
-    """Remove outer whitespace of every kind."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    """Remove outer whitespace of every kind; looks at the ends only, unlike a pattern."""
+    return F.btrim(c, F.lit(WHITESPACE))
 
 
 def rstrip(c: Column) -> Column:
-    return F.regexp_replace(c, r"\s+$", "")
+    return F.rtrim(c, F.lit(WHITESPACE))
+
+
+def lstrip(c: Column) -> Column:
+    return F.ltrim(c, F.lit(WHITESPACE))
 
 
 def lines(c: Column) -> Column:
@@ -104,7 +111,7 @@ def clipped(s: Column, limit: int) -> Column:
         cut = F.concat(
             rstrip(F.substring(s, 1, head)),
             F.lit(fixed.MIDDLE_TRUNCATED_MARK),
-            F.regexp_replace(F.right(s, F.lit(tail)), r"^\s+", ""),
+            lstrip(F.right(s, F.lit(tail))),
         )
     return F.when(F.length(s) > limit, cut).otherwise(s)
 

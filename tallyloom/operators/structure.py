@@ -133,16 +133,26 @@ def edge_facts(diagrams: DataFrame) -> DataFrame:
     known = hold(
         names, {"known": F.map_from_arrays("names", F.transform("names", lambda x: F.lit(True)))}, ["artifact_id", "lines"]
     )
+    # plain searches first: the pattern only runs on lines that can hold an edge, and its groups
+    # are taken from the short match
+    numbered = F.transform("lines", lambda x, i: F.struct(i.alias("line_no"), x.alias("line")))
+    likely = F.filter(
+        numbered,
+        lambda e: (F.contains(e["line"], F.lit("-")) | F.contains(e["line"], F.lit("..")))
+        & ~X.lstrip(e["line"]).startswith("'"),
+    )
+    found = F.transform(
+        likely, lambda e: F.struct(e["line_no"].alias("line_no"), F.regexp_extract(e["line"], EDGE, 0).alias("m"))
+    )
     edges = F.filter(
         F.transform(
-            "lines",
-            lambda x, i: F.struct(
-                i.alias("line_no"), X.strip(x).alias("line"), F.regexp_extract(x, EDGE, 1).alias("a"),
-                F.regexp_extract(x, EDGE, 2).alias("op"), F.regexp_extract(x, EDGE, 3).alias("b"),
+            F.filter(found, lambda e: e["m"] != ""),
+            lambda e: F.struct(
+                e["line_no"].alias("line_no"), F.regexp_extract(e["m"], EDGE, 1).alias("a"),
+                F.regexp_extract(e["m"], EDGE, 2).alias("op"), F.regexp_extract(e["m"], EDGE, 3).alias("b"),
             ),
         ),
-        lambda e: (e["op"] != "") & ~e["line"].startswith("'")
-        & F.map_contains_key("known", e["a"]) & F.map_contains_key("known", e["b"]),
+        lambda e: F.map_contains_key("known", e["a"]) & F.map_contains_key("known", e["b"]),
     )
     both = known.select("artifact_id", F.inline(edges))
     down, up = F.col("op").isin("<|--", "<|.."), F.col("op").isin("--|>", "..|>")
@@ -407,14 +417,15 @@ def _rewrite(line: Column) -> Column:
     )
     arrows = F.create_map(*chain.from_iterable((F.lit(k), F.lit(v)) for k, v in fixed.ARROW_WORDS.items()))
     sign = F.coalesce(F.try_element_at(arrows, F.lower(F.regexp_extract(raw, word, 3))), F.lit("-->"))
-    lead = F.regexp_replace(raw, r"^\s+", "")
+    lead = X.lstrip(raw)
     control = _found(lead, r"^(:|if |else|endif|stop|start|fork|again)")
     member = (
         raw.endswith(";") & ~F.contains(raw, F.lit("--")) & ~F.contains(raw, F.lit("..")) & ~lead.startswith("@")
         & _found(raw, r"^\s*[+\-#~]?[\w].*[:\(]")
     )
     return (
-        F.when(_found(raw, decl), F.regexp_replace(raw, decl, "$1"))
+        F.when(~F.contains(raw, F.lit(";")) & ~F.contains(raw, F.lit("--")), raw)  # nothing below applies
+        .when(_found(raw, decl), F.regexp_replace(raw, decl, "$1"))
         .when(
             _found(raw, word),
             F.concat(

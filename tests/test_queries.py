@@ -11,8 +11,11 @@ load()
 
 @pytest.mark.parametrize("key", sorted(ORACLES))
 def test_same_rows_as_sql(spark, folder, connection, key):
-    said = difference(QUERIES[key](spark, folder), connection, ORACLES[key])
+    df = QUERIES[key](spark, folder)
+    said = difference(df, connection, ORACLES[key])
     assert said is None, said
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan and "Python" not in plan
 
 
 @pytest.mark.parametrize("key", sorted(set(QUERIES) - set(ORACLES)))
