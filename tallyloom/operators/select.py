@@ -143,8 +143,11 @@ def balanced(
     )
     order = [F.col("__a"), F.col("__b"), F.col("__m")]
     coarse = [F.col("__a"), F.col("__b"), F.substring("__m", 1, BUCKET_DIGITS)]
-    ranked = exact_rank(narrow, order, coarse, by=["diagram_type", "source_language"], name="__lang_rank")
-    left = narrow.select("source_language").distinct().withColumn("__left", F.lit(per_lang).cast("long"))
+    # keys and lengths only, read once per type below
+    ranked = checkpointed(
+        exact_rank(narrow, order, coarse, by=["diagram_type", "source_language"], name="__lang_rank")
+    )
+    left = ranked.select("source_language").distinct().withColumn("__left", F.lit(per_lang).cast("long"))
     parts = []
     for kind in types:
         pool = ranked.where(F.col("diagram_type") == kind).join(left, "source_language")
