@@ -1,0 +1,134 @@
+"""Secret scan by token efficiency (operator 9).
+
+Ordinary words are frequent in a tokenizer's training text and take few tokens; random strings
+take about one token for every one or two characters. The scan looks at long runs of the
+characters keys are made of, leaves out digests and identifiers, and reports runs with few
+characters per token. Rules for assignments, access keys and hexadecimal runs come with it; what
+they find always stays, and the method adds only runs that touch none of their spans.
+
+Defined results: a null text is empty and has no spans; offsets are code points, end exclusive;
+spans come in order of start, then of ``KINDS``. Whole texts are read, whatever their length.
+"""
+
+from __future__ import annotations
+
+import re
+
+import public_tokenizers
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
+
+from .common import load_encoding, query, table, workers_find_us
+
+KINDS = ("assign", "access", "hex", "random")
+ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
+HEX = re.compile(r"[0-9a-f]{16,}")
+RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+
+#: Runs that are long and random but no secrets: digests by their usual lengths, UUIDs, plain
+#: numbers (also with separators), dates and times, and words joined by separators.
+DIGEST = re.compile(r"(?:md5|sha1|sha256|sha512)?[=-]?(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{64}|[0-9a-fA-F]{128})=?")
+IDENTIFIER = re.compile(
+    r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"
+    r"|[0-9+/_=-]+"
+    r"|\d{4}-\d\d-\d\dT?[0-9-]*Z?"
+    r"|(?:[a-z]+|[A-Z]+|[A-Z][a-z]+)[0-9]{0,4}(?:[+/_=-]+(?:[a-z]*|[A-Z]+|[A-Z][a-z]+)[0-9]{0,4})*"
+)
+CLASSES = (re.compile(r"[a-z]"), re.compile(r"[A-Z]"), re.compile(r"[0-9]"))
+
+
+def base_spans(text: str) -> list[tuple[int, int, int]]:
+    """(start, place of the kind, end) of the three rules."""
+    found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 12]
+    found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)]
+    found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
+    return found
+
+
+def random_spans(text: str, taken: list[tuple[int, int, int]], encoding, most: float) -> list[tuple[int, int, int]]:
+    """Runs with fewer than ``most`` characters per token that touch no span in ``taken``."""
+    out = []
+    for m in RUN.finditer(text):
+        run = m[0]
+        if sum(c.search(run) is not None for c in CLASSES) < 2 or DIGEST.fullmatch(run) or IDENTIFIER.fullmatch(run):
+            continue
+        if any(s < m.end() and m.start() < e for s, _, e in taken):
+            continue
+        if len(run) < most * len(encoding.encode_ordinary(run)):
+            out.append((m.start(), 3, m.end()))
+    return out
+
+
+def scan(
+    df: DataFrame,
+    text: str = "text",
+    out: str = "spans",
+    path: str | None = None,
+    chars_per_token: float = 2.0,
+) -> DataFrame:
+    """Add ``out``: array of (kind, start, end) of every secret in ``text``."""
+    workers_find_us(df.sparkSession)
+    path, pattern = path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+
+    @F.arrow_udf("array<struct<kind:string,start:int,end:int>>")
+    def spans(texts: pa.Array) -> pa.Array:
+        encoding = load_encoding(path, pattern)
+        rows = []
+        for scalar in texts:
+            value = scalar.as_py() or ""
+            base = base_spans(value)
+            found = sorted(base + random_spans(value, base, encoding, chars_per_token))
+            rows.append([{"kind": KINDS[k], "start": s, "end": e} for s, k, e in found])
+        kind = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
+        return pa.array(rows, type=pa.list_(kind))
+
+    return df.withColumn(out, spans(F.col(text)))
+
+
+def redact(df: DataFrame, text: str = "text", spans: str = "spans", mark: str = "[SECRET]") -> DataFrame:
+    """Replace what the spans cover by ``mark``; overlapping spans give one mark.
+
+    A null text stays null.
+    """
+    # reach: where the cover of all spans so far ends; a span that starts before it adds no mark
+    state = "struct<done:string,reach:int>"
+    start = F.struct(F.lit("").alias("done"), F.lit(0).alias("reach")).cast(state)
+
+    def step(a, s):
+        fresh = s["start"] >= a["reach"]
+        between = F.substr(F.col(text), a["reach"] + 1, s["start"] - a["reach"])
+        return F.struct(
+            F.when(fresh, F.concat(a["done"], between, F.lit(mark))).otherwise(a["done"]).alias("done"),
+            F.greatest(a["reach"], s["end"]).alias("reach"),
+        ).cast(state)
+
+    def finish(a):
+        return F.concat(a["done"], F.substr(F.col(text), a["reach"] + 1))
+
+    masked = F.when(F.size(spans) > 0, F.aggregate(F.col(spans), start, step, finish)).otherwise(F.col(text))
+    return df.withColumn(text, masked)
+
+
+def listed(spans, kinds=KINDS):
+    """kind:start:end of the spans of ``kinds``, comma-joined."""
+    chosen = F.filter(spans, lambda s: s["kind"].isin(*kinds))
+    return F.array_join(F.transform(chosen, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+@query("op9_token_efficiency")
+def _(spark, folder):
+    found = scan(table(spark, folder, "documents").select("doc_id", "text"))
+    spans = F.col("spans")
+
+    def count(kind):
+        return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+    return found.select(
+        "doc_id",
+        count("assign").alias("n_assign"),
+        count("access").alias("n_access"),
+        count("hex").alias("n_hex"),
+        F.sha2(listed(spans, KINDS[:3]).cast("binary"), 256).alias("base_sha256"),
+        listed(spans).alias("spans"),
+    )
