@@ -106,6 +106,27 @@ class Words:
         return np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), dtype=np.uint64, count=len(words))
 
 
+def sliced(f, limit: int = 4 << 20):
+    """Apply ``f`` to runs of rows of about ``limit`` bytes, so that its working arrays stay small.
+
+    Only a single text above the limit is larger. Columns are cut at the same rows.
+    """
+
+    def apply(*columns: pa.Array) -> pa.Array:
+        n = len(columns[0])
+        size = sum(np.asarray(pc.fill_null(pc.binary_length(c), 0)).astype(np.int64) for c in columns)
+        upto = np.cumsum(size)
+        out, start = [], 0
+        while start < n:
+            before = upto[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(upto, before + limit, side="right")))
+            out.append(f(*[c.slice(start, stop - start) for c in columns]))
+            start = stop
+        return pa.concat_arrays(out) if out else f(*columns)
+
+    return apply
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser that spreads 64-bit values evenly (splitmix64)."""
     x = x + np.uint64(0x9E3779B97F4A7C15)

@@ -1,4 +1,4 @@
 """Import every operator module; importing registers its query."""
 
-from . import bpe, chat, mih, mixing, outliers, quality, secrets, toxicity  # noqa: F401
+from . import bpe, chat, mih, mixing, outliers, quality, secret_scan, toxicity  # noqa: F401
 from .common import ORACLES, QUERIES  # noqa: F401

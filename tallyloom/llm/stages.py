@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, secrets
+from . import bpe, secret_scan
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def scanned(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a mark; every document stays, ``n_chars`` follows the text."""
-    marked = secrets.redact(secrets.scan(docs.select(*COLUMNS), out="__spans"), spans="__spans")
+    marked = secret_scan.redact(secret_scan.scan(docs.select(*COLUMNS), out="__spans"), spans="__spans")
     changed = F.size("__spans") > 0
     return marked.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
