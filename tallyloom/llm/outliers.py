@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import checkpointed
-from .common import Words, expand, mix, query, shingle_hashes, table, workers_find_us
+from .common import Words, expand, mix, query, shingle_hashes, sliced, table, workers_find_us
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 VECTOR = ["x0", "x1", "x2", "x3"]
@@ -89,8 +89,8 @@ def counted(df: DataFrame, text: str = "text", window: int = 8) -> DataFrame:
     workers_find_us(df.sparkSession)
     names = [*COUNTS, "n_lines"]
 
-    @F.arrow_udf("struct<" + ",".join(f"{n}:long" for n in names) + ">")
-    def count(texts: pa.Array) -> pa.Array:
+    @sliced
+    def count_texts(texts: pa.Array) -> pa.Array:
         words = Words(texts)
         n = len(words)
         # bytes that begin a code point, inside words only
@@ -115,6 +115,10 @@ def counted(df: DataFrame, text: str = "text", window: int = 8) -> DataFrame:
         ]
         return pa.StructArray.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=names)
 
+    @F.arrow_udf("struct<" + ",".join(f"{n}:long" for n in names) + ">")
+    def count(texts: pa.Array) -> pa.Array:
+        return count_texts(texts)
+
     return expand(df.withColumn("__counts", count(F.col(text))), "__counts", names)
 
 
