@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyloom.llm.common import table
-from tallyloom.llm.stages import encoded, scanned
+from tallyloom.llm.stages import deduplicated, encoded, filtered, mixed, scanned
 
 STAGES = [
+    ("weak_label_quality", filtered),
+    ("order_minhash_dedup", deduplicated),
     ("secret_scan", scanned),
+    ("soft_mixing", mixed),
     ("byte_bpe", encoded),
 ]
 

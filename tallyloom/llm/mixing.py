@@ -37,7 +37,6 @@ class Settings:
     evidence: float = 25.0  #: a text counts as at most so many words of evidence, so that long texts stay soft
     steps: int = 60
     tolerance: float = 1e-6  #: of the targets' total
-    cut: int = 12  #: steps after which the rates are written down
 
 
 def words_of(text: str) -> Column:
@@ -104,43 +103,46 @@ def memberships(docs: DataFrame, model: tuple[list[list[float]], list[float]], t
     return held.withColumn(out, posterior).drop("__z")
 
 
-def rates(docs: DataFrame, targets: dict[str, float], posterior: str, tokens: str, out: str, s: Settings, budget: float | str = "same") -> DataFrame:
-    """Add ``out``: the nonnegative rate of every document.
+def rate_of(posterior: str, moves: list[list[float]]) -> Column:
+    """The rate after the given steps, each projected to zero or above."""
+    rate: Column = F.lit(1.0)
+    for step in moves:
+        move = sum((F.col(posterior)[i] * F.lit(c) for i, c in enumerate(step)), F.lit(0.0))
+        rate = F.greatest(F.lit(0.0), rate - move)
+    return rate
+
+
+def fit_rates(docs: DataFrame, targets: dict[str, float], posterior: str, tokens: str, s: Settings, budget: float | str = "same") -> list[list[float]]:
+    """The steps of the projected gradient, one number per domain each.
 
     ``targets`` weigh the domains. ``budget`` is the total number of tokens wanted: a number, or
     ``"same"`` (as many as there are), or ``"no_loss"`` (so many that no domain's target lies
     below its present total).
     """
-    k = len(targets)
-    p = [F.col(posterior)[i] for i in range(k)]
+    p = [F.col(posterior)[i] for i in range(len(targets))]
 
-    def totals(df: DataFrame, rate: Column) -> list[float]:
-        row = df.agg(*[F.sum(rate * F.col(tokens) * x) for x in p]).first()
+    def totals(moves: list[list[float]]) -> list[float]:
+        row = docs.agg(*[F.sum(rate_of(posterior, moves) * F.col(tokens) * x) for x in p]).first()
         return [float(x or 0.0) for x in row]
 
-    now = totals(docs, F.lit(1.0))
+    now = totals([])
     weights = [w / sum(targets.values()) for w in targets.values()]
     if budget == "same":
         budget = sum(now)
     elif budget == "no_loss":
         budget = max([t / w for t, w in zip(now, weights) if w > 0], default=0.0)
     wanted = [w * budget for w in weights]
-    df, rate = docs, F.lit(1.0)
-    reached = now
-    for step in range(1, s.steps + 1):
+    moves, reached = [], now
+    while len(moves) < s.steps:
         error = [r - w for r, w in zip(reached, wanted)]
         if sum(map(abs, error)) <= s.tolerance * max(budget, 1.0):
             break
-        move = sum((x * F.lit(e / t) for x, e, t in zip(p, error, now) if t > 0), F.lit(0.0))
-        rate = F.greatest(F.lit(0.0), rate - move)
-        if step % s.cut == 0:
-            df = checkpointed(df.withColumn("__rate", rate))
-            rate = F.col("__rate")
-        reached = totals(df, rate)
-    return df.withColumn(out, rate).drop("__rate")
+        moves.append([e / t if t > 0 else 0.0 for e, t in zip(error, now)])
+        reached = totals(moves)
+    return moves
 
 
-def mix(
+def fitted(
     docs: DataFrame,
     labelled: DataFrame,
     targets: dict[str, float],
@@ -149,12 +151,35 @@ def mix(
     domain: str = "lang",
     budget: float | str = "same",
     s: Settings | None = None,
-) -> DataFrame:
-    """``key``, ``n_tokens``, ``posterior`` (in the order of ``targets``) and ``rate`` of every document."""
+) -> tuple[tuple[list[list[float]], list[float]], DataFrame, list[list[float]]]:
+    """Classifier, checkpointed memberships (``key``, ``posterior``, ``n_tokens``) and the fitted steps."""
     s = s or Settings()
     model = classifier(docs, labelled, list(targets), key, text, domain, s)
     narrow = checkpointed(memberships(docs.select(key, text), model, text, "posterior", "n_tokens", s).drop(text))
-    return rates(narrow, targets, "posterior", "n_tokens", "rate", s, budget)
+    return model, narrow, fit_rates(narrow, targets, "posterior", "n_tokens", s, budget)
+
+
+def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], **options) -> DataFrame:
+    """``key``, ``n_tokens``, ``posterior`` (in the order of ``targets``) and ``rate`` of every document."""
+    _, narrow, moves = fitted(docs, labelled, targets, **options)
+    return narrow.withColumn("rate", rate_of("posterior", moves))
+
+
+def resample(
+    docs: DataFrame, labelled: DataFrame, targets: dict[str, float], key: str = "doc_id", text: str = "text", seed: int = 23, s: Settings | None = None, **options
+) -> DataFrame:
+    """``docs`` with every row as often as its rate says.
+
+    A rate of 2.3 is two copies and, for three ids in ten (by a hash of the id), a third one.
+    Memberships are computed again beside the texts, which costs less than to shuffle the texts.
+    """
+    s = s or Settings()
+    model, _, moves = fitted(docs, labelled, targets, key=key, text=text, s=s, **options)
+    rated = memberships(docs, model, text, "__posterior", "__tokens", s).withColumn("__rate", rate_of("__posterior", moves))
+    chance = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1_000_000)) / 1e6
+    copies = (F.floor("__rate") + (chance < F.col("__rate") - F.floor("__rate")).cast("int")).cast("int")
+    rated = rated.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), copies)))
+    return rated.select(*docs.columns)
 
 
 TARGETS = {"en": 0.4, "fr": 0.2, "de": 0.2, "es": 0.2}

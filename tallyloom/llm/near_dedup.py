@@ -8,14 +8,17 @@ Candidates are verified exactly: the longest common subsequence of both shingle
 the band outside of which no alignment can reach the threshold, over the longer length, must be
 ``similarity`` or more. Verified links are closed to classes.
 
-Groups. Exact copies become one node before anything else, by an aggregate. A bucket of up to
-``small`` nodes is compared pair by pair. A larger one is compared with its most connected member
-first, which settles groups of copies in as many comparisons as members. Members that are still in
-different classes then meet in finer buckets, under pairs of large buckets they share: what only
-shares a frequent passage falls apart there. Finer buckets that stay large are compared with their
-most connected member and, where that leaves several classes, pair by pair across classes, leaving
-out only pairs whose distances to that member differ too much for them to be similar (triangle
-inequality of the alignment distance).
+Groups. Exact copies become one node before anything else, by an aggregate. In every bucket, of any
+size, the members are first compared with the most connected of them: a group of copies is settled
+in as many comparisons as it has members. Members that a bucket still holds in different classes
+are then compared across classes. Before a pair is verified, its lengths must allow the threshold,
+and one bit of each of 512 minima of both texts must agree in ``agree`` places (a pair just at the
+threshold agrees in 427 on average, with a standard deviation of 8.4, so one in two hundred such
+pairs is lost, and one in a thousand at a similarity of 0.81); what only shares a passage is sorted
+out there and never reaches the texts. Across classes the distances to the bucket's most connected
+member must not differ by more than the pair may (triangle inequality of the alignment distance).
+Buckets of more than ``large`` members are first cut into finer ones, under pairs of large buckets a
+member is in.
 
 With 24 tuples of three, a pair at the threshold meets in a bucket with probability above 0.999.
 
@@ -43,7 +46,8 @@ class Settings:
     similarity: float = 0.8
     sketches: int = 24
     length: int = 3
-    small: int = 16
+    agree: int = 405  #: of 512 minima
+    large: int = 8192
     seed: int = 11
 
 
@@ -80,7 +84,15 @@ def order_sketch(shingles: np.ndarray, s: Settings) -> np.ndarray:
     return out.view(np.int64)
 
 
-def aligned(a: np.ndarray, b: np.ndarray, similarity: float) -> int:
+def _held(x: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Which of ``x`` occur in the sorted ``ordered``."""
+    if not len(ordered):
+        return np.zeros(len(x), dtype=bool)
+    at = np.minimum(np.searchsorted(ordered, x), len(ordered) - 1)
+    return ordered[at] == x
+
+
+def aligned(a: np.ndarray, b: np.ndarray, similarity: float, sorted_a: np.ndarray | None = None, sorted_b: np.ndarray | None = None) -> int:
     """Length of the longest common subsequence within the band of the threshold.
 
     Matches further off the diagonal than the number of shingles that may stay unmatched are in
@@ -91,17 +103,23 @@ def aligned(a: np.ndarray, b: np.ndarray, similarity: float) -> int:
     if min(len(a), len(b)) < need:
         return 0
     band = longer - need
+    in_b = _held(a, np.sort(b) if sorted_b is None else sorted_b)
+    if np.count_nonzero(in_b) < need:
+        return 0
+    in_a = _held(b, np.sort(a) if sorted_a is None else sorted_a)
+    if np.count_nonzero(in_a) < need:
+        return 0
     n = min(len(a), len(b))
-    differ = np.flatnonzero(a[:n] != b[:n])
-    head = int(differ[0]) if len(differ) else n
+    same = a[:n] == b[:n]
+    head = n if same.all() else int(same.argmin())
     rest = n - head
-    differ = np.flatnonzero(a[len(a) - rest :][::-1] != b[len(b) - rest :][::-1]) if rest else np.zeros(0, int)
-    tail = int(differ[0]) if len(differ) else rest
-    a_at, b_at = np.arange(head, len(a) - tail), np.arange(head, len(b) - tail)
-    a_at, b_at = a_at[np.isin(a[a_at], b[b_at])], b_at[np.isin(b[b_at], a[a_at])]
+    tail = 0
+    if rest:
+        same = a[len(a) - rest :][::-1] == b[len(b) - rest :][::-1]
+        tail = rest if same.all() else int(same.argmin())
+    a_at = head + np.flatnonzero(in_b[head : len(a) - tail])
+    b_at = head + np.flatnonzero(in_a[head : len(b) - tail])
     got = head + tail
-    if got + min(len(a_at), len(b_at)) < need:
-        return got
     x, y = a[a_at], b[b_at]
     if len(x) == len(y) and (x == y).all() and (len(x) == 0 or np.abs(a_at - b_at).max() <= band):
         return got + len(x)
@@ -114,7 +132,7 @@ def aligned(a: np.ndarray, b: np.ndarray, similarity: float) -> int:
     open_ = full
     for v, lo, hi in zip(x.tolist(), low.tolist(), high.tolist()):
         if hi > lo:
-            match = open_ & where[v] & (((1 << (hi - lo)) - 1) << lo)
+            match = open_ & where.get(v, 0) & (((1 << (hi - lo)) - 1) << lo)
             open_ = ((open_ + match) | (open_ - match)) & full
     return got + len(y) - open_.bit_count()
 
@@ -144,28 +162,68 @@ def sketched(df: DataFrame, text: str, s: Settings) -> DataFrame:
     return df.select(node_of(text).alias("node"), buckets(F.col(text)).alias("buckets"))
 
 
-def verified(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
-    """Add to (a, b) the lengths ``n_a``, ``n_b`` in shingles and how many are ``aligned``."""
-    one = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    some = texts.join(one, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))
+MINIMA = 512
+
+
+def minima(shingles: np.ndarray) -> np.ndarray:
+    """Minima under as many hash functions, one bit of each, packed into integers."""
+    flip = mix(np.arange(MINIMA, dtype=np.uint64) + np.uint64(1 << 40))
+    scale = mix(flip) | np.uint64(1)
+    base = labelled(shingles)
+    least = np.zeros(MINIMA, dtype=np.uint64)
+    if len(base):
+        step = max(1, (1 << 18) // len(base))
+        for j in range(0, MINIMA, step):
+            least[j : j + step] = ((base[None, :] ^ flip[j : j + step, None]) * scale[j : j + step, None]).min(axis=1)
+    return np.packbits((mix(least) >> np.uint64(63)).astype(np.uint8)).view(np.int64)
+
+
+def shared_texts(texts: DataFrame, nodes: DataFrame, s: Settings) -> DataFrame:
+    """Text, number of shingles and minima of the nodes that share a bucket, each once."""
 
     @sliced
+    def describe(column: pa.Array) -> pa.Array:
+        words = Words(column, lower=True)
+        hashes = words.hashes()[words.codes] if len(words.codes) else np.zeros(0, np.uint64)
+        each = [shingle_hashes(hashes[a:b], s.words) for a, b in zip(words.offsets[:-1], words.offsets[1:])]
+        at = np.arange(len(each) + 1, dtype=np.int32) * (MINIMA // 64)
+        flat = np.concatenate([minima(x) for x in each]) if each else np.zeros(0, np.int64)
+        n = pa.array(np.array([len(x) for x in each], dtype=np.int32))
+        return pa.StructArray.from_arrays([n, pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], names=["n", "minima"])
+
+    @F.arrow_udf("struct<n:int,minima:array<long>>")
+    def described(column: pa.Array) -> pa.Array:
+        return describe(column)
+
+    one = texts.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))
+    return one.select("node", "text", described("text").alias("d")).select("node", "text", "d.*")
+
+
+def verified(pairs: DataFrame, some: DataFrame, similarity: float, k: int) -> DataFrame:
+    """Add to (a, b) the lengths ``n_a``, ``n_b`` in shingles and how many are ``aligned``.
+
+    The band is that of ``similarity``; at 0 it is open, and the alignment is the longest there is.
+    """
+
     def compare(left: pa.Array, right: pa.Array) -> pa.Array:
-        both = pa.concat_arrays([left, right])
-        words = Words(both, lower=True)
+        # a text in many pairs is cut into shingles once
+        texts = pa.concat_arrays([left, right]).dictionary_encode()
+        words = Words(texts.dictionary, lower=True)
         hashes = words.hashes()[words.codes] if len(words.codes) else np.zeros(0, np.uint64)
+        each = [shingle_hashes(hashes[a:b], k) for a, b in zip(words.offsets[:-1], words.offsets[1:])]
+        ordered = [np.sort(x) for x in each]
+        place = np.asarray(texts.indices)
         n = len(left)
         rows = np.zeros((3, n), dtype=np.int32)
-        at = words.offsets
-        for i in range(n):
-            x = shingle_hashes(hashes[at[i] : at[i + 1]], s.words)
-            y = shingle_hashes(hashes[at[n + i] : at[n + i + 1]], s.words)
-            rows[:, i] = len(x), len(y), aligned(x, y, s.similarity)
+        for i, (x, y) in enumerate(zip(place[:n].tolist(), place[n:].tolist())):
+            rows[:, i] = len(each[x]), len(each[y]), aligned(each[x], each[y], similarity, ordered[x], ordered[y])
         return pa.StructArray.from_arrays([pa.array(r) for r in rows], names=["n_a", "n_b", "aligned"])
 
+    cut = sliced(compare, 16 << 20)
+
     @F.arrow_udf("struct<n_a:int,n_b:int,aligned:int>")
     def align(left: pa.Array, right: pa.Array) -> pa.Array:
-        return compare(left, right)
+        return cut(left, right)
 
     joined = pairs.join(some.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(
         some.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b"
@@ -196,72 +254,97 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _ordered(x: str, y: str) -> list[Column]:
-    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+def _may_link(x: str, y: str, s: Settings) -> Column:
+    """Lengths and minima of two rows (columns prefixed ``x`` and ``y``) allow the threshold."""
+    n = [F.col(f"{p}_n") for p in (x, y)]
+    differing = F.lit(0)
+    for i in range(MINIMA // 64):
+        differing = differing + F.bit_count(F.col(f"{x}_minima")[i].bitwiseXOR(F.col(f"{y}_minima")[i]))
+    return (F.least(*n) >= s.similarity * F.greatest(*n) - 1e-9) & (differing <= MINIMA - s.agree)
 
 
-def _meeting(rows: DataFrame, extra: list[str] = []) -> DataFrame:
-    """Pairs of rows of one bucket, in one order, each once."""
-    left = rows.select("bucket", F.col("node").alias("a"), *[F.col(c).alias(f"{c}_a") for c in extra])
-    right = rows.select("bucket", F.col("node").alias("b"), *[F.col(c).alias(f"{c}_b") for c in extra])
-    return left.join(right, "bucket").where("a < b")
+def _side(rows: DataFrame, prefix: str, columns: list[str]) -> DataFrame:
+    return rows.select("bucket", *[F.col(c).alias(f"{prefix}_{c}") for c in columns])
 
 
-def _leaders(rows: DataFrame) -> DataFrame:
-    """The most connected member of every bucket."""
-    return rows.groupBy("bucket").agg(F.max_by("node", F.struct("weight", "node")).alias("leader"))
+def _pairs(met: DataFrame) -> DataFrame:
+    return met.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
 
 
-def _with_label(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    return rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+WIDE = ["node", "n", "minima"]
 
 
-def _split(rows: DataFrame) -> DataFrame:
-    """Rows of buckets that hold several classes, with the bucket's size."""
-    sizes = rows.groupBy("bucket").agg(F.count("*").alias("size"), F.min("label").alias("x"), F.max("label").alias("y"))
-    return rows.join(sizes.where("x <> y").select("bucket", "size"), "bucket")
+def _with_leader(rows: DataFrame, s: Settings) -> DataFrame:
+    """Pairs of a bucket's most connected member and every other that may link to it."""
+    lead = rows.groupBy("bucket").agg(F.max_by(F.struct(*WIDE), F.struct("weight", "node")).alias("l"))
+    lead = lead.select("bucket", *[F.col("l")[c].alias(f"y_{c}") for c in WIDE])
+    return _pairs(_side(rows, "x", WIDE).join(lead, "bucket").where((F.col("x_node") != F.col("y_node")) & _may_link("x", "y", s)))
+
+
+def _across(rows: DataFrame, tested: DataFrame, s: Settings) -> DataFrame:
+    """Pairs of different classes in a bucket: all members outside of the leader's class with all members."""
+    lead = rows.groupBy("bucket").agg(F.max_by(F.struct("label", "node"), F.struct("weight", "node")).alias("l"), F.min("label").alias("low"), F.max("label").alias("high"))
+    lead = lead.where("low <> high").select("bucket", F.col("l.label").alias("first"), F.col("l.node").alias("leader"))
+    distance = F.col("n_a") + F.col("n_b") - 2 * F.col("aligned")
+    known = tested.select(F.col("a").alias("node"), F.col("b").alias("leader"), distance.alias("far")).union(
+        tested.select(F.col("b").alias("node"), F.col("a").alias("leader"), distance.alias("far"))
+    )
+    several = rows.join(lead, "bucket").join(known, ["node", "leader"], "left")
+    several = several.withColumn("far", F.when(F.col("node") == F.col("leader"), F.lit(0)).otherwise(F.col("far")))
+    wide = [*WIDE, "label", "far"]
+    x, y = _side(several.where("label <> first"), "x", wide), _side(several, "y", wide)
+    most = F.col("x_n") + F.col("y_n") - 2 * F.ceil(s.similarity * F.greatest("x_n", "y_n") - 1e-9)
+    near = F.coalesce(F.abs(F.col("x_far") - F.col("y_far")) <= most, F.lit(True))
+    return _pairs(x.join(y, "bucket").where((F.col("x_label") != F.col("y_label")) & near & _may_link("x", "y", s)))
+
+
+def _finer(rows: DataFrame) -> DataFrame:
+    """Rows under pairs of the buckets each node is in."""
+    held = rows.groupBy("node").agg(
+        F.array_sort(F.collect_list("bucket")).alias("all"), *[F.first(c).alias(c) for c in ("n", "minima", "weight", "label")]
+    )
+    pairs = F.transform("all", lambda x, i: F.transform(F.slice(F.col("all"), i + 2, F.size("all")), lambda y: F.xxhash64(x, y)))
+    return held.select(F.explode(F.flatten(pairs)).alias("bucket"), "node", "n", "minima", "weight", "label")
 
 
 def links_of(texts: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
-    """All verified links (a, b) between nodes, and the components they form.
+    """All verified links (a, b) between nodes, and the components (node, label) they form.
 
     ``texts`` has ``node`` and ``text``, in any number of copies.
     """
     nodes = sketched(texts, "text", s).groupBy("node").agg(F.first("buckets").alias("buckets"))
-    spread = nodes.select("node", F.explode("buckets").alias("bucket"))
-    spread = checkpointed(spread)
+    spread = checkpointed(nodes.select("node", F.explode("buckets").alias("bucket")))
     sizes = spread.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     shared = checkpointed(spread.join(sizes, "bucket"))
-    large = shared.where(F.col("size") > s.small).drop("size")
-    weights = large.join(sizes, "bucket").groupBy("node").agg(F.sum(F.log2("size")).alias("weight"))
-    large = checkpointed(large.join(weights, "node"))
-
-    def star(rows: DataFrame) -> DataFrame:
-        return rows.join(_leaders(rows), "bucket").where("node <> leader")
-
-    first = _meeting(shared.where(F.col("size") <= s.small)).select("a", "b").union(star(large).select(*_ordered("node", "leader")))
-    tested = checkpointed(verified(first.distinct(), texts, s))
-    links = linked(tested, s)
-    labels = components(links)
-
-    # large buckets that still hold several classes: finer buckets under pairs of them
-    open_rows = _split(_with_label(large, labels))
-    held = open_rows.groupBy("node", "weight", "label").agg(F.array_sort(F.collect_list("bucket")).alias("all"))
-    fine = held.select(
-        "node", "weight", "label",
-        F.explode(F.flatten(F.transform("all", lambda x, i: F.transform(F.slice(F.col("all"), i + 2, F.size("all")), lambda y: F.xxhash64(x, y))))).alias("bucket"),
+    weights = shared.groupBy("node").agg(F.sum(F.log2("size")).alias("weight"))
+    some = checkpointed(shared_texts(texts, weights.select("node"), s))
+    rows = checkpointed(shared.join(some.drop("text"), "node").join(weights, "node"))
+
+    tested = checkpointed(verified(_with_leader(rows, s), some, 0.0, s.words))
+    labels = components(linked(tested, s))
+
+    rows = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    columns = ["bucket", *WIDE, "weight", "label"]
+    fine = rows.where(F.col("size") <= s.large).select(*columns).union(_finer(rows.where(F.col("size") > s.large)).select(*columns))
+    second = _across(fine, tested, s).join(tested.select("a", "b"), ["a", "b"], "left_anti")
+    links = checkpointed(linked(tested, s).union(linked(verified(second, some, s.similarity, s.words), s)))
+    return links, components(links)
+
+
+def classes(df: DataFrame, key: str = "doc_id", text: str = "text", s: Settings | None = None) -> DataFrame:
+    """``doc_id``, ``node``, ``class_node``, ``class_id`` and ``class_size`` of every row of ``df``."""
+    s = s or Settings()
+    rows = df.select(F.col(key).alias("doc_id"), node_of(text).alias("node"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    _, labels = links_of(rows.select("node", "text"), s)
+    named = rows.select("doc_id", "node").join(labels, "node", "left").withColumn("class", F.coalesce("label", "node"))
+    first = named.groupBy("class").agg(
+        F.min("doc_id").alias("class_id"),
+        F.min_by("node", F.struct(F.col("doc_id").isNull(), "doc_id", "node")).alias("class_node"),
+        F.count("*").alias("class_size"),
     )
-    fine = checkpointed(_split(fine))
-    across = _meeting(fine.where(F.col("size") <= s.small), ["label"]).where("label_a <> label_b").select("a", "b")
-    big = fine.where(F.col("size") > s.small).drop("size")
-    second = across.union(star(big).select(*_ordered("node", "leader"))).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
-    tested = checkpointed(tested.unionByName(verified(second, texts, s)))
-    links = linked(tested, s)
-    labels = components(links)
-
-    # what is left: across classes, as far as the distances to the leader allow
-    rest = _split(_with_label(big.drop("label"), labels).drop("size")).drop("size")
-    known = tested.select(F.col("a").alias("node"), F.col("b").alias("leader"), F.col("n_a").alias("n"), "n_b", "aligned").union(
-        tested.select(F.col("b").alias("node"), F.col("a").alias("leader"), F.col("n_b").alias("n"), F.col("n_a").alias("n_b"), "aligned")
-    )
-    return tested, labels, rest, known
+    return named.join(first, "class").select("doc_id", "node", "class_node", "class_id", "class_size")
+
+
+@query("op1_order_minhash")
+def _(spark, folder):
+    return classes(table(spark, folder, "documents")).select("doc_id", "class_id", "class_size")
