@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Words, crc_mod, query, table, workers_find_us
+from .common import Words, crc_mod, query, sliced, table, workers_find_us
 
 TRIM = bytes(c for c in range(128) if not chr(c).isalpha())
 
@@ -123,12 +123,16 @@ def sampled_sets(docs: DataFrame, ids: DataFrame, key: str, text: str, s: Settin
     """Word sets of the documents whose id is in ``ids`` (bounded by the settings), without a null id."""
     bits = s.bits
 
-    @F.arrow_udf("array<int>")
-    def sets(texts: pa.Array) -> pa.Array:
+    @sliced
+    def sets_of(texts: pa.Array) -> pa.Array:
         owner, found = word_sets(texts, bits)
         at = np.searchsorted(owner, np.arange(len(texts) + 1)).astype(np.int32)
         return pa.ListArray.from_arrays(pa.array(at), pa.array(found.astype(np.int32)))
 
+    @F.arrow_udf("array<int>")
+    def sets(texts: pa.Array) -> pa.Array:
+        return sets_of(texts)
+
     chosen = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(F.broadcast(ids), "id", "left_semi")
     got = chosen.select(sets("text").alias("set")).toArrow().column("set")
     return [np.asarray(x.values, dtype=np.int64) for x in got if x.is_valid]
@@ -159,12 +163,16 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "text",
     workers_find_us(docs.sparkSession)
     shared, b = docs.sparkSession.sparkContext.broadcast(model[0]), model[1]
 
-    @F.arrow_udf("double")
-    def scores(texts: pa.Array) -> pa.Array:
+    @sliced
+    def scores_of(texts: pa.Array) -> pa.Array:
         owner, found = word_sets(texts, bits)
         z = np.bincount(owner, weights=shared.value[found], minlength=len(texts)) + b
         return pa.array(_sigmoid(z))
 
+    @F.arrow_udf("double")
+    def scores(texts: pa.Array) -> pa.Array:
+        return scores_of(texts)
+
     return docs.withColumn(out, scores(F.col(text)))
 
 
