@@ -22,7 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Words, expand, mix, query, shingle_hashes, table, workers_find_us
+from .common import Words, expand, mix, query, shingle_hashes, sliced, table, workers_find_us
 from .toxicity import _sigmoid
 
 #: Every kind of defect is looked for by two labellers or more: only where they overlap can their
@@ -229,9 +229,13 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", s: Settings
     s = s or Settings()
     workers_find_us(docs.sparkSession)
 
+    @sliced
+    def pattern_of(texts: pa.Array) -> pa.Array:
+        return pa.array(encode_votes(votes(Words(texts))).astype(np.int32))
+
     @F.arrow_udf("int")
     def pattern(texts: pa.Array) -> pa.Array:
-        return pa.array(encode_votes(votes(Words(texts))).astype(np.int32))
+        return pattern_of(texts)
 
     counts = docs.select(pattern(F.col(text)).alias("pattern")).groupBy("pattern").agg(F.count("*").alias("n")).toArrow()
     patterns, n = np.asarray(counts.column("pattern")), np.asarray(counts.column("n"))
@@ -245,8 +249,8 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", s: Settings
     bits = s.bits
     ids = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("id")).orderBy(F.xxhash64("id", F.lit(s.seed)), "id").limit(s.sample)
 
-    @F.arrow_udf("struct<pattern:int,hashed:array<int>,value:array<double>>")
-    def example(texts: pa.Array) -> pa.Array:
+    @sliced
+    def example_of(texts: pa.Array) -> pa.Array:
         words = Words(texts)
         owner, hashed, value = shapes(words, bits)
         at = pa.array(np.searchsorted(owner, np.arange(len(words) + 1)).astype(np.int32))
@@ -259,6 +263,10 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", s: Settings
             names=["pattern", "hashed", "value"],
         )
 
+    @F.arrow_udf("struct<pattern:int,hashed:array<int>,value:array<double>>")
+    def example(texts: pa.Array) -> pa.Array:
+        return example_of(texts)
+
     chosen = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(F.broadcast(ids), "id", "left_semi")
     rows = [r["e"] for r in chosen.select(example("text").alias("e")).toArrow().to_pylist()]
     rows = [r for r in rows if len(r["hashed"])]
@@ -275,8 +283,8 @@ def judge(docs: DataFrame, model: Model, text: str = "text", s: Settings | None
     shared = docs.sparkSession.sparkContext.broadcast((model.posterior, model.weights, model.intercept))
     bits = s.bits
 
-    @F.arrow_udf("struct<posterior:double,score:double>")
-    def verdict(texts: pa.Array) -> pa.Array:
+    @sliced
+    def verdict_of(texts: pa.Array) -> pa.Array:
         posterior, weights, intercept = shared.value
         words = Words(texts)
         owner, hashed, value = shapes(words, bits)
@@ -284,6 +292,10 @@ def judge(docs: DataFrame, model: Model, text: str = "text", s: Settings | None
         score = np.where(np.diff(words.offsets) > 0, _sigmoid(z), 0.0)
         return pa.StructArray.from_arrays([pa.array(posterior[encode_votes(votes(words))]), pa.array(score)], names=["posterior", "score"])
 
+    @F.arrow_udf("struct<posterior:double,score:double>")
+    def verdict(texts: pa.Array) -> pa.Array:
+        return verdict_of(texts)
+
     judged = expand(docs.withColumn("__verdict", verdict(F.col(text))), "__verdict", ["posterior", "score"])
     return judged.withColumn("kept", F.col("score") >= s.keep)
 
