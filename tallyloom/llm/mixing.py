@@ -62,9 +62,9 @@ def classifier(docs: DataFrame, labelled: DataFrame, domains: list[str], key: st
     """Log likelihoods per domain and hashed word, and log priors, from counts over all labelled documents."""
     known = labelled.where(F.col(domain).isin(*domains)).select(F.col(key).alias("__id"), F.col(domain).alias("__domain")).distinct()
     words = (
-        docs.select(F.col(key).alias("__id"), words_of(text).alias("__words"))
+        docs.select(F.col(key).alias("__id"), F.col(text).alias("__text"))
         .join(known, "__id")
-        .select("__domain", F.explode("__words").alias("__word"))
+        .select("__domain", F.explode(words_of("__text")).alias("__word"))
         .where("__word <> ''")
     )
     counts = words.groupBy("__domain", hashed(F.col("__word"), s.bits).alias("__bucket")).agg(F.count("*").alias("n")).collect()
