@@ -15,10 +15,10 @@ are then compared across classes. Before a pair is verified, its lengths must al
 and one bit of each of 512 minima of both texts must agree in ``agree`` places (a pair just at the
 threshold agrees in 427 on average, with a standard deviation of 8.4, so one in two hundred such
 pairs is lost, and one in a thousand at a similarity of 0.81); what only shares a passage is sorted
-out there and never reaches the texts. Across classes the distances to the bucket's most connected
-member must not differ by more than the pair may (triangle inequality of the alignment distance).
-Buckets of more than ``large`` members are first cut into finer ones, under pairs of large buckets a
-member is in.
+out there and never reaches the texts. Comparisons across classes happen inside tasks, each pair in
+one bucket only, and only links leave them. Buckets of more than ``large`` members are first cut into
+finer ones, under pairs of large buckets a member is in, and what is still larger is compared block
+by block.
 
 With 24 tuples of three, a pair at the threshold meets in a bucket with probability above 0.999.
 
@@ -202,7 +202,7 @@ def shared_texts(texts: DataFrame, nodes: DataFrame, s: Settings) -> DataFrame:
 def verified(pairs: DataFrame, some: DataFrame, similarity: float, k: int) -> DataFrame:
     """Add to (a, b) the lengths ``n_a``, ``n_b`` in shingles and how many are ``aligned``.
 
-    The band is that of ``similarity``; at 0 it is open, and the alignment is the longest there is.
+    The band is that of ``similarity``.
     """
 
     def compare(left: pa.Array, right: pa.Array) -> pa.Array:
@@ -281,30 +281,99 @@ def _with_leader(rows: DataFrame, s: Settings) -> DataFrame:
     return _pairs(_side(rows, "x", WIDE).join(lead, "bucket").where((F.col("x_node") != F.col("y_node")) & _may_link("x", "y", s)))
 
 
-def _across(rows: DataFrame, tested: DataFrame, s: Settings) -> DataFrame:
-    """Pairs of different classes in a bucket: all members outside of the leader's class with all members."""
-    lead = rows.groupBy("bucket").agg(F.max_by(F.struct("label", "node"), F.struct("weight", "node")).alias("l"), F.min("label").alias("low"), F.max("label").alias("high"))
-    lead = lead.where("low <> high").select("bucket", F.col("l.label").alias("first"), F.col("l.node").alias("leader"))
-    distance = F.col("n_a") + F.col("n_b") - 2 * F.col("aligned")
-    known = tested.select(F.col("a").alias("node"), F.col("b").alias("leader"), distance.alias("far")).union(
-        tested.select(F.col("b").alias("node"), F.col("a").alias("leader"), distance.alias("far"))
+def _met(group: pa.Table, s: Settings, similarity: float | None) -> list[tuple[int, int]]:
+    """Pairs of rows of a bucket in different classes whose lengths and minima allow the threshold.
+
+    A pair that shares several buckets is taken in the first of them only. With ``similarity`` the
+    pairs are verified as well, by their texts.
+    """
+    size = len(group)
+    label = np.asarray(group.column("label").combine_chunks().dictionary_encode().indices)
+    outside = np.asarray(group.column("outside").combine_chunks().to_numpy(zero_copy_only=False), dtype=bool)
+    n = group.column("n").to_numpy()
+    minima_of = np.asarray(group.column("minima").combine_chunks().flatten()).reshape(size, -1)
+    held = group.column("all").to_pylist()
+    first, second = group.column("bucket")[0].as_py(), group.column("second")[0].as_py()
+    here = [first] if first == second else [first, second]
+    shingles: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    if similarity is not None:
+        words = Words(group.column("text"), lower=True)
+        hashes = words.hashes()[words.codes] if len(words.codes) else np.zeros(0, np.uint64)
+
+    def cut(i: int) -> tuple[np.ndarray, np.ndarray]:
+        if i not in shingles:
+            x = shingle_hashes(hashes[words.offsets[i] : words.offsets[i + 1]], s.words)
+            shingles[i] = x, np.sort(x)
+        return shingles[i]
+
+    at = np.arange(size)
+    out = []
+    for i in np.flatnonzero(outside):
+        may = (label != label[i]) & (~outside | (at > i)) & (np.minimum(n, n[i]) >= s.similarity * np.maximum(n, n[i]) - 1e-9)
+        others = np.flatnonzero(may)
+        others = others[np.bitwise_count(minima_of[others] ^ minima_of[i]).sum(axis=1) <= MINIMA - s.agree]
+        own = set(held[i])
+        for j in others.tolist():
+            if sorted(own.intersection(held[j]))[: len(here)] != here:
+                continue
+            if similarity is not None:
+                (x, x_sorted), (y, y_sorted) = cut(i), cut(j)
+                if aligned(x, y, similarity, x_sorted, y_sorted) < np.ceil(similarity * max(len(x), len(y)) - 1e-9):
+                    continue
+            out.append((int(i), j))
+    return out
+
+
+def _across(rows: DataFrame, some: DataFrame, s: Settings) -> DataFrame:
+    """Links between different classes of a bucket: all members outside of its leader's class with all members.
+
+    ``rows`` have (bucket, second) as their bucket and ``all`` as the list of a node's buckets. Pairs
+    meet inside a task and only links leave it: first without texts, to find the members that have
+    a possible partner at all, then those with their texts. A bucket of more than ``large``
+    members is dealt into blocks of that size, and every pair of blocks is a task.
+    """
+    key = ["bucket", "second"]
+    lead = rows.groupBy(*key).agg(
+        F.max_by("label", F.struct("weight", "node")).alias("first"), F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")
+    )
+    several = rows.join(lead.where("low <> high").drop("low", "high"), key).withColumn("outside", F.col("label") != F.col("first"))
+    blocks = F.ceil(F.col("size") / s.large).cast("int")
+    block = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    dealt = several.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = checkpointed(
+        dealt.select(*key, "node", "label", "outside", "n", "minima", "all", F.least(block, "other").alias("x"), F.greatest(block, "other").alias("y"))
     )
-    several = rows.join(lead, "bucket").join(known, ["node", "leader"], "left")
-    several = several.withColumn("far", F.when(F.col("node") == F.col("leader"), F.lit(0)).otherwise(F.col("far")))
-    wide = [*WIDE, "label", "far"]
-    x, y = _side(several.where("label <> first"), "x", wide), _side(several, "y", wide)
-    most = F.col("x_n") + F.col("y_n") - 2 * F.ceil(s.similarity * F.greatest("x_n", "y_n") - 1e-9)
-    near = F.coalesce(F.abs(F.col("x_far") - F.col("y_far")) <= most, F.lit(True))
-    return _pairs(x.join(y, "bucket").where((F.col("x_label") != F.col("y_label")) & near & _may_link("x", "y", s)))
-
-
-def _finer(rows: DataFrame) -> DataFrame:
-    """Rows under pairs of the buckets each node is in."""
-    held = rows.groupBy("node").agg(
+    key = [*key, "x", "y"]
+
+    def possible(group: pa.Table) -> pa.Table:
+        pairs = _met(group, s, None)
+        return group.select([*key, "node"]).take(pa.array(sorted({i for p in pairs for i in p}), type=pa.int64()))
+
+    def links(group: pa.Table) -> pa.Table:
+        pairs = _met(group, s, s.similarity)
+        node = group.column("node").to_pylist()
+        ends = [sorted((node[i], node[j])) for i, j in pairs]
+        return pa.table({"a": pa.array([e[0] for e in ends], pa.binary()), "b": pa.array([e[1] for e in ends], pa.binary())})
+
+    found = dealt.groupBy(*key).applyInArrow(possible, "bucket long, second long, x int, y int, node binary")
+    whole = dealt.join(checkpointed(found), [*key, "node"], "left_semi").join(some.select("node", "text"), "node")
+    return whole.groupBy(*key).applyInArrow(links, "a binary, b binary").distinct()
+
+
+def _buckets(rows: DataFrame, s: Settings) -> DataFrame:
+    """Rows with their bucket as (bucket, second): as they are, or pairs of buckets where those are large."""
+    plain = rows.where(F.col("size") <= s.large)
+    carried = ["node", "n", "minima", "weight", "label", "all"]
+    listed = plain.groupBy("node").agg(F.array_sort(F.collect_list("bucket")).alias("all"))
+    small = plain.join(listed, "node").select("bucket", F.col("bucket").alias("second"), *carried)
+    held = rows.where(F.col("size") > s.large).groupBy("node").agg(
         F.array_sort(F.collect_list("bucket")).alias("all"), *[F.first(c).alias(c) for c in ("n", "minima", "weight", "label")]
     )
-    pairs = F.transform("all", lambda x, i: F.transform(F.slice(F.col("all"), i + 2, F.size("all")), lambda y: F.xxhash64(x, y)))
-    return held.select(F.explode(F.flatten(pairs)).alias("bucket"), "node", "n", "minima", "weight", "label")
+    pairs = F.transform(
+        "all", lambda x, i: F.transform(F.slice(F.col("all"), i + 2, F.size("all")), lambda y: F.struct(x.alias("bucket"), y.alias("second")))
+    )
+    fine = held.select(F.explode(F.flatten(pairs)).alias("p"), *carried).select("p.bucket", "p.second", *carried)
+    return small.union(fine)
 
 
 def links_of(texts: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
@@ -320,14 +389,13 @@ def links_of(texts: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
     some = checkpointed(shared_texts(texts, weights.select("node"), s))
     rows = checkpointed(shared.join(some.drop("text"), "node").join(weights, "node"))
 
-    tested = checkpointed(verified(_with_leader(rows, s), some, 0.0, s.words))
-    labels = components(linked(tested, s))
+    links = checkpointed(linked(verified(_with_leader(rows, s), some, s.similarity, s.words), s))
+    labels = components(links)
 
     rows = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    columns = ["bucket", *WIDE, "weight", "label"]
-    fine = rows.where(F.col("size") <= s.large).select(*columns).union(_finer(rows.where(F.col("size") > s.large)).select(*columns))
-    second = _across(fine, tested, s).join(tested.select("a", "b"), ["a", "b"], "left_anti")
-    links = checkpointed(linked(tested, s).union(linked(verified(second, some, s.similarity, s.words), s)))
+    several = rows.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
+    rows = checkpointed(rows.join(several, "bucket"))
+    links = checkpointed(links.union(_across(_buckets(rows, s), some, s)))
     return links, components(links)
 
 

@@ -214,7 +214,7 @@ def ask_pairs(lower: Lower, shards: int):
         before = np.concatenate([[n_words], codes[:-1]]) if len(codes) else codes
         before[np.cumsum(counts)[:-1]] = n_words
         single = lower.single(total[:n_words].astype(float))
-        base = np.bincount(doc, weights=single[codes], minlength=n_docs)
+        base = np.bincount(doc, weights=single[codes], minlength=n_docs).astype(float)
         n_known = np.bincount(doc, weights=total[codes] > 0, minlength=n_docs).astype(np.int64)
         # what has an unseen part is in no trie
         back = lower.backoff(total.astype(float))
@@ -320,7 +320,7 @@ def add_up(group: pa.Table) -> pa.Table:
     """In a chunk: its documents with the sums of all shards, in order of shard."""
     rows = sorted(as_rows(group), key=lambda r: r[2])
     own = unpack(rows[0][3])
-    score = own["score"].copy()
+    score = own["score"].astype(float)
     for _, _, _, payload in rows[1:]:
         part = unpack(payload)
         score[part["doc"]] += part["score"]
