@@ -108,8 +108,8 @@ def type_names(c: Column) -> Column:
 
 
 def normal_language(c: Column) -> Column:
-    """One spelling per language; an unlisted name is shortened and underscored."""
+    """One spelling per language; an unlisted name is underscored."""
     key = F.lower(X.strip(c))
     names = F.create_map(*chain.from_iterable((F.lit(k), F.lit(v)) for k, v in fixed.LANGUAGE_NAMES.items()))
-    other = F.nullif(F.substring(F.replace(key, F.lit(" "), F.lit("_")), 1, 24), F.lit(""))
+    other = F.nullif(F.replace(key, F.lit(" "), F.lit("_")), F.lit(""))
     return F.when(F.coalesce(c, F.lit("")) != "", F.coalesce(F.try_element_at(names, key), other))

@@ -52,8 +52,8 @@ def is_parsed(clean: Column) -> Column:
     )
 
 
-def explanation(scrub: Column, clean: Column, value: Column) -> Column:
-    """A leading EXPLANATION part, else what is left of the reply, at most 800 characters."""
+def explanation(scrub: Column, clean: Column, value: Column, most: int | None = None) -> Column:
+    """A leading EXPLANATION part, else what is left of the reply, of that at most ``most`` characters."""
     opened = r"(?is)^\s*EXPLANATION\s*[:\-]\s*"
     rest = F.regexp_replace(scrub, opened, "")
     part = F.regexp_replace(rest, rf"(?is)\n\s*(?:{SCORE_LABEL}|{ANY_CRITERION}|EXPLANATION)\s*[:\-].*$", "")
@@ -61,5 +61,5 @@ def explanation(scrub: Column, clean: Column, value: Column) -> Column:
     left = F.regexp_replace(clean, rf"(?imd)^\s*(?:{SCORE_LABEL}|{ANY_CRITERION})\s*[:\-]\s*[0-6](?:\s*/\s*6)?\s*$", "")
     left = F.regexp_replace(X.strip(left), r"(?imd)^\s*EXPLANATION\s*[:\-]\s*", "")
     left = X.strip(F.regexp_replace(left, r"\s+", " "))
-    other = F.when((left != "") & (left != value.cast("string")), F.substring(left, 1, 800))
+    other = F.when((left != "") & (left != value.cast("string")), left if most is None else F.substring(left, 1, most))
     return F.coalesce(led, other)

@@ -154,7 +154,7 @@ def _before_tag(c: Column) -> Column:
 
 @register_adapter("inst_text")
 def adapt_inst(df: DataFrame) -> DataFrame:
-    """Prompt text in front of the block, instruction tags gone, 4000 characters at most."""
+    """Prompt text in front of the block, instruction tags gone; the whole of it."""
     rows = _with_block(df, _text(df, "text"))
     before = X.strip(F.regexp_replace(F.regexp_replace(_before_tag(F.col("text")), r"</?s>", ""), r"\[/?INST\]", ""))
     rows = hold(rows, {"__before": before})
@@ -164,7 +164,7 @@ def adapt_inst(df: DataFrame) -> DataFrame:
     )
     prompt = F.when(F.length("__before") < 40, fallback).otherwise(F.col("__before"))
     return _adapted(
-        rows, [], input=F.substring(prompt, 1, 4000), reasoning=F.lit(""), uml_code=F.col("__code"),
+        rows, [], input=prompt, reasoning=F.lit(""), uml_code=F.col("__code"),
         inferred_type=ST.inferred_type(F.col("__code")),
     )
 
@@ -179,7 +179,7 @@ def adapt_instruction(df: DataFrame) -> DataFrame:
     rows = hold(rows, {"__part": part})
     prompt = F.when(F.length("__part") < 40, F.lit("Generate a PlantUML diagram for the described system.")).otherwise(F.col("__part"))
     return _adapted(
-        rows, [], input=F.substring(prompt, 1, 4000), reasoning=F.lit(""), uml_code=F.col("__code"),
+        rows, [], input=prompt, reasoning=F.lit(""), uml_code=F.col("__code"),
         inferred_type=ST.inferred_type(F.col("__code")),
     )
 
@@ -193,7 +193,7 @@ def adapt_io(df: DataFrame) -> DataFrame:
     rows = _with_block(df, first("output", "uml_code"))
     rows = hold(rows, {"__in": X.strip(first("input", "prompt"))}).where(F.length("__in") >= 20)
     return _adapted(
-        rows, [], input=F.substring("__in", 1, 4000), reasoning=F.lit(""), uml_code=F.col("__code"),
+        rows, [], input=F.col("__in"), reasoning=F.lit(""), uml_code=F.col("__code"),
         inferred_type=ST.inferred_type(F.col("__code")),
     )
 

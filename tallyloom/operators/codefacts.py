@@ -105,7 +105,7 @@ def code_facts(sources: DataFrame) -> DataFrame:
 
 
 def spec_text(sources: DataFrame) -> DataFrame:
-    """The specification text a source's structure gives."""
+    """The specification text a source's structure gives, with every method and import."""
     facts = with_facts(sources)
 
     def pick(kind: str) -> Column:
@@ -119,7 +119,7 @@ def spec_text(sources: DataFrame) -> DataFrame:
             F.lit("- "), t, F.lit(": "),
             F.coalesce(
                 F.nullif(
-                    F.array_join(F.slice(F.transform(F.filter("methods", lambda m: m["owner"] == t), lambda m: m["name"]), 1, 8), ", "),
+                    F.array_join(F.transform(F.filter("methods", lambda m: m["owner"] == t), lambda m: m["name"]), ", "),
                     F.lit(""),
                 ),
                 F.lit("(no methods extracted)"),
@@ -133,7 +133,7 @@ def spec_text(sources: DataFrame) -> DataFrame:
         .when(F.size("types") == 0, F.lit("- (none — no types to relate)"))
         .otherwise(F.lit("- (single type; no inter-type relationships extracted)"))
     )
-    used = F.array_join(F.transform(F.slice("imports", 1, 8), lambda i: F.concat(F.lit("- "), i["name"])), "\n")
+    used = F.array_join(F.transform("imports", lambda i: F.concat(F.lit("- "), i["name"])), "\n")
     spec = F.concat_ws(
         "\n",
         F.lit("## Technical Specification (from source code)"),

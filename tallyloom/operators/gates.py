@@ -32,7 +32,7 @@ def library(
             df = df.where(F.col(column) == value)
     if min_score is not None:
         df = df.where(F.col("composite_score") >= min_score)
-    needle = re.sub(r"[%_]", " ", q or "").strip()[:120]
+    needle = re.sub(r"[%_]", " ", q or "").strip()
     if needle:
         df = df.where(F.contains(F.lower("source_requirement"), F.lit(needle.lower())))
     return df

@@ -104,7 +104,7 @@ def topup_even(novel: DataFrame, cap: int, key: str, seed: int, types: Sequence[
 
 
 def language_select(
-    df: DataFrame, preferred: Column, target: int, key: str, seed: int, most: int = 8000
+    df: DataFrame, preferred: Column, target: int, key: str, seed: int, most: int | None = None
 ) -> DataFrame:
     """the preferred source evenly by language, then its rest, then the other sources."""
     lang = F.coalesce("source_language", F.lit("unknown"))
@@ -112,7 +112,8 @@ def language_select(
     # one row per language, each with the share all languages get
     table = keyed.groupBy("__pref", "__lang").agg(F.count("*").alias("__n"))
     langs = F.sum(F.col("__pref").cast("int")).over(W.partitionBy())
-    share = F.greatest(F.lit(1), F.least(F.floor(F.lit(target) / F.greatest(langs, F.lit(1))), F.lit(most)))
+    even = F.floor(F.lit(target) / F.greatest(langs, F.lit(1)))
+    share = F.greatest(F.lit(1), even if most is None else F.least(even, F.lit(most)))
     shares = table.select("__pref", "__lang", share.alias("__share"))
     ranked = seeded_rank(keyed, key, seed, by=["__pref", "__lang"]).join(shares, ["__pref", "__lang"])
     tiered = ranked.withColumn(

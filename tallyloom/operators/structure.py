@@ -502,7 +502,7 @@ def _balanced(code: Column, lines: Column) -> Column:
     return F.when(extra > 0, closed).when(extra < 0, trimmed).otherwise(code)
 
 
-def cleaned(diagrams: DataFrame, max_lines: int | None = 180) -> DataFrame:
+def cleaned(diagrams: DataFrame, max_lines: int | None = None) -> DataFrame:
     """Safe, uncoloured, repeat-free text with the publication header.
 
     ``max_lines`` cuts runaway output; ``None`` keeps every line. Each step is held, so a text
@@ -545,9 +545,9 @@ def cleaning_counts(diagrams: DataFrame) -> DataFrame:
     return stacked.groupBy("rule").agg(F.sum("n").alias("lines"), F.count_if(F.col("n") > 0).alias("diagrams"))
 
 
-def needs_fallback(code: Column, entities: Column) -> Column:
-    """Only generic class names, or none of the first eight specified entities in the text."""
-    entities = F.slice(entities, 1, 8)
+def needs_fallback(code: Column, entities: Column, most: int | None = None) -> Column:
+    """Only generic class names, or none of the (first ``most``) specified entities in the text."""
+    entities = entities if most is None else F.slice(entities, 1, most)
     names = F.transform(_all(code, r"(?imd)^\s*class\s+(\w+)"), F.lower)
     generic = (F.size(names) > 0) & F.forall(names, lambda n: n.isin(*fixed.GENERIC_CLASS_NAMES))
     low = F.lower(code)

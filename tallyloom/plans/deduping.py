@@ -89,12 +89,11 @@ def _(t):
 
 @query(
     "f04_pair_key",
-    "SELECT min(ordinal) AS ordinal, count(*) AS copies FROM (SELECT *, substr(source_dataset, 1, 4) AS spec FROM corpus) GROUP BY uml_code, spec",
+    "SELECT min(ordinal) AS ordinal, count(*) AS copies FROM (SELECT * FROM corpus) GROUP BY uml_code, technical_spec",
     "corpus",
 )
 def _(t):
-    rows = t.corpus.withColumn("spec", F.substring("source_dataset", 1, 4))
-    kept = D.keep_first(rows, [F.sha1("uml_code"), F.sha1("spec")], [F.col("ordinal")], copies="copies")
+    kept = D.keep_first(t.corpus, [F.sha1("uml_code"), F.sha1("technical_spec")], [F.col("ordinal")], copies="copies")
     return kept.select("ordinal", "copies")
 
 
@@ -142,21 +141,16 @@ def _(t):
 
 @query(
     "g01_preference_sort",
-    """SELECT artifact_id, row_number() OVER (ORDER BY majority_accepted DESC, round(composite_score, 6) DESC NULLS LAST, artifact_id DESC) AS place FROM scored
-    ORDER BY place LIMIT 50""",
+    "SELECT artifact_id, row_number() OVER (ORDER BY majority_accepted DESC, round(composite_score, 6) DESC NULLS LAST, artifact_id DESC) AS place FROM scored",
     "scored",
 )
 def _(t):
-    # a sorted top-k, numbered after the cut
-    top = rounded(t.scored, "composite_score").orderBy(
-        F.desc("majority_accepted"), F.desc_nulls_last("composite_score"), F.desc("artifact_id")
-    ).limit(50)
-    ordered = top.select(
-        F.struct((~F.col("majority_accepted")).alias("a"), (-F.col("composite_score")).alias("b"), (-F.col("artifact_id")).alias("c")).alias("o")
-    )
-    return ordered.agg(F.array_sort(F.collect_list("o")).alias("all")).select(
-        F.posexplode("all").alias("p", "o")
-    ).select((-F.col("o.c")).alias("artifact_id"), (F.col("p") + 1).alias("place"))
+    rows = rounded(t.scored, "composite_score").select("artifact_id", "majority_accepted", "composite_score")
+    # a place for every row: ranks inside narrow bands of the score, offsets before them
+    down = (~F.col("majority_accepted")).cast("int")
+    band = F.coalesce(F.floor(-F.col("composite_score") * 1000), F.lit(10**6))
+    ranked = R.exact_rank(rows, [down, F.desc_nulls_last("composite_score"), F.desc("artifact_id")], [down, band], name="place")
+    return ranked.select("artifact_id", "place")
 
 
 @query(

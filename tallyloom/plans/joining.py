@@ -48,23 +48,23 @@ def _(t):
 
 @query(
     "d10_reviewer_names",
-    "SELECT artifact_id, reviewer_id, coalesce(CASE WHEN s_suppkey % 3 <> 0 THEN s_name END, 'unknown') AS reviewer_name FROM human_reviews LEFT JOIN supplier ON s_suppkey = reviewer_id",
+    "SELECT artifact_id, reviewer_id, coalesce(s_name, 'unknown') AS reviewer_name FROM human_reviews LEFT JOIN supplier ON s_suppkey = reviewer_id",
     "human_reviews",
 )
 def _(t):
-    reviewers = t.supplier.where("s_suppkey % 3 <> 0").select(F.col("s_suppkey").alias("reviewer_id"), F.col("s_name").alias("name"))
+    reviewers = t.supplier.select(F.col("s_suppkey").alias("reviewer_id"), F.col("s_name").alias("name"))
     return J.with_reviewer_names(t.human_reviews, reviewers).select("artifact_id", "reviewer_id", "reviewer_name")
 
 
 @query(
     "d11_upsert_reviewers",
-    """WITH e AS (SELECT s_suppkey AS id, concat('user', s_suppkey) AS name, 'rater' AS role FROM supplier WHERE s_suppkey < 20),
+    """WITH e AS (SELECT s_suppkey AS id, concat('user', s_suppkey) AS name, 'rater' AS role FROM supplier),
     l AS (SELECT concat('user', user_id) AS name, arg_max(event_type, ts) AS role FROM events GROUP BY 1)
     SELECT e.id, e.name, coalesce(l.role, e.role) AS role, false AS created FROM e LEFT JOIN l USING (name)
     UNION ALL SELECT (SELECT max(id) FROM e) + row_number() OVER (ORDER BY md5(name), name), name, role, true FROM l WHERE name NOT IN (SELECT name FROM e)""",
 )
 def _(t):
-    existing = t.supplier.where("s_suppkey < 20").selectExpr("s_suppkey AS id", "concat('user', s_suppkey) AS name", "'rater' AS role")
+    existing = t.supplier.selectExpr("s_suppkey AS id", "concat('user', s_suppkey) AS name", "'rater' AS role")
     seen = t.events.selectExpr("concat('user', user_id) AS name", "event_type AS role", "ts AS at")
     return J.upsert_reviewers(existing, seen)
 

@@ -168,7 +168,7 @@ def _(t):
     "b08_adapt_inst",
     adapted_sql(
         f"concat('<s>[INST] ', text, ' [/INST]', {NL}, plantuml_code, '</s>')",
-        f"""SELECT artifact_id AS row_id, md5(substr(CASE WHEN length(p) < 40 THEN concat('Generate PlantUML for the following diagram:', {NL}, CASE WHEN p = '' THEN 'diagram from corpus' ELSE p END) ELSE p END, 1, 4000)) AS digest, length(code) AS chars FROM (
+        f"""SELECT artifact_id AS row_id, md5(CASE WHEN length(p) < 40 THEN concat('Generate PlantUML for the following diagram:', {NL}, CASE WHEN p = '' THEN 'diagram from corpus' ELSE p END) ELSE p END) AS digest, length(code) AS chars FROM (
         SELECT *, {Q.stripped(f"regexp_replace(regexp_replace(string_split(concat('<s>[INST] ', text, ' [/INST]', {NL}, plantuml_code, '</s>'), '@startuml')[1], '</?s>', '', 'g'), '\\[/?INST\\]', '', 'g')")} AS p FROM e)""",
     ),
     "diagrams",
@@ -188,7 +188,7 @@ _INSTR = f"CASE WHEN artifact_id % 3 = 0 THEN concat(text, {NL}, plantuml_code)
     "b09_adapt_instruction",
     adapted_sql(
         _INSTR,
-        f"""SELECT artifact_id AS row_id, md5(substr(CASE WHEN length(p) < 40 THEN 'Generate a PlantUML diagram for the described system.' ELSE p END, 1, 4000)) AS digest FROM (
+        f"""SELECT artifact_id AS row_id, md5(CASE WHEN length(p) < 40 THEN 'Generate a PlantUML diagram for the described system.' ELSE p END) AS digest FROM (
         SELECT *, {Q.stripped(f"CASE WHEN regexp_matches({_INSTR}, '(?is)Instruction:\\s*(.*?)(?:Response:|Output:|@startuml)') THEN regexp_extract({_INSTR}, '(?is)Instruction:\\s*(.*?)(?:Response:|Output:|@startuml)', 1) ELSE string_split({_INSTR}, '@startuml')[1] END")} AS p FROM e)""",
     ),
     "diagrams",
@@ -204,7 +204,7 @@ def _(t):
 
 @query(
     "b10_adapt_io",
-    adapted_sql("plantuml_code", f"SELECT artifact_id AS row_id, md5(substr({Q.stripped('text')}, 1, 4000)) AS digest FROM e WHERE length({Q.stripped('text')}) >= 20"),
+    adapted_sql("plantuml_code", f"SELECT artifact_id AS row_id, md5({Q.stripped('text')}) AS digest FROM e WHERE length({Q.stripped('text')}) >= 20"),
     "diagrams",
 )
 def _(t):

@@ -104,7 +104,7 @@ _FR = "(?im)\\b(?:score|rated|rating)\\s*(?:is\\s*|of\\s*|:\\s*)?([0-6])\\s*(?:/
     e AS (SELECT *, coalesce(o[len(o)]::INT, round_even(list_avg(m), 0)::INT, f::INT, d[1], 0) AS score FROM c)
     SELECT artifact_id, score, regexp_matches(k, '(?im)\\b{_L}\\s*[:\\-]\\s*[0-6]\\b') OR regexp_matches(k, '(?im)\\b{_C}\\s*[:\\-]\\s*[0-6]\\b') OR regexp_matches(k, '{_FR}') AS parsed,
       md5(coalesce(CASE WHEN regexp_matches(k, '(?is)^\\s*EXPLANATION\\s*[:\\-]\\s*') THEN nullif({stripped(f"regexp_replace(regexp_replace(regexp_replace(k, '(?is)^\\s*EXPLANATION\\s*[:\\-]\\s*', ''), '(?is)\\n\\s*(?:{_L}|{_AC}|EXPLANATION)\\s*[:\\-].*$', ''), '\\s+', ' ', 'g')")}, '') END,
-       CASE WHEN x <> '' AND x <> score::VARCHAR THEN substr(x, 1, 800) END)) AS explanation
+       CASE WHEN x <> '' AND x <> score::VARCHAR THEN x END)) AS explanation
     FROM (SELECT *, {stripped(f"regexp_replace(regexp_replace({stripped(f"regexp_replace(s, '(?im)^\\s*(?:{_L}|{_AC})\\s*[:\\-]\\s*[0-6](?:\\s*/\\s*6)?\\s*$', '', 'g')")}, '(?im)^\\s*EXPLANATION\\s*[:\\-]\\s*', '', 'g'), '\\s+', ' ', 'g')")} AS x FROM e)""",
     "replies",
 )
@@ -189,7 +189,7 @@ def _(t):
 
 @query(
     "h11_language_names",
-    """SELECT raw, CASE lower(trim(raw)) WHEN 'c#' THEN 'csharp' WHEN 'c++' THEN 'cpp' ELSE nullif(substr(replace(lower(trim(raw)), ' ', '_'), 1, 24), '') END AS lang, n FROM (
+    """SELECT raw, CASE lower(trim(raw)) WHEN 'c#' THEN 'csharp' WHEN 'c++' THEN 'cpp' ELSE nullif(replace(lower(trim(raw)), ' ', '_'), '') END AS lang, n FROM (
       SELECT CASE doc_id % 7 WHEN 0 THEN 'C#' WHEN 1 THEN ' C++ ' WHEN 2 THEN 'Objective C' WHEN 3 THEN 'TypeScript' WHEN 4 THEN source ELSE lang END AS raw, count(*) AS n FROM documents GROUP BY 1)""",
 )
 def _(t):

@@ -107,7 +107,7 @@ def _(t):
     "f10_language_select",
     f"""WITH s AS (SELECT ordinal, coalesce(source_language, 'unknown') AS lang, ordinal % 5 < 3 AS pref FROM corpus), tgt AS (SELECT count(*) * 7 // 10 AS target FROM s),
     r AS (SELECT *, row_number() OVER (PARTITION BY pref, CASE WHEN pref THEN lang END ORDER BY {md5_order(42, 'ordinal')}) AS rn FROM s),
-    t AS (SELECT *, CASE WHEN NOT pref THEN 2 WHEN rn <= greatest(1, least((SELECT target FROM tgt) // (SELECT count(DISTINCT lang) FROM s WHERE pref), 8000)) THEN 0 ELSE 1 END AS tier FROM r)
+    t AS (SELECT *, CASE WHEN NOT pref THEN 2 WHEN rn <= greatest(1, (SELECT target FROM tgt) // (SELECT count(DISTINCT lang) FROM s WHERE pref)) THEN 0 ELSE 1 END AS tier FROM r)
     SELECT ordinal, tier FROM (SELECT *, row_number() OVER (ORDER BY tier, {md5_order(42, 'ordinal')}) AS place FROM t) WHERE place <= (SELECT target FROM tgt)""",
     "corpus",
 )
@@ -336,7 +336,7 @@ def _complete_sql():
 @query(
     "l16_complete_diagram",
     f"""SELECT artifact_id, md5(concat_ws(chr(10), '@startuml', concat('title Industrial ', diagram_type, ' model'), {_complete_sql()}, '@enduml')) AS digest
-    FROM (SELECT s.artifact_id, diagram_type, list_concat(n[1:6], ['Entity1', 'Entity2', 'Entity3'][least(len(n), 3) + 1:3]) AS e FROM spec_names s JOIN artifacts USING (artifact_id))""",
+    FROM (SELECT s.artifact_id, diagram_type, list_concat(n, ['Entity1', 'Entity2', 'Entity3'][least(len(n), 3) + 1:3]) AS e FROM spec_names s JOIN artifacts USING (artifact_id))""",
     "spec_names artifacts",
 )
 def _(t):

@@ -247,7 +247,7 @@ def _(t):
     "l18_fallback_rate",
     """SELECT diagram_type, count(*) AS n, round(count(*) FILTER (WHERE (len(c) > 0 AND len(list_filter(c, lambda x: x NOT IN ('entity','entities','detected','language','unknown','model','class','process','module','module1','module2'))) = 0)
       OR (len(e) > 0 AND len(list_filter(e, lambda x: contains(lower(plantuml_code), lower(x)))) = 0)) / count(*), 6) AS fallback_rate
-    FROM (SELECT diagram_type, plantuml_code, list_transform(regexp_extract_all(plantuml_code, '(?im)^\\s*class\\s+(\\w+)', 1), lambda x: lower(x)) AS c, n[1:8] AS e
+    FROM (SELECT diagram_type, plantuml_code, list_transform(regexp_extract_all(plantuml_code, '(?im)^\\s*class\\s+(\\w+)', 1), lambda x: lower(x)) AS c, n AS e
       FROM diagrams JOIN spec_names USING (artifact_id)) GROUP BY diagram_type""",
     "diagrams spec_names",
 )
