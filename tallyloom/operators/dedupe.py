@@ -10,17 +10,21 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import text as X
 
 
-def keep_first(df: DataFrame, keys: Sequence[Column], order: Sequence[Column], copies: str | None = None) -> DataFrame:
+def keep_first(
+    df: DataFrame, keys: Sequence[Column], order: Sequence[Column], copies: str | None = None, carry: Sequence[str] | None = None
+) -> DataFrame:
     """The first row in ``order`` of every key.
 
     An aggregate rather than a window: map-side combining leaves at most one row per key and
-    task, so a text that makes up a third of the table costs no more than any other.
+    task, so a text that makes up a third of the table costs no more than any other. ``carry``
+    names the columns of the result; without it whole rows travel, texts included. Who needs
+    ids or counts only should name them: then hashes and ids are all that is sorted and shuffled.
     """
     names = [f"__k{i}" for i in range(len(keys))]
     keyed = df.select(
         *[k.alias(n) for k, n in zip(keys, names)],
         F.struct(*order).alias("__order"),
-        F.struct(*df.columns).alias("__row"),
+        F.struct(*(carry or df.columns)).alias("__row"),
     )
     first = keyed.groupBy(*names).agg(
         F.min_by("__row", "__order").alias("__row"), F.count("*").alias("__copies")
@@ -29,19 +33,19 @@ def keep_first(df: DataFrame, keys: Sequence[Column], order: Sequence[Column], c
     return first.select("__row.*", *extra)
 
 
-def dedupe_code(df: DataFrame, code: str, priority: Column, source: str, ordinal: str) -> DataFrame:
+def dedupe_code(df: DataFrame, code: str, priority: Column, source: str, ordinal: str, carry: Sequence[str] | None = None) -> DataFrame:
     """exact text; higher priority first, then source and ordinal."""
-    return keep_first(df, [F.sha1(F.col(code))], [-priority, F.col(source), F.col(ordinal)])
+    return keep_first(df, [F.sha1(F.col(code))], [-priority, F.col(source), F.col(ordinal)], carry=carry)
 
 
-def dedupe_stripped(df: DataFrame, code: str, rank: str, ordinal: str, copies: str | None = None) -> DataFrame:
+def dedupe_stripped(df: DataFrame, code: str, rank: str, ordinal: str, copies: str | None = None, carry: Sequence[str] | None = None) -> DataFrame:
     """text without outer whitespace; lower ``rank`` (declared source order) first."""
-    return keep_first(df, [X.code_hash(F.col(code))], [F.col(rank), F.col(ordinal)], copies)
+    return keep_first(df, [X.code_hash(F.col(code))], [F.col(rank), F.col(ordinal)], copies, carry)
 
 
-def dedupe_fingerprint(df: DataFrame, code: str, order: Sequence[Column]) -> DataFrame:
+def dedupe_fingerprint(df: DataFrame, code: str, order: Sequence[Column], carry: Sequence[str] | None = None) -> DataFrame:
     """every line stripped and blank lines removed."""
-    return keep_first(df, [X.line_fingerprint(F.col(code))], order)
+    return keep_first(df, [X.line_fingerprint(F.col(code))], order, carry=carry)
 
 
 def dedupe_pair(df: DataFrame, first: str, second: str, order: Sequence[Column]) -> DataFrame:
@@ -118,10 +122,12 @@ def overlap(corpora: dict[str, DataFrame], code: str) -> DataFrame:
     )
 
 
-def merge_into(base: DataFrame, new: DataFrame, code: str, ordinal: str, base_wins: bool = True) -> DataFrame:
+def merge_into(
+    base: DataFrame, new: DataFrame, code: str, ordinal: str, base_wins: bool = True, carry: Sequence[str] | None = None
+) -> DataFrame:
     """union of two corpora, duplicates resolved for one side."""
     first, second = (0, 1) if base_wins else (1, 0)
     both = base.withColumn("__side", F.lit(first)).unionByName(
         new.withColumn("__side", F.lit(second)), allowMissingColumns=True
     )
-    return keep_first(both, [F.sha1(F.col(code))], [F.col("__side"), F.col(ordinal)]).drop("__side")
+    return keep_first(both, [F.sha1(F.col(code))], [F.col("__side"), F.col(ordinal)], carry=carry).drop("__side")

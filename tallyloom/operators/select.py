@@ -207,8 +207,8 @@ def harvest_marks(artifacts: DataFrame, reviewed: DataFrame, min_composite: floa
     return rows.withColumn("reason", reason)
 
 
-def harvest(marked: DataFrame) -> DataFrame:
-    """the accepted rows, best copy of every fingerprint first."""
+def harvest(marked: DataFrame, carry: Sequence[str] | None = None) -> DataFrame:
+    """the accepted rows, best copy of every fingerprint first; ``carry`` as in ``keep_first``."""
     order = [
         F.when(F.col("human_reviewed"), 0).otherwise(1),
         F.when(F.col("dataset_accepted"), 0).otherwise(1),
@@ -217,7 +217,7 @@ def harvest(marked: DataFrame) -> DataFrame:
         -F.col("artifact_id"),
     ]
     good = marked.where(F.col("reason").isNull()).drop("reason")
-    return D.keep_first(good, [X.line_fingerprint(X.strip(F.col("plantuml_code")))], order, copies="copies")
+    return D.keep_first(good, [X.line_fingerprint(X.strip(F.col("plantuml_code")))], order, copies="copies", carry=carry)
 
 
 def harvest_stats(marked: DataFrame, kept: DataFrame) -> DataFrame:

@@ -46,7 +46,7 @@ VIEWS = "corpus_a corpus_b corpus_c"
     VIEWS,
 )
 def _(t):
-    return D.dedupe_code(tagged(t), "uml_code", F.col("priority"), "slug", "ordinal").select("slug", "ordinal")
+    return D.dedupe_code(tagged(t), "uml_code", F.col("priority"), "slug", "ordinal", carry=["slug", "ordinal"])
 
 
 def merged(t):
@@ -61,7 +61,7 @@ def merged(t):
 )
 def _(t):
     long = merged(t).where(F.length(X.strip(F.col("uml_code"))) >= 20)
-    return D.dedupe_stripped(long, "uml_code", "merge_rank", "ordinal", copies="copies").select("merge_source", "ordinal", "copies")
+    return D.dedupe_stripped(long, "uml_code", "merge_rank", "ordinal", copies="copies", carry=["merge_source", "ordinal"])
 
 
 @query(
@@ -74,7 +74,7 @@ def _(t):
 )
 def _(t):
     rows = merged(t)
-    return D.merge_report(rows, D.dedupe_stripped(rows, "uml_code", "merge_rank", "ordinal"))
+    return D.merge_report(rows, D.dedupe_stripped(rows, "uml_code", "merge_rank", "ordinal", carry=["merge_source"]))
 
 
 @query(
@@ -84,7 +84,7 @@ def _(t):
     "corpus",
 )
 def _(t):
-    return D.dedupe_fingerprint(t.corpus, "uml_code", [F.col("ordinal")]).select("ordinal")
+    return D.dedupe_fingerprint(t.corpus, "uml_code", [F.col("ordinal")], carry=["ordinal"])
 
 
 @query(
@@ -93,8 +93,7 @@ def _(t):
     "corpus",
 )
 def _(t):
-    kept = D.keep_first(t.corpus, [F.sha1("uml_code"), F.sha1("technical_spec")], [F.col("ordinal")], copies="copies")
-    return kept.select("ordinal", "copies")
+    return D.keep_first(t.corpus, [F.sha1("uml_code"), F.sha1("technical_spec")], [F.col("ordinal")], copies="copies", carry=["ordinal"])
 
 
 @query(
@@ -103,7 +102,7 @@ def _(t):
     "corpus",
 )
 def _(t):
-    return D.keep_first(t.corpus, [X.code_hash(F.col("technical_spec"))], [F.col("ordinal")]).select("ordinal")
+    return D.keep_first(t.corpus, [X.code_hash(F.col("technical_spec"))], [F.col("ordinal")], carry=["ordinal"])
 
 
 @query(
@@ -113,8 +112,8 @@ def _(t):
     VIEWS,
 )
 def _(t):
-    kept = D.merge_into(t.corpus_a.withColumn("side", F.lit(0)), t.corpus_b.withColumn("side", F.lit(1)), "uml_code", "ordinal")
-    return kept.select("ordinal", "side")
+    sides = t.corpus_a.withColumn("side", F.lit(0)), t.corpus_b.withColumn("side", F.lit(1))
+    return D.merge_into(*sides, "uml_code", "ordinal", carry=["ordinal", "side"])
 
 
 @query(
@@ -124,10 +123,8 @@ def _(t):
     VIEWS,
 )
 def _(t):
-    kept = D.merge_into(
-        t.corpus_a.withColumn("side", F.lit(1)), t.corpus_b.withColumn("side", F.lit(0)), "uml_code", "ordinal", base_wins=False
-    )
-    return kept.select("ordinal", "side")
+    sides = t.corpus_a.withColumn("side", F.lit(1)), t.corpus_b.withColumn("side", F.lit(0))
+    return D.merge_into(*sides, "uml_code", "ordinal", base_wins=False, carry=["ordinal", "side"])
 
 
 @query(

@@ -166,8 +166,7 @@ def registry(t):
 )
 def _(t):
     rows = registry(t).load()
-    kept = D.dedupe_code(rows, "uml_code", F.col("priority"), "source_dataset", "row_id")
-    return kept.select("row_id", "source_dataset", "diagram_type")
+    return D.dedupe_code(rows, "uml_code", F.col("priority"), "source_dataset", "row_id", carry=["row_id", "source_dataset", "diagram_type"])
 
 
 @query(

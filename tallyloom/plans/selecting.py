@@ -33,7 +33,7 @@ def _(t):
 
 @query("f06_harvest", f"SELECT artifact_id, human AS human_reviewed, copies FROM ({KEPT}) WHERE rn = 1", HARVEST_VIEWS)
 def _(t):
-    return SE.harvest(marked(t)).select("artifact_id", "human_reviewed", "copies")
+    return SE.harvest(marked(t), carry=["artifact_id", "human_reviewed"])
 
 
 @query(
@@ -47,7 +47,7 @@ def _(t):
 )
 def _(t):
     m = marked(t)
-    return SE.harvest_stats(m, SE.harvest(m))
+    return SE.harvest_stats(m, SE.harvest(m, carry=["dataset_accepted", "majority_accepted", "human_reviewed"]))
 
 
 def md5_order(seed, key):
