@@ -135,11 +135,12 @@ def balanced(
 
     For each type in turn a row is eligible while its rank within its language is within what
     that language has left; the best eligible rows are taken, and deferred rows only fill a
-    gap. Only the counts per language pass from one type to the next. All of it runs on keys
-    and lengths; the texts are fetched once, at the end, for the chosen keys.
+    gap. Only the counts per language pass from one type to the next. A row without a language
+    counts as ``java``; of chosen rows with the same text the one with the smallest key stays. All
+    of it runs on keys and lengths; the texts are fetched at the end, for the chosen keys.
     """
     narrow = df.where(F.col("diagram_type").isin(*types)).select(
-        key, "diagram_type", "source_language", (-F.length("uml_code")).alias("__a"),
+        key, "diagram_type", F.coalesce("source_language", F.lit("java")).alias("source_language"), (-F.length("uml_code")).alias("__a"),
         (-F.length("source_requirement")).alias("__b"), F.md5(F.col(key).cast("string")).alias("__m"),
     )
     order = [F.col("__a"), F.col("__b"), F.col("__m")]
@@ -161,7 +162,9 @@ def balanced(
         left = left.join(used, "source_language", "left").select(
             "source_language", (F.col("__left") - F.coalesce("__used", F.lit(0))).alias("__left")
         )
-    return df.join(reduce(DataFrame.unionByName, parts), key, "left_semi")
+    chosen = df.join(reduce(DataFrame.unionByName, parts), key, "left_semi")
+    first = chosen.groupBy(F.sha1("uml_code").alias("__hash")).agg(F.min(key).alias(key)).select(key)
+    return chosen.join(first, key, "left_semi")
 
 
 def work_list(df: DataFrame, per_type: int, offset: int, key: str, types: Sequence[str] = fixed.APP_TYPES) -> DataFrame:

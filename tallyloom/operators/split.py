@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions import text as X
 from .rank import BUCKET_DIGITS, exact_rank, order_key, seeded_sample
 
 
@@ -57,7 +58,10 @@ def leakfree_split(
 def boosted_mix(
     harvest: DataFrame, others: Sequence[tuple[str, DataFrame, int]], key: str, seed: int
 ) -> DataFrame:
-    """harvest once, once more when reviewed, once more from score 4; capped samples of the rest."""
+    """harvest once, once more when reviewed, once more from score 4; capped samples of the rest.
+
+    Only rows with a specification of 40 characters and an opening tag are mixed.
+    """
     copies = (
         F.lit(1)
         + F.coalesce(F.col("human_reviewed"), F.lit(False)).cast("int")
@@ -68,4 +72,4 @@ def boosted_mix(
     for name, df, most in others:
         parts.append(seeded_sample(df, key, seed, most).select(*columns, F.lit(name).alias("mix_source")))
     mix = reduce(DataFrame.unionByName, parts)
-    return mix.where(F.length("technical_spec") >= 40)
+    return mix.where((F.length("technical_spec") >= 40) & X.has_open_tag(F.col("uml_code")))

@@ -131,12 +131,13 @@ def _balanced_sql(per_type, per_lang):
 
 @query(
     "f11_balanced",
-    f"""WITH b AS (SELECT ordinal, diagram_type, source_language, -length(uml_code) AS a, -length(technical_spec) AS s, md5(ordinal::VARCHAR) AS m FROM corpus WHERE source_language IS NOT NULL),
-    {_balanced_sql(60, 70)} SELECT ordinal FROM c0 UNION ALL SELECT ordinal FROM c1 UNION ALL SELECT ordinal FROM c2 UNION ALL SELECT ordinal FROM c3""",
+    f"""WITH b AS (SELECT ordinal, diagram_type, CASE WHEN source_language IS NULL THEN 'java' ELSE source_language END AS source_language, -length(uml_code) AS a, -length(technical_spec) AS s, md5(ordinal::VARCHAR) AS m, uml_code FROM corpus),
+    {_balanced_sql(60, 70)}, u AS (SELECT ordinal, uml_code FROM c0 UNION ALL SELECT ordinal, uml_code FROM c1 UNION ALL SELECT ordinal, uml_code FROM c2 UNION ALL SELECT ordinal, uml_code FROM c3)
+    SELECT min(ordinal) AS ordinal FROM u GROUP BY uml_code""",
     "corpus",
 )
 def _(t):
-    rows = t.corpus.where("source_language IS NOT NULL").withColumn("source_requirement", F.col("technical_spec"))
+    rows = t.corpus.withColumn("source_requirement", F.col("technical_spec"))
     return SE.balanced(rows, 60, 70, "ordinal").select("ordinal")
 
 
@@ -195,18 +196,21 @@ def _(t):
 @query(
     "f15_boosted_mix",
     f"""WITH h AS (SELECT artifact_id AS ordinal, human, round(composite_score, 9) AS scores FROM ({KEPT}) WHERE rn = 1),
-    s AS (SELECT ordinal FROM (SELECT ordinal, row_number() OVER (ORDER BY {md5_order(42, 'ordinal')}) AS rn FROM corpus_b) WHERE rn <= 300)
+    s AS (SELECT ordinal FROM (SELECT ordinal, row_number() OVER (ORDER BY {md5_order(42, 'ordinal')}) AS rn FROM (SELECT artifact_id AS ordinal FROM diagrams)) WHERE rn <= 300)
     SELECT ordinal, mix_source, n FROM (
       SELECT ordinal, 'live_accepted' AS mix_source, 1 + human::INT + (scores >= 4)::INT AS n FROM h
-      UNION ALL SELECT ordinal, 'corpus_b', 1 FROM s) JOIN (SELECT doc_id AS ordinal FROM documents WHERE length(text) >= 40) USING (ordinal)""",
-    HARVEST_VIEWS + " corpus_b",
+      UNION ALL SELECT ordinal, 'diagrams', 1 FROM s)
+    WHERE ordinal IN (SELECT artifact_id FROM diagrams WHERE contains(lower(plantuml_code), '@startuml')) AND ordinal IN (SELECT doc_id FROM documents WHERE length(text) >= 40)""",
+    HARVEST_VIEWS,
 )
 def _(t):
     h = SE.harvest(marked(t)).select(
         F.col("artifact_id").alias("ordinal"), "diagram_type", "technical_spec", F.col("plantuml_code").alias("uml_code"),
         "human_reviewed", F.col("composite_score").alias("scores"),
     )
-    mix = SP.boosted_mix(h, [("corpus_b", t.corpus_b, 300)], "ordinal", 42)
+    drawn = t.artifacts.select("artifact_id", "diagram_type", "technical_spec").join(t.diagrams.select("artifact_id", "plantuml_code"), "artifact_id")
+    others = drawn.select(F.col("artifact_id").alias("ordinal"), "diagram_type", "technical_spec", F.col("plantuml_code").alias("uml_code"))
+    mix = SP.boosted_mix(h, [("diagrams", others, 300)], "ordinal", 42)
     return mix.groupBy("ordinal", "mix_source").agg(F.count("*").alias("n"))
 
 
