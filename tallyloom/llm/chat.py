@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators.rank import exact_rank
+from ..session import checkpointed
 from .common import query, table
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
@@ -52,11 +53,12 @@ def rotate(
         .withColumn("tie", F.md5(F.concat_ws("|", "speaker", "text")))
         .dropDuplicates(["key", "turn", "speaker", "text"])
     )
+    turns = checkpointed(turns)  # read three times below
     place = F.coalesce(F.col("turn"), F.lit(-(2**62)))
     ranked = exact_rank(
         turns,
         [place, F.col("tie"), F.col("speaker"), F.col("text")],
-        [F.shiftright(place, 40), F.shiftright(place, 24), F.shiftright(place, 8), place, F.substring("tie", 1, 4)],
+        [F.shiftright(place, 16), place, F.substring("tie", 1, 4)],
         by=["key"],
     )
     parts = (
