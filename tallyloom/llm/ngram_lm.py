@@ -35,21 +35,33 @@ from pyspark.taskcontext import TaskContext
 
 from ..session import checkpointed
 from .common import Words, crc_mod, mix, query, table, workers_find_us
-from .elias_fano import Trie, dequantised, quantised
+from .elias_fano import Trie
 
 CHUNK_BYTES = 16 << 20  #: of text in a chunk
 SHARD_TOKENS = 3_000_000  #: of all tokens, for each shard
 END = np.uint64(0x9D5C_F04C_19E3_A6B1)  #: stands for the end token among the hashes of words
 MOVED = "key long, kind int, part int, payload binary"
-WORDS, COUNTS, STATS, BLOCK, TEXTS, SUMS = range(6)
+WORDS, COUNTS, STATS, BLOCK, TEXTS, SUMS, HASHES = range(7)
 
 
 def pack(**arrays) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(arrays, protocol=5))
+    """Arrays as one compressed string, equal places of all their numbers side by side."""
+    split = {
+        name: (a.dtype.str, a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes()) if isinstance(a, np.ndarray) and len(a) else a
+        for name, a in arrays.items()
+    }
+    return zstandard.ZstdCompressor(level=3).compress(pickle.dumps(split, protocol=5))
 
 
 def unpack(payload: bytes) -> dict[str, np.ndarray]:
-    return pickle.loads(zstandard.ZstdDecompressor().decompress(payload))
+    split = pickle.loads(zstandard.ZstdDecompressor().decompress(payload))
+    out = {}
+    for name, a in split.items():
+        if isinstance(a, tuple):
+            kind = np.dtype(a[0])
+            a = np.frombuffer(a[1], np.uint8).reshape(kind.itemsize, -1).T.copy().reshape(-1).view(kind)
+        out[name] = a
+    return out
 
 
 def moved(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
@@ -68,7 +80,8 @@ def steps(a: np.ndarray) -> np.ndarray:
 
 
 def cut(docs: DataFrame, key: str, text: str, held_out: Column) -> DataFrame:
-    """The texts as chunks of word codes, one row (kind TEXTS) per chunk, keyed by chunk."""
+    """The texts as chunks of word codes, keyed by chunk: their codes (kind TEXTS) and what the codes
+    stand for (kind HASHES, in order)."""
 
     def chunks(batches):
         number = TaskContext.get().partitionId() << 32
@@ -90,9 +103,10 @@ def cut(docs: DataFrame, key: str, text: str, held_out: Column) -> DataFrame:
                 missing = np.asarray(ids.is_null())
                 payload = pack(
                     ids=np.asarray(pc.fill_null(ids, 0)), missing=missing, held=np.asarray(held.to_numpy(zero_copy_only=False), dtype=bool),
-                    counts=counts, codes=codes, hashes=hashes[order], seen=seen,
+                    counts=counts.astype(np.int64), codes=narrowest(codes), distinct=len(order),
                 )
                 out.append((number, TEXTS, len(codes), payload))
+                out.append((number, HASHES, 0, pack(hashes=hashes[order], seen=narrowest(seen))))
                 number += 1
                 return pa.nulls(0)
 
@@ -115,7 +129,8 @@ def by_bytes(f, columns: list[pa.Array]) -> None:
 
 
 def shard_of(hashes: np.ndarray, shards: int) -> np.ndarray:
-    return ((hashes >> np.uint64(32)) % np.uint64(shards)).astype(np.int64)
+    """Shards are ranges, so that sorted hashes come in order of shard."""
+    return (((hashes >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)).astype(np.int64)
 
 
 def ask_words(shards: int):
@@ -123,7 +138,9 @@ def ask_words(shards: int):
 
     def ask(batches):
         for batch in batches:
-            for chunk, _, _, payload in as_rows(pa.Table.from_batches([batch])):
+            for chunk, kind, _, payload in as_rows(pa.Table.from_batches([batch])):
+                if kind != HASHES:
+                    continue
                 held = unpack(payload)
                 shard = shard_of(held["hashes"], shards)
                 yield moved(
@@ -147,14 +164,16 @@ def count_words(shards: int):
         shard = group.column("key")[0].as_py()
         asked = [unpack(p) for _, _, _, p in as_rows(group)]
         words, place = np.unique(np.concatenate([a["hashes"] for a in asked]), return_inverse=True)
+        # ids fall with the count, so that frequent words have small ones
         total = np.bincount(place, weights=np.concatenate([a["seen"] for a in asked]).astype(np.float64)).astype(np.int64)
-        ids = np.cumsum(total > 0) - 1
+        ids = np.empty(len(total), dtype=np.int64)
+        ids[np.argsort(-total, kind="stable")] = np.arange(len(total))
         rows, at = [], 0
         for a in asked:
             mine = place[at : at + len(a["hashes"])]
             at += len(mine)
             # ids are dense over all shards and words: place in the shard, then shard
-            rows.append((a["chunk"], COUNTS, shard, pack(total=total[mine], ids=ids[mine] * shards + shard)))
+            rows.append((a["chunk"], COUNTS, shard, pack(total=narrowest(total[mine]), ids=narrowest(ids[mine] * shards + shard))))
         bins, words_in = np.unique(np.rint(np.log(total[total > 0]) * 64).astype(np.int64), return_counts=True)
         end = np.searchsorted(words, END)
         ends = int(total[end]) if end < len(words) and words[end] == END else 0
@@ -200,15 +219,13 @@ def ask_pairs(lower: Lower, shards: int):
         rows = as_rows(group)
         chunk = rows[0][0]
         held = next(unpack(p) for _, kind, _, p in rows if kind == TEXTS)
-        n_words = len(held["hashes"])
-        parts = {part: unpack(p) for _, kind, part, p in rows if kind == COUNTS}
-        total, ids = np.zeros(n_words + 1, np.int64), np.zeros(n_words + 1, np.int64)
-        word_shard = shard_of(held["hashes"], shards)
-        for s, answer in parts.items():
-            mine = np.flatnonzero(word_shard == s)
-            total[mine], ids[mine] = answer["total"], answer["ids"]
+        n_words = held["distinct"]
+        parts = sorted((part, p) for _, kind, part, p in rows if kind == COUNTS)
+        answers = [unpack(p) for _, p in parts]
+        total = np.concatenate([*[a["total"].astype(np.int64) for a in answers], [0]])
+        ids = np.concatenate([*[a["ids"].astype(np.int64) for a in answers], [0]])
         total[n_words], ids[n_words] = lower.ends, -1  # the context at the beginning of a text
-        codes, counts = held["codes"], held["counts"]
+        codes, counts = held["codes"].astype(np.int64), held["counts"]
         n_docs = len(counts)
         doc = np.repeat(np.arange(n_docs), counts)
         before = np.concatenate([[n_words], codes[:-1]]) if len(codes) else codes
@@ -224,32 +241,23 @@ def ask_pairs(lower: Lower, shards: int):
             (chunk, SUMS, -1, pack(ids=held["ids"], missing=held["missing"], held=held["held"], n_tokens=counts, n_known=n_known, base=base, score=local))
         ]
         inside = ~outside
-        key = (before[inside].astype(np.int64) * (n_words + 1) + codes[inside]) * n_docs + doc[inside]
-        key, times = np.unique(key, return_counts=True)
-        in_doc = key % n_docs
-        pair_key, first = np.unique(key // n_docs, return_index=True)
-        v, w = pair_key // (n_words + 1), pair_key % (n_words + 1)
-        bounds = np.append(first, len(key))
-        trained = np.concatenate([[0], np.cumsum(np.where(held["held"][in_doc], 0, times))])
-        c_pair = trained[bounds[1:]] - trained[bounds[:-1]]
-        pair_shard = shard_of(pair_hash(ids[v], ids[w]), shards)
-        order = np.argsort(pair_shard, kind="stable")
-        ends = np.searchsorted(pair_shard[order], np.arange(shards + 1))
+        # distinct (document, context, word), in that order within each shard of pairs
+        wide = n_words + 1
+        v, w = before[inside].astype(np.int64), codes[inside]
+        to = shard_of(pair_hash(ids[v], ids[w]), shards)
+        to, in_doc, v, w, times = distinct_rows([to, doc[inside], v, w], [shards, n_docs, wide, wide])
+        ends = np.searchsorted(to, np.arange(shards + 1))
         for s in range(shards):
-            mine = order[ends[s] : ends[s + 1]]
-            if not len(mine):
+            mine = slice(ends[s], ends[s + 1])
+            if ends[s] == ends[s + 1]:
                 continue
-            mine = mine[np.lexsort((ids[w[mine]], ids[v[mine]]))]
-            sizes = bounds[mine + 1] - bounds[mine]
-            where = np.repeat(bounds[mine] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
+            documents, runs = np.unique(in_doc[mine], return_counts=True)
             out.append(
                 (
                     s, BLOCK, chunk_part(chunk),
                     pack(
-                        chunk=chunk, v=steps(ids[v[mine]]), w=ids[w[mine]].astype(np.uint32 if ids.max() < 2**32 else np.int64),
-                        c=c_pair[mine].astype(np.uint32), c_v=total[v[mine]].astype(np.uint32 if total.max() < 2**32 else np.int64),
-                        single=quantised(single[w[mine]]),
-                        sizes=narrowest(sizes), doc=narrowest(in_doc[where]), times=narrowest(times[where]),
+                        chunk=chunk, doc=narrowest(steps(documents)), runs=narrowest(runs), held=held["held"][documents], times=narrowest(times[mine]),
+                        **listed("v", ids[v[mine]], total[v[mine]]), **listed("w", ids[w[mine]], total[w[mine]]),
                     ),
                 )
             )
@@ -258,9 +266,38 @@ def ask_pairs(lower: Lower, shards: int):
     return ask
 
 
+def distinct_rows(columns: list[np.ndarray], sizes: list[int]) -> list[np.ndarray]:
+    """Distinct rows of whole numbers below ``sizes``, sorted, and how often each occurs."""
+    product = 1
+    for size in sizes:
+        product *= size
+    if product < 2**63:
+        key = columns[0]
+        for column, size in zip(columns[1:], sizes[1:]):
+            key = key * size + column
+        key, times = np.unique(key, return_counts=True)
+        out = []
+        for size in sizes[:0:-1]:
+            out.append(key % size)
+            key = key // size
+        return [key, *out[::-1], times]
+    order = np.lexsort(columns[::-1])
+    ordered = np.stack([c[order] for c in columns])
+    fresh = np.ones(len(order), dtype=bool)
+    fresh[1:] = (ordered[:, 1:] != ordered[:, :-1]).any(axis=0)
+    first = np.flatnonzero(fresh)
+    return [*ordered[:, first], np.diff(np.append(first, len(order)))]
+
+
 def narrowest(a: np.ndarray) -> np.ndarray:
     most = int(a.max()) if len(a) else 0
-    return a.astype(np.uint8 if most < 256 else np.uint16 if most < 65536 else np.uint32)
+    return a.astype(np.uint8 if most < 2**8 else np.uint16 if most < 2**16 else np.uint32 if most < 2**32 else np.uint64)
+
+
+def listed(name: str, ids: np.ndarray, counts: np.ndarray) -> dict[str, np.ndarray]:
+    """Ids and their counts once each, in order of id, and where in that list every row points."""
+    known, first, place = np.unique(ids, return_index=True, return_inverse=True)
+    return {f"{name}_id": narrowest(steps(known + 1)), f"{name}_count": narrowest(counts[first]), f"{name}_at": narrowest(place)}
 
 
 def pair_hash(v: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -281,7 +318,7 @@ def trie_of(v: np.ndarray, w: np.ndarray, c: np.ndarray, c_v: np.ndarray, single
     t = lower.weight(c_v)
     p = np.log10((count + t * 10.0**single) / (c_v + t))
     contexts = np.unique(v, return_index=True)[1]
-    return Trie.build((v + 1).astype(np.uint64), w.astype(np.uint64), p, lower.backoff(c_v[contexts]))
+    return Trie.build(v.astype(np.uint64), w.astype(np.uint64), p, lower.backoff(c_v[contexts]))
 
 
 def score_pairs(lower: Lower):
@@ -292,22 +329,27 @@ def score_pairs(lower: Lower):
         if rows[0][1] == SUMS:
             return group
         blocks = [unpack(p) for _, _, _, p in rows]
-        v = np.concatenate([np.cumsum(b["v"]) for b in blocks])
-        w = np.concatenate([b["w"].astype(np.int64) for b in blocks])
-        c = np.concatenate([b["c"].astype(np.int64) for b in blocks])
-        c_v = np.concatenate([b["c_v"].astype(np.int64) for b in blocks])
-        single = dequantised(np.concatenate([b["single"] for b in blocks]))
-        trie = trie_of(v, w, c, c_v, single, lower).mapped()
-        found, p, back = trie.lookup((v + 1).astype(np.uint64), w.astype(np.uint64))
+
+        def joined(name: str) -> tuple[np.ndarray, np.ndarray]:
+            return (
+                np.concatenate([np.cumsum(b[f"{name}_id"].astype(np.int64))[b[f"{name}_at"]] for b in blocks]),
+                np.concatenate([b[f"{name}_count"].astype(np.int64)[b[f"{name}_at"]] for b in blocks]),
+            )
+
+        (v, c_v), (w, c_w) = joined("v"), joined("w")
+        trained = np.concatenate([np.repeat(~b["held"], b["runs"].astype(np.int64)) * b["times"].astype(np.int64) for b in blocks])
+        single = lower.single(c_w.astype(float))
+        trie = trie_of(v, w, trained, c_v, single, lower).mapped()
+        found, p, back = trie.lookup(v.astype(np.uint64), w.astype(np.uint64))
         back = np.where(back < 0, back, lower.backoff(c_v.astype(float)))
         p = np.where(found, p, back + single)
         out, at = [], 0
         for b in blocks:
-            n = len(b["w"])
-            each = np.repeat(p[at : at + n], b["sizes"]) * b["times"]
-            at += n
-            doc, place = np.unique(b["doc"], return_inverse=True)
-            out.append((b["chunk"], SUMS, int(rows[0][0]), pack(doc=doc, score=np.bincount(place, weights=each))))
+            runs = b["runs"].astype(np.int64)
+            each = p[at : at + runs.sum()] * b["times"]
+            at += runs.sum()
+            start = np.concatenate([[0], np.cumsum(runs)[:-1]])
+            out.append((b["chunk"], SUMS, int(rows[0][0]), pack(doc=np.cumsum(b["doc"].astype(np.int64)), score=np.add.reduceat(each, start))))
         return pa.Table.from_batches([moved(out)])
 
     return score
@@ -341,12 +383,12 @@ def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "t
     spark = docs.sparkSession
     workers_find_us(spark)
     chunks = checkpointed(cut(docs, key, text, held_out))
-    tokens = chunks.agg(F.sum(F.col("part").cast("long"))).first()[0] or 0
+    tokens = chunks.where(F.col("kind") == TEXTS).agg(F.sum(F.col("part").cast("long"))).first()[0] or 0
     shards = max(1, -(-tokens // SHARD_TOKENS))
     counted = checkpointed(chunks.mapInArrow(ask_words(shards), MOVED).groupBy("key").applyInArrow(count_words(shards), MOVED))
     stats = [unpack(bytes(r["payload"])) for r in counted.where(F.col("kind") == STATS).select("payload").toLocalIterator()]
     lower = Lower(stats)
-    with_counts = chunks.unionByName(counted.where(F.col("kind") == COUNTS))
+    with_counts = chunks.where(F.col("kind") == TEXTS).unionByName(counted.where(F.col("kind") == COUNTS))
     asked = with_counts.groupBy("key").applyInArrow(ask_pairs(lower, shards), MOVED)
     # sums a chunk made itself keep their own key, beside the shards
     asked = asked.withColumn("to", F.when(F.col("kind") == SUMS, -1 - F.col("key")).otherwise(F.col("key")))

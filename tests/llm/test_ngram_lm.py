@@ -99,3 +99,10 @@ def test_a_very_long_text_and_clashing_names(spark):
     df = spark.createDataFrame([(1, long, False, 0.0), (2, "one two", True, 0.0)], "doc_id long, text string, held boolean, score double")
     rows = {r["doc_id"]: r for r in L.score(df, F.col("held")).collect()}
     assert rows[1]["n_tokens"] == 120_001 and rows[2]["n_known"] == 3
+
+
+def test_distinct_rows_with_small_and_large_numbers():
+    rng = np.random.default_rng(1)
+    columns = [rng.integers(0, 4, 500) for _ in range(3)]
+    small, large = L.distinct_rows(columns, [4, 4, 4]), L.distinct_rows(columns, [2**40] * 3)
+    assert all((a == b).all() for a, b in zip(small, large)) and small[-1].sum() == 500
