@@ -288,7 +288,7 @@ def _average_ranks(pairs: DataFrame, x: str, by: Sequence[str], resolution: int,
     coarse = counts.withColumn("__c", F.floor(F.col(x) * resolution))
     offsets = bucket_offsets(coarse, by, ["__c", x], "__n")
     return counts.join(offsets.drop("__c"), [*by, x]).select(
-        *by, x, (F.col("__offset") + (F.col("__n") + 1) / 2.0).alias(name)
+        *by, x, (F.col("__offset") + (F.col("__n") + 1) / 2.0).alias(name), ((F.col("__size") + 1) / 2.0).alias(f"{name}_mid")
     )
 
 
@@ -306,12 +306,10 @@ def spearman(
     ranked = pairs.join(_average_ranks(pairs, x, by, resolution, "__rx"), [*by, x]).join(
         _average_ranks(pairs, y, by, resolution, "__ry"), [*by, y]
     )
-    totals = pairs.groupBy(*by).agg(F.sum("__w").alias("__t"))
-    mid = (F.col("__t") + 1) / 2.0
-    dx, dy = F.col("__rx") - mid, F.col("__ry") - mid
+    # the middle rank comes with the ranks: no join by group, whose rows one task would have to take
+    dx, dy = F.col("__rx") - F.col("__rx_mid"), F.col("__ry") - F.col("__ry_mid")
     return (
-        ranked.join(totals, list(by))
-        .groupBy(*by)
+        ranked.groupBy(*by)
         .agg(
             F.sum(F.col("__w")).alias("n"),
             F.sum(F.col("__w") * dx * dy).alias("sxy"),

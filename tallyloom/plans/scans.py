@@ -257,17 +257,20 @@ def _(t):
 
 @query(
     "a15_resume",
-    "SELECT source_language, count(*) AS n, source_language <> 'java' AS rebuilt FROM corpus WHERE source_language IN ('java', 'python', 'c') GROUP BY source_language",
+    "SELECT coalesce(source_language, 'unknown') AS source_language, count(*) AS n, coalesce(source_language, 'unknown') <> 'java' AS rebuilt FROM corpus GROUP BY 1, 3",
     "corpus",
 )
 def _(t):
     path = scratch_dir(t.spark, "partitions")
 
-    def build(lang):
-        return t.corpus.where(F.col("source_language") == lang).drop("source_language")
+    corpus = t.corpus.withColumn("source_language", F.coalesce("source_language", F.lit("unknown")))
+    every = [r["source_language"] for r in corpus.select("source_language").distinct().collect()]
+
+    def build(langs):
+        return corpus.where(F.col("source_language").isin(langs))
 
     K.resume_partitions(t.spark, path, "source_language", ["java"], 1, build)
-    built = K.resume_partitions(t.spark, path, "source_language", ["java", "python", "c"], 1, build)
+    built = K.resume_partitions(t.spark, path, "source_language", sorted(every), 1, build)
     done = t.spark.read.parquet(path).groupBy("source_language").agg(F.count("*").alias("n"))
     return done.withColumn("rebuilt", F.col("source_language").isin(*built))
 

@@ -79,18 +79,18 @@ def release_sample(df: DataFrame, key: str, n: int = 20, seed: int = 42) -> Data
 
 
 def resume_partitions(
-    spark: SparkSession, path: str, column: str, wanted: Sequence[str], target: int, build: Callable[[str], DataFrame]
+    spark: SparkSession, path: str, column: str, wanted: Sequence[str], target: int, build: Callable[[list[str]], DataFrame]
 ) -> list[str]:
     """Build the partitions that hold fewer than ``target`` rows; others stay untouched.
 
-    Only one count per partition value reaches the driver. Returns what was built.
+    ``build`` gives the rows of all values it is asked for, with ``column``; they are written in one
+    job. Only one count per partition value reaches the driver. Returns what was built.
     """
     done = read_parquet(spark, path)
     have = {} if done is None else {r[column]: r["n"] for r in done.groupBy(column).agg(F.count("*").alias("n")).collect()}
     missing = [w for w in wanted if have.get(w, 0) < target]
-    for value in missing:
-        rows = build(value).withColumn(column, F.lit(value))
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(column).parquet(path)
+    if missing:
+        build(missing).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(column).parquet(path)
     return missing
 
 

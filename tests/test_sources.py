@@ -66,9 +66,9 @@ def test_unknown_export_format_is_jsonl(spark, tmp_path):
 def test_resume_builds_only_what_is_short(spark, tmp_path):
     path, built = str(tmp_path / "p"), []
 
-    def build(lang):
-        built.append(lang)
-        return spark.range(5)
+    def build(langs):
+        built.extend(langs)
+        return spark.range(5).crossJoin(spark.createDataFrame([(x,) for x in langs], "lang string"))
 
     K.resume_partitions(spark, path, "lang", ["a"], 5, build)
     K.resume_partitions(spark, path, "lang", ["a", "b"], 5, build)
