@@ -138,7 +138,10 @@ def fit_rates(docs: DataFrame, targets: dict[str, float], posterior: str, tokens
         if sum(map(abs, error)) <= s.tolerance * max(budget, 1.0):
             break
         moves.append([e / t if t > 0 else 0.0 for e, t in zip(error, now)])
-        reached = totals(moves)
+        before, reached = reached, totals(moves)
+        # targets no rates reach: the totals stand still at the nearest ones
+        if sum(abs(a - b) for a, b in zip(before, reached)) <= s.tolerance * max(budget, 1.0):
+            break
     return moves
 
 
