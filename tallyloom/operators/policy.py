@@ -65,9 +65,15 @@ def default_strategies(spark: SparkSession, types: Sequence[str] = fixed.APP_TYP
 
 
 def rank_strategies(rates: DataFrame, tried: DataFrame | None = None, types: Sequence[str] = fixed.APP_TYPES) -> DataFrame:
-    """Strategies per (type, category); proven ones by win rate, the rest in default order."""
+    """Strategies per (type, category); proven ones by win rate, the rest in default order.
+
+    A category without strategies of its own gets the fallback ones.
+    """
     defaults = default_strategies(rates.sparkSession, types)
     known = rates.where(F.col("kind") == "strategies").select("key", "name", "n", "rate")
+    unlisted = known.select("key").distinct().join(defaults, "key", "left_anti")
+    fallback = F.posexplode(F.array(*[F.lit(n) for n in fixed.FALLBACK_STRATEGIES])).alias("default_place", "name")
+    defaults = defaults.unionByName(unlisted.select("key", fallback))
     proven = F.when(F.col("n") >= fixed.MIN_SAMPLES_TO_ADAPT, -F.col("rate")).otherwise(F.lit(0.0))
     table = defaults.join(known, ["key", "name"], "left")
     if tried is not None:

@@ -161,7 +161,8 @@ def _defaults_sql():
     f"""WITH r AS ({RATES.format('strategy_outcomes')}),
     tried AS (SELECT key, name FROM r WHERE fail > 2 * ok)
     SELECT d.key, d.name, row_number() OVER (PARTITION BY d.key ORDER BY CASE WHEN n >= 3 THEN -rate ELSE 0 END, i) AS place
-    FROM {_defaults_sql()} LEFT JOIN r ON r.key = d.key AND r.name = d.name
+    FROM (SELECT key, name, i FROM {_defaults_sql()} UNION ALL SELECT k.key, f.name, f.i FROM (SELECT DISTINCT key FROM r WHERE key NOT IN (SELECT key FROM {_defaults_sql()})) k,
+      (VALUES ('spec_rebuild', 0), ('sanitize_syntax', 1)) f(name, i)) d LEFT JOIN r ON r.key = d.key AND r.name = d.name
     WHERE NOT EXISTS (SELECT 1 FROM tried x WHERE x.key = d.key AND x.name = d.name)""",
     "strategy_outcomes",
 )

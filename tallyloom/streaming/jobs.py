@@ -52,8 +52,11 @@ def score_log(path: str):
 
 
 def newest_scores(scores: DataFrame) -> DataFrame:
-    """The newest score of every (artifact, model); a later rescoring replaces earlier ones."""
-    row = F.struct("score", "weight", "available", "created_s")
+    """The newest score of every (artifact, model); a later rescoring replaces earlier ones.
+
+    The stored form keeps a missing score as 0 with ``available`` false; here it becomes null.
+    """
+    row = F.struct(S.available_score(F.col("score"), F.col("available")).alias("score"), "weight", "available", "created_s")
     newest = scores.groupBy("artifact_id", "model_key").agg(F.max_by(row, "created_s").alias("r"))
     return newest.select("artifact_id", "model_key", "r.*")
 
