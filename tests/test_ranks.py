@@ -73,6 +73,10 @@ def test_balanced_against_brute_force(spark):
                 want.add(r[0]); left[r[2]] -= 1; kept += 1
         for r in deferred[: 40 - kept]:
             want.add(r[0]); left[r[2]] -= 1
+    first = {}  # of chosen rows with the same text the smallest id stays
+    for r in sorted(r for r in rows if r[0] in want):
+        first.setdefault(r[3], r[0])
+    want = set(first.values())
     assert got == want
 
 
