@@ -7,7 +7,13 @@ belongs to each domain. Rates per document are then fitted so that the expected
 weighted by the present totals, by projected gradient. With that weighting a step of one is within
 the Lipschitz bound, because ``sum_i tokens_i p_ij p_ik`` divided by the present total of domain
 ``k`` is a matrix of rows that sum to one. Every step is one pass that sums one number per domain;
-the projection keeps rates at zero or above.
+the projection keeps rates at a floor or above: zero, or one where no document may be lost.
+
+With a floor of one, documents that other domains need more of also add to the domain that is
+already full, so the targets of the smallest possible budget can't be met. There the budget is a
+variable too, never below the smallest possible: before every step it rises to what the fullest
+domain asks for, as long as each step halves the distance to the targets' shares; after that it is
+set to the one the present totals fit best, which stands still where no budget meets the targets.
 
 The model is one number per hashed word and domain: its size depends on ``bits`` and on the number
 of targets only, so it is collected and goes into the plan as constants.
@@ -103,26 +109,31 @@ def memberships(docs: DataFrame, model: tuple[list[list[float]], list[float]], t
     return held.withColumn(out, posterior).drop("__z")
 
 
-def rate_of(posterior: str, moves: list[list[float]]) -> Column:
-    """The rate after the given steps, each projected to zero or above."""
+def rate_of(posterior: str, moves: list[list[float]], floor: float = 0.0) -> Column:
+    """The rate after the given steps, each projected to ``floor`` or above."""
     rate: Column = F.lit(1.0)
     for step in moves:
         move = sum((F.col(posterior)[i] * F.lit(c) for i, c in enumerate(step)), F.lit(0.0))
-        rate = F.greatest(F.lit(0.0), rate - move)
+        rate = F.greatest(F.lit(floor), rate - move)
     return rate
 
 
+def floor_of(budget: float | str) -> float:
+    return 1.0 if budget == "no_loss" else 0.0
+
+
 def fit_rates(docs: DataFrame, targets: dict[str, float], posterior: str, tokens: str, s: Settings, budget: float | str = "same") -> list[list[float]]:
     """The steps of the projected gradient, one number per domain each.
 
     ``targets`` weigh the domains. ``budget`` is the total number of tokens wanted: a number, or
-    ``"same"`` (as many as there are), or ``"no_loss"`` (so many that no domain's target lies
-    below its present total).
+    ``"same"`` (as many as there are), or ``"no_loss"`` (so many that no rate has to be below 1 to
+    meet the targets; rates are 1 or more).
     """
+    floor = floor_of(budget)
     p = [F.col(posterior)[i] for i in range(len(targets))]
 
     def totals(moves: list[list[float]]) -> list[float]:
-        row = docs.agg(*[F.sum(rate_of(posterior, moves) * F.col(tokens) * x) for x in p]).first()
+        row = docs.agg(*[F.sum(rate_of(posterior, moves, floor) * F.col(tokens) * x) for x in p]).first()
         return [float(x or 0.0) for x in row]
 
     now = totals([])
@@ -130,11 +141,17 @@ def fit_rates(docs: DataFrame, targets: dict[str, float], posterior: str, tokens
     if budget == "same":
         budget = sum(now)
     elif budget == "no_loss":
-        budget = max([t / w for t, w in zip(now, weights) if w > 0], default=0.0)
-    wanted = [w * budget for w in weights]
-    moves, reached = [], now
+        budget = least = max([t / w for t, w in zip(now, weights) if w > 0], default=0.0)
+    moves, reached, keen, last = [], now, True, math.inf
     while len(moves) < s.steps:
-        error = [r - w for r, w in zip(reached, wanted)]
+        if floor:
+            high = max([least, *(r / w for r, w in zip(reached, weights) if w > 0)])
+            miss = sum(abs(r / high - w) for r, w in zip(reached, weights)) if high > 0 else 0.0
+            keen, last = keen and miss <= last / 2, miss
+            each = [(r, w, t) for r, w, t in zip(reached, weights, now) if t > 0 and w > 0]
+            fits = sum(r * w / t for r, w, t in each) / sum(w * w / t for _, w, t in each) if each else least
+            budget = high if keen else max(least, fits)
+        error = [r - w * budget for r, w in zip(reached, weights)]
         if sum(map(abs, error)) <= s.tolerance * max(budget, 1.0):
             break
         moves.append([e / t if t > 0 else 0.0 for e, t in zip(error, now)])
@@ -165,7 +182,7 @@ def fitted(
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], **options) -> DataFrame:
     """``key``, ``n_tokens``, ``posterior`` (in the order of ``targets``) and ``rate`` of every document."""
     _, narrow, moves = fitted(docs, labelled, targets, **options)
-    return narrow.withColumn("rate", rate_of("posterior", moves))
+    return narrow.withColumn("rate", rate_of("posterior", moves, floor_of(options.get("budget", "same"))))
 
 
 def resample(
@@ -178,7 +195,8 @@ def resample(
     """
     s = s or Settings()
     model, _, moves = fitted(docs, labelled, targets, key=key, text=text, s=s, **options)
-    rated = memberships(docs, model, text, "__posterior", "__tokens", s).withColumn("__rate", rate_of("__posterior", moves))
+    rated = memberships(docs, model, text, "__posterior", "__tokens", s)
+    rated = rated.withColumn("__rate", rate_of("__posterior", moves, floor_of(options.get("budget", "same"))))
     chance = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1_000_000)) / 1e6
     copies = (F.floor("__rate") + (chance < F.col("__rate") - F.floor("__rate")).cast("int")).cast("int")
     rated = rated.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), copies)))

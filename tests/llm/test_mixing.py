@@ -80,6 +80,22 @@ def test_resampling_loses_nothing_and_comes_near_the_targets(spark):
     assert {r["doc_id"] for r in out.collect()} == before
 
 
+def test_no_loss_keeps_every_rate_at_one_or_more_and_meets_the_targets(spark, folder):
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    known = docs.select("doc_id", "lang").join(labels.select("doc_id").distinct(), "doc_id", "left_semi")
+    rows = M.mix(docs, known, M.TARGETS, budget="no_loss").collect()
+    assert min(r["rate"] for r in rows) >= 1
+    totals = sum(np.array(r["posterior"]) * r["rate"] * r["n_tokens"] for r in rows)
+    assert totals / totals.sum() == pytest.approx(list(M.TARGETS.values()), rel=0.01)
+    assert {r["doc_id"] for r in M.resample(docs, known, M.TARGETS, budget="no_loss").collect()} == {r["doc_id"] for r in rows}
+
+
+def test_no_loss_stays_bounded_where_no_budget_meets_the_targets(spark):
+    docs, labels = tables(spark, 10)
+    rows = M.mix(docs, labels.where("false"), TARGETS, budget="no_loss").collect()
+    assert all(1 <= r["rate"] < 2 for r in rows)
+
+
 def test_nothing_labelled_and_no_rows(spark):
     docs, labels = tables(spark, 10)
     rows = M.mix(docs, labels.where("false"), TARGETS).collect()
