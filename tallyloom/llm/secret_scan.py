@@ -4,7 +4,12 @@ Ordinary words are frequent in a tokenizer's training text and take few tokens;
 take about one token for every one or two characters. The scan looks at long runs of the
 characters keys are made of, leaves out digests and identifiers, and reports runs with few
 characters per token. Rules for assignments, access keys and hexadecimal runs come with it; what
-they find always stays, and the method adds only runs that touch none of their spans.
+they find always stays.
+
+A key next to ordinary words (in a path, say) has too many characters per token as a whole run, so
+the parts of a run are judged as well: the run without the words at its ends, and every piece
+between separators. In a run that touches a span of the rules, what is judged random and not wholly
+covered is reported with its whole extent, overlapping the span.
 
 Defined results: a null text is empty and has no spans; offsets are code points, end exclusive;
 spans come in order of start, then of ``KINDS``. Whole texts are read, whatever their length.
@@ -35,6 +40,8 @@ IDENTIFIER = re.compile(
     r"|\d{4}-\d\d-\d\dT?[0-9-]*Z?"
     r"|(?:[a-z]+|[A-Z]+|[A-Z][a-z]+)[0-9]{0,4}(?:[+/_=-]+(?:[a-z]*|[A-Z]+|[A-Z][a-z]+)[0-9]{0,4})*"
 )
+PIECE = re.compile(r"[A-Za-z0-9]+")
+WORD = re.compile(r"(?:[a-z]+|[A-Z]+|[A-Z][a-z]+)[0-9]{0,4}")
 CLASSES = (re.compile(r"[a-z]"), re.compile(r"[A-Z]"), re.compile(r"[0-9]"))
 
 
@@ -47,19 +54,58 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def random_spans(text: str, taken: list[tuple[int, int, int]], encoding, most: float) -> list[tuple[int, int, int]]:
-    """Runs with fewer than ``most`` characters per token that touch no span in ``taken``."""
+    """Runs, or else parts of runs, with fewer than ``most`` characters per token that ``taken`` does not cover."""
+
+    def random(part: str) -> bool:
+        return not ordinary(part) and len(part) < most * len(encoding.encode_ordinary(part))
+
+    def parts(at: int, end: int, touched: bool) -> list[tuple[int, int]]:
+        run = text[at:end]
+        if ordinary(run):
+            return []
+        if not touched and random(run):
+            return [(at, end)]
+        pieces = [(at + p.start(), at + p.end()) for p in PIECE.finditer(run)]
+        core = list(pieces)
+        while core and WORD.fullmatch(text, *core[0]):
+            core.pop(0)
+        while core and WORD.fullmatch(text, *core[-1]):
+            core.pop()
+        if core and random(text[core[0][0] : core[-1][1]]):
+            return [(core[0][0], core[-1][1])]
+        return [(s, e) for s, e in pieces if random(text[s:e])]
+
     out = []
     for m in RUN.finditer(text):
-        run = m[0]
-        if sum(c.search(run) is not None for c in CLASSES) < 2 or DIGEST.fullmatch(run) or IDENTIFIER.fullmatch(run):
+        if ordinary(m[0]):
             continue
-        if any(s < m.end() and m.start() < e for s, _, e in taken):
-            continue
-        if len(run) < most * len(encoding.encode_ordinary(run)):
-            out.append((m.start(), 3, m.end()))
+        near = sorted((s, e, k) for s, k, e in taken if s < m.end() and m.start() < e)
+        # an assignment has its own extent: what stands before or after it is judged by itself
+        at, segments = m.start(), []
+        for s, e, k in near:
+            if k == 0:
+                segments.append((at, s))
+                at = max(at, e)
+        for s, e in [*segments, (at, m.end())]:
+            for lo, hi in parts(s, e, any(a < e and s < b for a, b, _ in near)) if e > s else ():
+                if not covered(lo, hi, near):
+                    out.append((lo, 3, hi))
     return out
 
 
+def ordinary(run: str) -> bool:
+    """Too short or of one class only, a digest or an identifier."""
+    return len(run) < 16 or sum(c.search(run) is not None for c in CLASSES) < 2 or bool(DIGEST.fullmatch(run) or IDENTIFIER.fullmatch(run))
+
+
+def covered(lo: int, hi: int, spans: list[tuple[int, int, int]]) -> bool:
+    """Whether the ordered ``spans`` cover all of ``lo`` to ``hi``."""
+    for s, e, _ in spans:
+        if s <= lo:
+            lo = max(lo, e)
+    return lo >= hi
+
+
 def scan(
     df: DataFrame,
     text: str = "text",

@@ -1,5 +1,6 @@
 """The secret scan against rules written out plainly."""
 
+import random
 import re
 
 from tallyloom.llm import secret_scan as S
@@ -72,3 +73,18 @@ def test_a_secret_at_the_end_of_a_very_long_text(spark):
     text = "word " * 300_000 + RANDOM
     row = scanned(spark, [text]).first()
     assert [(s["start"], s["end"]) for s in row["spans"]] == [(1_500_000, 1_500_000 + len(RANDOM))]
+
+
+def test_keys_next_to_words_and_around_base_spans_are_covered(spark):
+    rng = random.Random(1)
+    path, long = "/home/user/projects/website/config/production/", "Zq8Lx2Vn" + "0123456789abcdef" + "QwT7pKz4"
+    keys = ["".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(16)) for _ in range(40)]
+    rows = scanned(spark, [path + k for k in keys]).collect()
+    assert all(any(s["start"] <= len(path) and s["end"] >= len(path) + 16 for s in r["spans"]) for r in rows)
+    texts = [f"see {long} there", f"a_long_prefix_of_words_api_key={RANDOM}", path + "550e8400-e29b-41d4-a716-446655440000", path + "index_of_documents2024"]
+    rows = {r["doc_id"]: r["spans"] for r in scanned(spark, texts).collect()}
+    found = [[(s["kind"], s["start"], s["end"]) for s in rows[i]] for i in range(4)]
+    assert found[0] == [("random", 4, 36), ("hex", 12, 28)]
+    assert [x[0] for x in found[1]] == ["assign"]
+    assert found[3] == []
+    assert S.redact(scanned(spark, texts[:1])).first()["text"] == "see [SECRET] there"
