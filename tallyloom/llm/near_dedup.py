@@ -17,8 +17,8 @@ threshold agrees in 427 on average, with a standard deviation of 8.4, so one in
 pairs is lost, and one in a thousand at a similarity of 0.81); what only shares a passage is sorted
 out there and never reaches the texts. Comparisons across classes happen inside tasks, each pair in
 one bucket only, and only links leave them. Buckets of more than ``large`` members are first cut into
-finer ones, under pairs of large buckets a member is in, and what is still larger is compared block
-by block.
+finer ones, under pairs of large buckets a member is in, and pairs that share no other bucket meet
+under the large one itself; what is still larger is compared block by block.
 
 With 24 tuples of three, a pair at the threshold meets in a bucket with probability above 0.999.
 
@@ -284,8 +284,9 @@ def _with_leader(rows: DataFrame, s: Settings) -> DataFrame:
 def _met(group: pa.Table, s: Settings, similarity: float | None) -> list[tuple[int, int]]:
     """Pairs of rows of a bucket in different classes whose lengths and minima allow the threshold.
 
-    A pair that shares several buckets is taken in the first of them only. With ``similarity`` the
-    pairs are verified as well, by their texts.
+    A pair that shares several buckets is taken in the first of them only, and under a large bucket
+    alone (``only``) where it shares no other. With ``similarity`` the pairs are verified as well, by
+    their texts.
     """
     size = len(group)
     label = np.asarray(group.column("label").combine_chunks().dictionary_encode().indices)
@@ -294,7 +295,7 @@ def _met(group: pa.Table, s: Settings, similarity: float | None) -> list[tuple[i
     minima_of = np.asarray(group.column("minima").combine_chunks().flatten()).reshape(size, -1)
     held = group.column("all").to_pylist()
     first, second = group.column("bucket")[0].as_py(), group.column("second")[0].as_py()
-    here = [first] if first == second else [first, second]
+    here, only = ([first] if first == second else [first, second]), group.column("only")[0].as_py()
     shingles: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     if similarity is not None:
         words = Words(group.column("text"), lower=True)
@@ -314,7 +315,7 @@ def _met(group: pa.Table, s: Settings, similarity: float | None) -> list[tuple[i
         others = others[np.bitwise_count(minima_of[others] ^ minima_of[i]).sum(axis=1) <= MINIMA - s.agree]
         own = set(held[i])
         for j in others.tolist():
-            if sorted(own.intersection(held[j]))[: len(here)] != here:
+            if sorted(own.intersection(held[j]))[: None if only else len(here)] != here:
                 continue
             if similarity is not None:
                 (x, x_sorted), (y, y_sorted) = cut(i), cut(j)
@@ -327,7 +328,7 @@ def _met(group: pa.Table, s: Settings, similarity: float | None) -> list[tuple[i
 def _across(rows: DataFrame, some: DataFrame, s: Settings) -> DataFrame:
     """Links between different classes of a bucket: all members outside of its leader's class with all members.
 
-    ``rows`` have (bucket, second) as their bucket and ``all`` as the list of a node's buckets. Pairs
+    ``rows`` have (bucket, second, only) as their bucket and ``all`` as the list of a node's buckets. Pairs
     meet inside a task and only links leave it: first without texts, to find the members that have
     a possible partner at all, then those with their texts. A bucket of more than ``large``
     members is dealt into blocks of that size, and every pair of blocks is a task.
@@ -341,7 +342,7 @@ def _across(rows: DataFrame, some: DataFrame, s: Settings) -> DataFrame:
     block = F.pmod(F.xxhash64("node"), blocks).cast("int")
     dealt = several.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     dealt = checkpointed(
-        dealt.select(*key, "node", "label", "outside", "n", "minima", "all", F.least(block, "other").alias("x"), F.greatest(block, "other").alias("y"))
+        dealt.select(*key, "node", "label", "outside", "n", "minima", "all", "only", F.least(block, "other").alias("x"), F.greatest(block, "other").alias("y"))
     )
     key = [*key, "x", "y"]
 
@@ -361,19 +362,25 @@ def _across(rows: DataFrame, some: DataFrame, s: Settings) -> DataFrame:
 
 
 def _buckets(rows: DataFrame, s: Settings) -> DataFrame:
-    """Rows with their bucket as (bucket, second): as they are, or pairs of buckets where those are large."""
+    """Rows with their bucket as (bucket, second): as they are, or pairs of buckets where those are large.
+
+    Large ones come also as they are (``only``), for pairs that share no other bucket, small or large.
+    """
     plain = rows.where(F.col("size") <= s.large)
     carried = ["node", "n", "minima", "weight", "label", "all"]
     listed = plain.groupBy("node").agg(F.array_sort(F.collect_list("bucket")).alias("all"))
-    small = plain.join(listed, "node").select("bucket", F.col("bucket").alias("second"), *carried)
+    small = plain.join(listed, "node").select("bucket", F.col("bucket").alias("second"), *carried, F.lit(False).alias("only"))
     held = rows.where(F.col("size") > s.large).groupBy("node").agg(
         F.array_sort(F.collect_list("bucket")).alias("all"), *[F.first(c).alias(c) for c in ("n", "minima", "weight", "label")]
     )
     pairs = F.transform(
         "all", lambda x, i: F.transform(F.slice(F.col("all"), i + 2, F.size("all")), lambda y: F.struct(x.alias("bucket"), y.alias("second")))
     )
-    fine = held.select(F.explode(F.flatten(pairs)).alias("p"), *carried).select("p.bucket", "p.second", *carried)
-    return small.union(fine)
+    fine = held.select(F.explode(F.flatten(pairs)).alias("p"), *carried).select("p.bucket", "p.second", *carried, F.lit(False).alias("only"))
+    every = held.withColumnRenamed("all", "big").join(listed.withColumnRenamed("all", "rest"), "node", "left")
+    every = every.withColumn("all", F.array_sort(F.concat("big", F.coalesce("rest", F.array().cast("array<long>")))))
+    alone = every.select(F.explode("big").alias("bucket"), *carried).select("bucket", F.col("bucket").alias("second"), *carried, F.lit(True).alias("only"))
+    return small.union(fine).union(alone)
 
 
 def links_of(texts: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:

@@ -3,8 +3,10 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from tallyloom.llm import near_dedup as N
+from tallyloom.llm.common import Words, shingle_hashes
 from tallyloom.llm.near_dedup import aligned
 
 
@@ -85,6 +87,11 @@ def corpus():
     return texts
 
 
+def mixed_words(text):
+    words = Words(pa.array([text]), lower=True)
+    return words.hashes()[words.codes]
+
+
 def classes(spark, texts, s=None):
     docs = spark.createDataFrame([(i, t, "n") for i, t in enumerate(texts)], "doc_id long, text string, node string")
     return {r["doc_id"]: r for r in N.classes(docs, s=s).collect()}
@@ -103,6 +110,19 @@ def test_large_buckets_in_blocks_and_finer_buckets_give_the_same(spark):
     assert [got[i]["class_id"] for i in range(len(texts))] == brute(texts)
 
 
+def test_a_pair_that_shares_one_bucket_above_large_is_compared(spark):
+    rng = random.Random(5)
+    passage = text_of(rng, 40)
+    texts = [" ".join(passage + text_of(rng, 20)) for _ in range(30)]
+    other = passage + text_of(rng, 20)
+    texts += [" ".join(other), " ".join(edited(rng, other, [59]))]
+    s = N.Settings(sketches=1, length=1, large=3)
+    held = [N.order_sketch(shingle_hashes(mixed_words(t), 5), s)[0] for t in texts]
+    assert held[-1] == held[-2] and held.count(held[-1]) > s.large
+    got = classes(spark, texts, s)
+    assert [got[i]["class_id"] for i in range(32)] == [*range(31), 30]
+
+
 def test_null_ids_repeated_rows_and_no_rows(spark):
     rows = [(None, "same text"), (None, "same text"), (7, "another one"), (7, "another one"), (5, "another one"), (None, "alone")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
