@@ -123,6 +123,16 @@ def test_a_pair_that_shares_one_bucket_above_large_is_compared(spark):
     assert [got[i]["class_id"] for i in range(32)] == [*range(31), 30]
 
 
+def test_the_filter_on_minima_keeps_pairs_at_the_threshold():
+    rng, s, least = np.random.default_rng(3), N.Settings(), N.MINIMA
+    for _ in range(2000):
+        a = rng.integers(1, 1 << 62, 100).astype(np.uint64)
+        b = np.concatenate([a[20:], rng.integers(1, 1 << 62, 20).astype(np.uint64)])
+        differing = int(np.bitwise_count((N.minima(a) ^ N.minima(b)).view(np.uint64)).sum())
+        least = min(least, N.MINIMA - differing)
+    assert s.agree <= least < 405
+
+
 def test_null_ids_repeated_rows_and_no_rows(spark):
     rows = [(None, "same text"), (None, "same text"), (7, "another one"), (7, "another one"), (5, "another one"), (None, "alone")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
