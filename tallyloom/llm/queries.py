@@ -1,4 +1,4 @@
 """Import every operator module; importing registers its query."""
 
-from . import bpe, chat, mih, mixing, near_dedup, ngram_lm, outliers, quality, secret_scan, toxicity  # noqa: F401
+from . import bpe, chat, mih, mixing, near_dedup, ngram_lm, outliers, packing, quality, repair, secret_scan, toxicity, whitening  # noqa: F401
 from .common import ORACLES, QUERIES  # noqa: F401
