@@ -27,26 +27,28 @@ from __future__ import annotations
 
 import heapq
 import os
-import re
 import zlib
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.rank import exact_rank
 from ..session import checkpointed
-from .common import query, table, workers_find_us
+from .common import query, sliced, table, workers_find_us
 
 VOCABULARY = "byte_bpe_50k.json"
 
-#: Before one ASCII blank that is followed by a character which is surely none, every match of a
-#: byte-level splitting pattern ends, so the parts can be encoded one by one.
-BOUNDARY = re.compile("(?=[\t-\r ][!-~\u00a1-\u167f])")
+#: Before an ASCII blank that is followed by a byte which surely begins no blank, every match of a
+#: byte-level splitting pattern ends, so what lies between such places is encoded part by part.
+BLANK, SURE = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
+BLANK[[9, 10, 11, 12, 13, 32]] = True
+SURE[0x21:0x7F] = SURE[0xC3:0xE1] = True
 
 
 @dataclass
@@ -54,48 +56,104 @@ class Settings:
     width: int = 1024
     end: int = 2  #: id that closes a document
     steps: int = 6000  #: most exchanges of the local search; one moves all bins of a kind
-    remembered: int = 1 << 18  #: parts a worker keeps the ids of
-    part: int = 48  #: longest part that is kept
+    slice_bytes: int = 8 << 20  #: text whose distinct parts are encoded together
+    remembered: int = 1 << 20  #: distinct parts a worker keeps the ids of
 
 
 # --- ids ------------------------------------------------------------------------------------------
 
 
 class Encoder:
-    """Ids of whole texts as little-endian unsigned 32-bit integers, parts encoded once."""
+    """Ids of whole texts; distinct parts are encoded once, as long as they are remembered."""
 
-    def __init__(self, path: str, remembered: int, longest: int):
+    def __init__(self, path: str, remembered: int = Settings.remembered):
+        self.remembered = remembered
+        self.forget()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.remembered, self.longest = Tokenizer.from_file(path), remembered, longest
-        self.known: dict[str, bytes] = {}
+        self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.bytes = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)  #: a byte-level token has a letter per byte
+        for token, i in vocabulary.items():
+            self.bytes[i] = len(token)
 
-    def _learn(self, parts: list[str]) -> None:
+    def forget(self) -> None:
+        #: parts, their ids, and where each part's ids begin
+        self.known, self.ids, self.at = pa.array([], pa.large_binary()), np.zeros(0, dtype="<u4"), np.zeros(1, dtype=np.int64)
+
+    def _ids(self, texts: list[str], some: int = 16) -> Iterator[np.ndarray]:
+        for i in range(0, len(texts), some):  # what the tokenizer returns is much larger than the ids
+            for e in self.tokenizer.encode_batch_fast(texts[i : i + some], add_special_tokens=False):
+                yield np.array(e.ids, dtype="<u4")
+
+    def learn(self, words: pa.Array) -> np.ndarray:
+        """Places of ``words`` among the known parts; unknown ones are encoded first."""
         if len(self.known) > self.remembered:
-            self.known.clear()
-        new = list({p for p in parts if p not in self.known})
-        for part, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.known[part] = np.array(e.ids, dtype="<u4").tobytes()
-
-    def __call__(self, text: str | None) -> bytes:
-        parts = BOUNDARY.split(text) if text else []
-        known = self.known
-        try:
-            return b"".join([known[p] for p in parts])
-        except KeyError:
-            self._learn(parts)
-        packed = b"".join([self.known[p] for p in parts])
-        for p in parts:
-            if len(p) > self.longest:
-                self.known.pop(p, None)
-        return packed
+            self.forget()
+        place = pc.index_in(words, value_set=self.known)
+        new = words.filter(pc.is_null(place))
+        place = np.array(pc.fill_null(place, -1))
+        if len(new):
+            bounds = np.frombuffer(new.buffers()[1], dtype=np.int64)[new.offset : new.offset + len(new) + 1]
+            ids, at = self.parts(np.frombuffer(new.buffers()[2], dtype=np.uint8), bounds)
+            place[place < 0] = len(self.known) + np.arange(len(new))
+            self.known = pa.concat_arrays([self.known, new])
+            self.at = np.concatenate([self.at, self.at[-1] + at[1:]])
+            self.ids = np.concatenate([self.ids, ids])
+        return place
+
+    def parts(self, data: np.ndarray, bounds: np.ndarray, together: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the parts ``data[bounds[i]:bounds[i + 1]]``, and where each part's begin."""
+        n = len(bounds) - 1
+        size = np.diff(bounds)
+        first, second = data[bounds[:-1]], data[np.minimum(bounds[:-1] + 1, len(data) - 1)]
+        apart = ~(BLANK[first] & SURE[second] & (size > 1))  # may not follow another part
+        # parts in a row go into one text: up to ``together``, and those apart alone
+        cuts = np.unique(np.concatenate([np.arange(0, n, together), np.flatnonzero(apart), np.flatnonzero(apart) + 1, [n]]))
+        cuts = cuts[cuts <= n]
+        whole = data.tobytes()
+        texts = [whole[bounds[a] : bounds[b]].decode() for a, b in zip(cuts[:-1], cuts[1:])]
+        ids = np.concatenate([*self._ids(texts), np.zeros(0, dtype="<u4")])
+        ends = np.cumsum(self.bytes[ids])
+        at = np.concatenate([[0], np.searchsorted(ends, bounds[1:] - bounds[0]) + 1])
+        if n and (ends[at[1:] - 1] != bounds[1:] - bounds[0]).any():
+            raise ValueError("the tokenizer joined parts: its splitting pattern isn't byte-level")
+        return ids, at
+
+    def __call__(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text; a null is an empty one."""
+        texts = pc.fill_null(texts.cast(pa.large_binary()), b"")
+        n = len(texts)
+        edges = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + n + 1] if n else np.zeros(1, np.int64)
+        if edges[-1] == edges[0]:
+            yield from [np.zeros(0, dtype="<u4")] * n
+            return
+        raw = np.frombuffer(texts.buffers()[2], dtype=np.uint8)[edges[0] : edges[-1]]
+        edges = edges - edges[0]
+        begins = np.zeros(len(raw), dtype=bool)
+        begins[:-1] = BLANK[raw[:-1]] & SURE[raw[1:]]
+        inner = edges[(edges > 0) & (edges < len(raw))]
+        begins[inner - 1] = False  # what follows there is another text
+        begins[edges[edges < len(raw)]] = True
+        bounds = np.append(np.flatnonzero(begins), len(raw))
+        flat = pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(raw)])
+        coded = flat.dictionary_encode()
+        codes = self.learn(coded.dictionary)[np.asarray(coded.indices)]
+        ids, at = self.ids, self.at
+        first = np.searchsorted(bounds[:-1], edges)
+        for a, b in zip(first[:-1], first[1:]):
+            mine = codes[a:b]
+            count = at[mine + 1] - at[mine]
+            upto = np.cumsum(count)
+            total = int(upto[-1]) if len(upto) else 0
+            yield ids[np.arange(total) + np.repeat(at[mine] - upto + count, count)]
 
 
 @lru_cache(maxsize=1)
-def encoder(path: str, remembered: int, longest: int) -> Encoder:
-    """A worker keeps its encoder from task to task."""
-    return Encoder(path, remembered, longest)
+def encoder(path: str, remembered: int) -> Encoder:
+    """A worker keeps its tokenizer from task to task."""
+    return Encoder(path, remembered)
 
 
 def cut(n: int, width: int) -> list[tuple[int, int]]:
@@ -111,20 +169,22 @@ def pieces(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | N
     path = path or public_tokenizers.path(VOCABULARY)
     end = np.array([s.end], dtype="<u4").tobytes()
 
-    @F.arrow_udf("array<struct<start:bigint,length:bigint,ids_crc32:bigint>>")
-    def measured(texts: pa.Array) -> pa.Array:
-        encode = encoder(path, s.remembered, s.part)
+    def measure(texts: pa.Array) -> pa.Array:
         at, start, length, crc = [0], [], [], []
-        for scalar in texts:
-            ids = encode(scalar.as_py()) + end
-            for a, n in cut(len(ids) // 4, s.width):
+        for ids in encoder(path, s.remembered)(texts):
+            packed = memoryview(ids.tobytes() + end)
+            for a, n in cut(len(ids) + 1, s.width):
                 start.append(a)
                 length.append(n)
-                crc.append(zlib.crc32(ids[4 * a : 4 * (a + n)]))
+                crc.append(zlib.crc32(packed[4 * a : 4 * (a + n)]))
             at.append(len(start))
         values = pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in (start, length, crc)], names=["start", "length", "ids_crc32"])
         return pa.ListArray.from_arrays(pa.array(at, pa.int32()), values)
 
+    @F.arrow_udf("array<struct<start:bigint,length:bigint,ids_crc32:bigint>>")
+    def measured(texts: pa.Array) -> pa.Array:
+        return sliced(measure, s.slice_bytes)(texts)
+
     found = df.select(F.col(key).alias("doc_id"), measured(F.col(text)).alias("found"))
     return found.select("doc_id", F.posexplode("found").alias("piece", "p")).select("doc_id", "piece", "p.start", "p.length", "p.ids_crc32")
 
