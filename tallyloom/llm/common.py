@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 from collections.abc import Callable
 from functools import lru_cache
@@ -127,6 +128,16 @@ def sliced(f, limit: int = 4 << 20):
     return apply
 
 
+def give_back(result):
+    """``result``, after the worker has returned the memory it holds but does not use."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # a C library without it
+        pass
+    return result
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser that spreads 64-bit values evenly (splitmix64)."""
     x = x + np.uint64(0x9E3779B97F4A7C15)

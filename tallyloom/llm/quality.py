@@ -14,15 +14,13 @@ table gives an empty result; ids are only carried along.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Words, expand, mix, query, shingle_hashes, sliced, table, workers_find_us
+from .common import Words, expand, give_back, mix, query, shingle_hashes, sliced, table, workers_find_us
 from .toxicity import _sigmoid
 
 #: Every kind of defect is looked for by two labellers or more: only where they overlap can their
@@ -39,6 +37,7 @@ class Settings:
     epochs: int = 300
     rate: float = 0.05
     decay: float = 1e-5
+    slice_bytes: int = 1 << 20  #: text that is worked on at once
     keep: float = 0.4  #: a score below this rejects the document; doubtful ones stay
     seed: int = 5
 
@@ -50,6 +49,28 @@ def _per_word(flag: np.ndarray, words: Words) -> np.ndarray:
     return total[words.ends] - total[words.starts]
 
 
+_BYTE = mix(np.arange(256, dtype=np.uint64) + np.uint64(1 << 32))
+
+
+def segment_hashes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """64-bit hash of every stretch ``data[offsets[i]:offsets[i + 1]]`` of bytes: a polynomial, mixed."""
+    size = np.diff(offsets)
+    powers = np.full(int(size.max(initial=0)) + 1, 0x9E3779B97F4A7C15, dtype=np.uint64)
+    powers[0] = 1
+    powers = np.cumprod(powers)
+    each = _BYTE[data] * powers[np.arange(len(data)) - np.repeat(offsets[:-1], size)]
+    total = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum(each, out=total[1:])
+    return mix((total[offsets[1:]] - total[offsets[:-1]]) ^ mix(size.astype(np.uint64)))
+
+
+def distinct_words(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of the dictionary of distinct words, back to back, and where each begins."""
+    d = words.dictionary
+    offsets = np.frombuffer(d.buffers()[1], dtype=np.int64)[d.offset : d.offset + len(d) + 1]
+    return np.frombuffer(d.buffers()[2], dtype=np.uint8), offsets
+
+
 def _in_set(chars: bytes) -> np.ndarray:
     table_ = np.zeros(256, dtype=bool)
     table_[list(chars)] = True
@@ -87,7 +108,7 @@ def votes(words: Words) -> np.ndarray:
 
     # words inside windows of six that an earlier window of the same text equals
     repeated = np.zeros(n)
-    hashes = words.hashes(1)[words.codes] if len(words.codes) else np.zeros(0, np.uint64)
+    hashes = segment_hashes(*distinct_words(words))[words.codes] if len(words.codes) else np.zeros(0, np.uint64)
     windows = shingle_hashes(hashes, 6)
     if len(windows):
         inside = text[: len(windows)] == text[len(hashes) - len(windows) :]
@@ -106,6 +127,7 @@ def votes(words: Words) -> np.ndarray:
     word_length = size / some
     share = letters / np.maximum(size, 1)
     some_text = count >= 8
+    vocabulary = np.minimum(count, 4000)  # a longer text brings few new words
     return np.stack(
         [
             vote(symbols > 0.3 * count, symbols < 0.1 * count, some_text),
@@ -116,7 +138,7 @@ def votes(words: Words) -> np.ndarray:
             vote(single > 0.3 * count, single < 0.15 * count, some_text),
             vote(repeated > 0.3, repeated < 0.05, count >= 40),
             vote(stutter > 0.3 * count, stutter < 0.05 * count, some_text),
-            vote(variety < 0.15 * count, variety > 0.25 * count, (count >= 40) & (count <= 4000)),
+            vote(variety < 0.15 * vocabulary, variety > 0.25 * vocabulary, count >= 40),
             vote((word_length < 2.5) | (word_length > 12), (word_length > 3.5) & (word_length < 9), some_text),
         ],
         axis=1,
@@ -160,8 +182,19 @@ def accuracies(pattern: np.ndarray, count: np.ndarray, rounds: int = 200) -> tup
 
 
 #: letters of any case and script keep only their case, digits become 0, other characters stay
-_SHAPE = bytes(ord("a") if LETTER[c] and not UPPER[c] else ord("A") if UPPER[c] else ord("0") if 48 <= c <= 57 else c for c in range(256))
-_RUN = re.compile(rb"(.)\1+", re.S)
+_SHAPE = np.array([ord("a") if LETTER[c] and not UPPER[c] else ord("A") if UPPER[c] else ord("0") if 48 <= c <= 57 else c for c in range(256)], dtype=np.uint8)
+
+
+def shape_hashes(words: Words) -> np.ndarray:
+    """Hash of the shape of every distinct word: a row of equal signs counts as one."""
+    data, offsets = distinct_words(words)
+    shape = _SHAPE[data]
+    fresh = np.ones(len(shape), dtype=bool)
+    fresh[1:] = shape[1:] != shape[:-1]
+    fresh[offsets[:-1]] = True
+    upto = np.zeros(len(shape) + 1, dtype=np.int64)
+    np.cumsum(fresh, out=upto[1:])
+    return segment_hashes(shape[fresh], upto[offsets])
 
 
 def shapes(words: Words, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -173,8 +206,7 @@ def shapes(words: Words, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     """
     if not len(words.codes):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    bare = (_RUN.sub(rb"\1", w.translate(_SHAPE)) for w in words.dictionary.to_pylist())
-    ids = np.fromiter((xxhash.xxh32_intdigest(w) for w in bare), dtype=np.uint64, count=len(words.dictionary))[words.codes]
+    ids = shape_hashes(words)[words.codes]
     text = np.repeat(np.arange(len(words), dtype=np.int64), np.diff(words.offsets))
     same = text[1:] == text[:-1]
     pairs = mix(ids[:-1] ^ mix(ids[1:]))[same]
@@ -229,13 +261,12 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", s: Settings
     s = s or Settings()
     workers_find_us(docs.sparkSession)
 
-    @sliced
     def pattern_of(texts: pa.Array) -> pa.Array:
         return pa.array(encode_votes(votes(Words(texts))).astype(np.int32))
 
     @F.arrow_udf("int")
     def pattern(texts: pa.Array) -> pa.Array:
-        return pattern_of(texts)
+        return give_back(sliced(pattern_of, s.slice_bytes)(texts))
 
     counts = docs.select(pattern(F.col(text)).alias("pattern")).groupBy("pattern").agg(F.count("*").alias("n")).toArrow()
     patterns, n = np.asarray(counts.column("pattern")), np.asarray(counts.column("n"))
@@ -247,9 +278,8 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", s: Settings
     posterior[patterns[order]] = good
 
     bits = s.bits
-    ids = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("id")).orderBy(F.xxhash64("id", F.lit(s.seed)), "id").limit(s.sample)
+    ids = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("id")).distinct().orderBy(F.xxhash64("id", F.lit(s.seed)), "id").limit(s.sample)
 
-    @sliced
     def example_of(texts: pa.Array) -> pa.Array:
         words = Words(texts)
         owner, hashed, value = shapes(words, bits)
@@ -265,9 +295,10 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", s: Settings
 
     @F.arrow_udf("struct<pattern:int,hashed:array<int>,value:array<double>>")
     def example(texts: pa.Array) -> pa.Array:
-        return example_of(texts)
+        return give_back(sliced(example_of, s.slice_bytes)(texts))
 
     chosen = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(F.broadcast(ids), "id", "left_semi")
+    chosen = chosen.groupBy("id").agg(F.min("text").alias("text"))  # an id counts once, however many rows it has
     rows = [r["e"] for r in chosen.select(example("text").alias("e")).toArrow().to_pylist()]
     rows = [r for r in rows if len(r["hashed"])]
     sets = [(np.array(r["hashed"], np.int64), np.array(r["value"])) for r in rows]
@@ -283,7 +314,6 @@ def judge(docs: DataFrame, model: Model, text: str = "text", s: Settings | None
     shared = docs.sparkSession.sparkContext.broadcast((model.posterior, model.weights, model.intercept))
     bits = s.bits
 
-    @sliced
     def verdict_of(texts: pa.Array) -> pa.Array:
         posterior, weights, intercept = shared.value
         words = Words(texts)
@@ -294,7 +324,7 @@ def judge(docs: DataFrame, model: Model, text: str = "text", s: Settings | None
 
     @F.arrow_udf("struct<posterior:double,score:double>")
     def verdict(texts: pa.Array) -> pa.Array:
-        return verdict_of(texts)
+        return give_back(sliced(verdict_of, s.slice_bytes)(texts))
 
     judged = expand(docs.withColumn("__verdict", verdict(F.col(text))), "__verdict", ["posterior", "score"])
     return judged.withColumn("kept", F.col("score") >= s.keep)

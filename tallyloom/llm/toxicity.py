@@ -134,6 +134,7 @@ def sampled_sets(docs: DataFrame, ids: DataFrame, key: str, text: str, s: Settin
         return sets_of(texts)
 
     chosen = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(F.broadcast(ids), "id", "left_semi")
+    chosen = chosen.groupBy("id").agg(F.min("text").alias("text"))  # an id counts once, however many rows it has
     got = chosen.select(sets("text").alias("set")).toArrow().column("set")
     return [np.asarray(x.values, dtype=np.int64) for x in got if x.is_valid]
 
@@ -151,7 +152,7 @@ def train(docs: DataFrame, labels: DataFrame, learn, key: str = "doc_id", text:
     prior = (total["p"] or 0) / total["n"] if total["n"] else 0.0
 
     def some(ids: DataFrame, n: int) -> DataFrame:
-        return ids.orderBy(F.xxhash64("id", F.lit(s.seed)), "id").limit(n)
+        return ids.distinct().orderBy(F.xxhash64("id", F.lit(s.seed)), "id").limit(n)
 
     toxic = some(known.where("y = 1").select("id"), s.most_positives)
     anyone = some(docs.where(F.col(key).isNotNull() & learn(key)).select(F.col(key).alias("id")), s.most_unlabelled)

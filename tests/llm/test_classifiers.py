@@ -85,6 +85,71 @@ def test_quality_rejects_defects_and_keeps_prose(spark):
     assert Q.judge(docs.where("false"), Q.train(docs.where("false"))).count() == 0
 
 
+def test_repeated_and_null_ids_count_once_in_the_samples(spark):
+    texts = quality_rows()
+    once = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    again = once.unionAll(spark.createDataFrame([(3, texts[3])] * 50, "doc_id long, text string"))
+    a, b = (Q.train(d, s=Q.Settings(sample=40)) for d in (once, again))
+    assert ((a.weights != 0) == (b.weights != 0)).all() and len(Q.judge(again, b).collect()) == len(texts) + 50
+    nulls = again.unionAll(spark.createDataFrame([(None, texts[0])] * 3, "doc_id long, text string"))
+    assert Q.judge(nulls, Q.train(nulls)).where("doc_id is null and kept").count() == 3
+    docs, labels = toxic_tables(spark, 120)
+    hot = docs.unionAll(docs.where("doc_id = 1").crossJoin(spark.range(60)).drop("id"))
+    s = T.Settings(most_positives=10, most_unlabelled=20)
+    (w, i), (v, j) = (T.train(d, labels, lambda key: F.lit(True), s=s)[0] for d in (docs, hot))
+    assert np.allclose(w, v) and i == pytest.approx(j)
+
+
+def test_segment_hashes_and_shapes_against_plain_ones():
+    import pyarrow as pa
+
+    plain = ["", "Straße 2024!! aab", "aaa AAA a!a", "x" * 3000 + " é", None, "2024 99 7 x"]
+    words = Words(pa.array(plain))
+    distinct = [w.decode() for w in words.dictionary.to_pylist()]
+    hashed, data = Q.segment_hashes(*Q.distinct_words(words)), Q.shape_hashes(words)
+    assert len(set(hashed.tolist())) == len(distinct)
+
+    def shape(word):
+        out = []
+        for c in word.encode():
+            x = "A" if 65 <= c <= 90 else "a" if 97 <= c <= 122 or c >= 128 else "0" if 48 <= c <= 57 else chr(c)
+            out += [x] if not out or out[-1] != x else []
+        return "".join(out)
+
+    by_shape = {}
+    for w, h in zip(distinct, data.tolist()):
+        assert by_shape.setdefault(shape(w), h) == h
+    assert len(set(by_shape.values())) == len(by_shape)
+
+
+def test_expectation_maximisation_over_rows_gives_what_patterns_give():
+    rng = np.random.default_rng(4)
+    votes = rng.integers(0, 3, (400, len(Q.LABELLERS)))
+    votes[:250] = np.where(rng.random((250, len(Q.LABELLERS))) < 0.8, Q.GOOD, votes[:250])
+    pattern, place, count = np.unique(Q.encode_votes(votes), return_inverse=True, return_counts=True)
+    good, right, prior = Q.accuracies(pattern, count, rounds=30)
+    # the same rounds, row by row
+    p = [0.999 * 0.1 ** sum(x == Q.BAD for x in r) if any(x != Q.ABSTAIN for x in r) else 0.5 for r in votes]
+    for _ in range(30):
+        share = sum(p) / len(p)
+        acc = {}
+        for j in range(votes.shape[1]):
+            for c in (Q.BAD, Q.GOOD):
+                w = [x if c == Q.GOOD else 1 - x for x in p]
+                acc[c, j] = (sum(a for a, r in zip(w, votes) if r[j] == c) + 2) / (sum(a for a, r in zip(w, votes) if r[j] != Q.ABSTAIN) + 3)
+        new = []
+        for r in votes:
+            odds = np.log(share / (1 - share))
+            for j, x in enumerate(r):
+                if x != Q.ABSTAIN:
+                    like_good = acc[Q.GOOD, j] if x == Q.GOOD else 1 - acc[Q.GOOD, j]
+                    like_bad = acc[Q.BAD, j] if x == Q.BAD else 1 - acc[Q.BAD, j]
+                    odds += np.log(like_good / like_bad)
+            new.append(1 / (1 + np.exp(-odds)))
+        p = new
+    assert np.abs(good[place] - p).max() < 1e-6
+
+
 def test_accuracies_are_recovered_from_votes():
     rng = np.random.default_rng(2)
     truth = (rng.random(30_000) < 0.8).astype(int)
