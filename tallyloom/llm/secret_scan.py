@@ -18,6 +18,7 @@ spans come in order of start, then of ``KINDS``. Whole texts are read, whatever
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 
 import public_tokenizers
 import pyarrow as pa
@@ -38,7 +39,7 @@ IDENTIFIER = re.compile(
     r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"
     r"|[0-9+/_=-]+"
     r"|\d{4}-\d\d-\d\dT?[0-9-]*Z?"
-    r"|(?:[a-z]+|[A-Z]+|[A-Z][a-z]+)[0-9]{0,4}(?:[+/_=-]+(?:[a-z]*|[A-Z]+|[A-Z][a-z]+)[0-9]{0,4})*"
+    r"|(?:[a-z]+|[A-Z]+|[A-Z][a-z]+)[0-9]{0,4}(?:[+/_=-]++(?:[a-z]*|[A-Z]+|[A-Z][a-z]+)[0-9]{0,4})*"  # a row of separators is taken whole
 )
 PIECE = re.compile(r"[A-Za-z0-9]+")
 WORD = re.compile(r"(?:[a-z]+|[A-Z]+|[A-Z][a-z]+)[0-9]{0,4}")
@@ -66,46 +67,63 @@ def random_spans(text: str, taken: list[tuple[int, int, int]], encoding, most: f
         if not touched and random(run):
             return [(at, end)]
         pieces = [(at + p.start(), at + p.end()) for p in PIECE.finditer(run)]
-        core = list(pieces)
-        while core and WORD.fullmatch(text, *core[0]):
-            core.pop(0)
-        while core and WORD.fullmatch(text, *core[-1]):
-            core.pop()
-        if core and random(text[core[0][0] : core[-1][1]]):
-            return [(core[0][0], core[-1][1])]
+        first, last = 0, len(pieces)
+        while first < last and WORD.fullmatch(text, *pieces[first]):
+            first += 1
+        while first < last and WORD.fullmatch(text, *pieces[last - 1]):
+            last -= 1
+        if first < last and random(text[pieces[first][0] : pieces[last - 1][1]]):
+            return [(pieces[first][0], pieces[last - 1][1])]
         return [(s, e) for s, e in pieces if random(text[s:e])]
 
     out = []
+    known = Cover(taken)
+    assigned = sorted((s, e) for s, k, e in taken if k == 0)
+    upcoming = 0
     for m in RUN.finditer(text):
+        while upcoming < len(assigned) and assigned[upcoming][1] <= m.start():
+            upcoming += 1
         if ordinary(m[0]):
             continue
-        near = sorted((s, e, k) for s, k, e in taken if s < m.end() and m.start() < e)
         # an assignment has its own extent: what stands before or after it is judged by itself
-        at, segments = m.start(), []
-        for s, e, k in near:
-            if k == 0:
-                segments.append((at, s))
-                at = max(at, e)
+        at, segments, i = m.start(), [], upcoming
+        while i < len(assigned) and assigned[i][0] < m.end():
+            segments.append((at, assigned[i][0]))
+            at, i = max(at, assigned[i][1]), i + 1
         for s, e in [*segments, (at, m.end())]:
-            for lo, hi in parts(s, e, any(a < e and s < b for a, b, _ in near)) if e > s else ():
-                if not covered(lo, hi, near):
+            for lo, hi in parts(s, e, known.touches(s, e)) if e > s else ():
+                if not known.holds(lo, hi):
                     out.append((lo, 3, hi))
     return out
 
 
+class Cover:
+    """What a set of spans covers, as separate stretches in order."""
+
+    def __init__(self, spans: list[tuple[int, int, int]]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for s, _, e in sorted(spans):
+            if self.ends and s <= self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], e)
+            else:
+                self.starts.append(s)
+                self.ends.append(e)
+
+    def touches(self, lo: int, hi: int) -> bool:
+        i = bisect_right(self.ends, lo)
+        return i < len(self.starts) and self.starts[i] < hi
+
+    def holds(self, lo: int, hi: int) -> bool:
+        i = bisect_right(self.starts, lo) - 1
+        return i >= 0 and hi <= self.ends[i]
+
+
 def ordinary(run: str) -> bool:
     """Too short or of one class only, a digest or an identifier."""
     return len(run) < 16 or sum(c.search(run) is not None for c in CLASSES) < 2 or bool(DIGEST.fullmatch(run) or IDENTIFIER.fullmatch(run))
 
 
-def covered(lo: int, hi: int, spans: list[tuple[int, int, int]]) -> bool:
-    """Whether the ordered ``spans`` cover all of ``lo`` to ``hi``."""
-    for s, e, _ in spans:
-        if s <= lo:
-            lo = max(lo, e)
-    return lo >= hi
-
-
 def scan(
     df: DataFrame,
     text: str = "text",

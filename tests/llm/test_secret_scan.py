@@ -88,3 +88,77 @@ def test_keys_next_to_words_and_around_base_spans_are_covered(spark):
     assert [x[0] for x in found[1]] == ["assign"]
     assert found[3] == []
     assert S.redact(scanned(spark, texts[:1])).first()["text"] == "see [SECRET] there"
+
+
+def spans_plainly(text, encoding, most=2.0):
+    """Added spans by the rule as stated, comparing everything with everything."""
+    taken = S.base_spans(text)
+    bits = lambda a, b: set(range(a, b))
+    under = set().union(*(bits(s, e) for s, _, e in taken)) if taken else set()
+
+    def random_part(part):
+        return not S.ordinary(part) and len(part) < most * len(encoding.encode_ordinary(part))
+
+    out = []
+    for m in S.RUN.finditer(text):
+        if S.ordinary(m[0]):
+            continue
+        edges, at = [], m.start()
+        for s, _, e in sorted(t for t in taken if t[1] == 0 and t[0] < m.end() and m.start() < t[2]):
+            edges.append((at, s))
+            at = max(at, e)
+        for a, b in [*edges, (at, m.end())]:
+            if b <= a or S.ordinary(text[a:b]):
+                continue
+            if not bits(a, b) & under and random_part(text[a:b]):
+                found = [(a, b)]
+            else:
+                pieces = [(a + p.start(), a + p.end()) for p in S.PIECE.finditer(text[a:b])]
+                hard = [i for i, (x, y) in enumerate(pieces) if not S.WORD.fullmatch(text[x:y])]
+                core = (pieces[hard[0]][0], pieces[hard[-1]][1]) if hard else None
+                found = [core] if core and random_part(text[slice(*core)]) else [(x, y) for x, y in pieces if random_part(text[x:y])]
+            out += [(x, 3, y) for x, y in found if not bits(x, y) <= under]
+    return out
+
+
+def encoding():
+    import public_tokenizers
+
+    from tallyloom.llm.common import load_encoding
+
+    return load_encoding(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def test_added_spans_against_the_rule_stated_plainly():
+    rng = random.Random(7)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    key = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    some = 0
+    for _ in range(300):
+        parts = [
+            rng.choice([lambda: key(rng.randint(8, 30)), lambda: "token=" + key(14), lambda: "AKIA" + key(18).upper(), lambda: "0123456789abcdef" * rng.randint(1, 2), lambda: "ordinary", lambda: "Word12", lambda: "é", lambda: "API_KEY: " + key(20) + "." + key(20)])()
+            + rng.choice(["", " ", "/", "_", "-", "=", "\n", ".", "=="])
+            for _ in range(rng.randint(1, 12))
+        ]
+        text = "".join(parts)
+        want = spans_plainly(text, encoding())
+        some += len(want)
+        assert sorted(S.random_spans(text, S.base_spans(text), encoding(), 2.0)) == sorted(want), text
+    assert some > 100
+
+
+def test_rows_of_separators_and_dumps_of_keys_take_no_time():
+    import time
+
+    rng = random.Random(8)
+    for text in ("a" + "=" * 5000 + "aB1x", "Heading " + "-_" * 100_000 + "Ab1", "aB1x" + "=a" * 50_000 + "Z9"):
+        began = time.process_time()
+        S.random_spans(text, S.base_spans(text), encoding(), 2.0)
+        assert time.process_time() - began < 1
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    keys = ["".join(rng.choices(letters, k=80)) for _ in range(50_000)]
+    for between in ("\ntoken=", "/", " secret: "):
+        text = between.join(keys)
+        began = time.process_time()
+        found = S.random_spans(text, S.base_spans(text), encoding(), 2.0)
+        assert time.process_time() - began < 4 and (found or "=" in between or ":" in between)
