@@ -17,7 +17,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import load_encoding, query, table, workers_find_us
+from .common import give_back, load_encoding, query, table, workers_find_us
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -69,10 +69,10 @@ def encode(
     def ids(texts: pa.Array) -> pa.Array:
         found = _encode(texts, path, pattern, piece)
         if packed:
-            return pa.array(found, type=pa.binary())
+            return give_back(pa.array(found, type=pa.binary()))
         at = np.zeros(len(found) + 1, dtype=np.int32)
         np.cumsum([len(b) // 4 for b in found], out=at[1:])
-        return pa.ListArray.from_arrays(pa.array(at), pa.array(np.frombuffer(b"".join(found), dtype="<i4")))
+        return give_back(pa.ListArray.from_arrays(pa.array(at), pa.array(np.frombuffer(b"".join(found), dtype="<i4"))))
 
     return df.withColumn(out, ids(F.col(text)))
 
@@ -97,7 +97,7 @@ def decode(
             if isinstance(value, bytes):
                 value = np.frombuffer(value, dtype="<u4").tolist()
             listed.append(encoding.decode_bytes(value or []))
-        return pa.array(listed, type=pa.binary())
+        return give_back(pa.array(listed, type=pa.binary()))
 
     return df.withColumn(out, raw(F.col(ids)))
 

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators.rank import exact_rank
 from ..session import checkpointed
-from .common import query, sliced, table, workers_find_us
+from .common import give_back, query, sliced, table, workers_find_us
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -56,13 +56,19 @@ class Settings:
     width: int = 1024
     end: int = 2  #: id that closes a document
     steps: int = 6000  #: most exchanges of the local search; one moves all bins of a kind
-    slice_bytes: int = 8 << 20  #: text whose distinct parts are encoded together
+    slice_bytes: int = 12 << 20  #: text whose distinct parts are encoded together
     remembered: int = 1 << 20  #: distinct parts a worker keeps the ids of
 
 
 # --- ids ------------------------------------------------------------------------------------------
 
 
+def ragged(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """``count[i]`` numbers from ``begin[i]`` on, for every ``i``."""
+    upto = np.cumsum(count)
+    return np.arange(upto[-1] if len(upto) else 0) + np.repeat(begin - upto + count, count)
+
+
 class Encoder:
     """Ids of whole texts; distinct parts are encoded once, as long as they are remembered."""
 
@@ -87,21 +93,27 @@ class Encoder:
             for e in self.tokenizer.encode_batch_fast(texts[i : i + some], add_special_tokens=False):
                 yield np.array(e.ids, dtype="<u4")
 
-    def learn(self, words: pa.Array) -> np.ndarray:
-        """Places of ``words`` among the known parts; unknown ones are encoded first."""
+    def learn(self, words: pa.Array, often: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of ``words`` and where they begin, and which of these beginnings each word has.
+
+        Unknown words are encoded; those met ``often`` are remembered.
+        """
         if len(self.known) > self.remembered:
             self.forget()
         place = pc.index_in(words, value_set=self.known)
-        new = words.filter(pc.is_null(place))
+        unknown = np.asarray(pc.is_null(place))
         place = np.array(pc.fill_null(place, -1))
-        if len(new):
-            bounds = np.frombuffer(new.buffers()[1], dtype=np.int64)[new.offset : new.offset + len(new) + 1]
-            ids, at = self.parts(np.frombuffer(new.buffers()[2], dtype=np.uint8), bounds)
-            place[place < 0] = len(self.known) + np.arange(len(new))
-            self.known = pa.concat_arrays([self.known, new])
-            self.at = np.concatenate([self.at, self.at[-1] + at[1:]])
-            self.ids = np.concatenate([self.ids, ids])
-        return place
+        if not unknown.any():
+            return self.ids, self.at, place
+        new, often = words.filter(pa.array(unknown)), often[unknown]
+        bounds = np.frombuffer(new.buffers()[1], dtype=np.int64)[new.offset : new.offset + len(new) + 1]
+        ids, at = self.parts(np.frombuffer(new.buffers()[2], dtype=np.uint8), bounds)
+        place[unknown] = len(self.known) + np.arange(len(new))
+        all_ids, all_at = np.concatenate([self.ids, ids]), np.concatenate([self.at, self.at[-1] + at[1:]])
+        self.known = pa.concat_arrays([self.known, new.filter(pa.array(often))])
+        self.ids = np.concatenate([self.ids, ids[ragged(at[:-1][often], np.diff(at)[often])]])
+        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(np.diff(at)[often])])
+        return all_ids, all_at, place
 
     def parts(self, data: np.ndarray, bounds: np.ndarray, together: int = 4096) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the parts ``data[bounds[i]:bounds[i + 1]]``, and where each part's begin."""
@@ -139,15 +151,13 @@ class Encoder:
         bounds = np.append(np.flatnonzero(begins), len(raw))
         flat = pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(raw)])
         coded = flat.dictionary_encode()
-        codes = self.learn(coded.dictionary)[np.asarray(coded.indices)]
-        ids, at = self.ids, self.at
+        codes = np.asarray(coded.indices)
+        ids, at, place = self.learn(coded.dictionary, np.bincount(codes, minlength=len(coded.dictionary)) > 1)
+        begin, count = at[place], at[place + 1] - at[place]
         first = np.searchsorted(bounds[:-1], edges)
         for a, b in zip(first[:-1], first[1:]):
             mine = codes[a:b]
-            count = at[mine + 1] - at[mine]
-            upto = np.cumsum(count)
-            total = int(upto[-1]) if len(upto) else 0
-            yield ids[np.arange(total) + np.repeat(at[mine] - upto + count, count)]
+            yield ids[ragged(begin[mine], count[mine])]
 
 
 @lru_cache(maxsize=1)
@@ -183,7 +193,7 @@ def pieces(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | N
 
     @F.arrow_udf("array<struct<start:bigint,length:bigint,ids_crc32:bigint>>")
     def measured(texts: pa.Array) -> pa.Array:
-        return sliced(measure, s.slice_bytes)(texts)
+        return give_back(sliced(measure, s.slice_bytes)(texts))
 
     found = df.select(F.col(key).alias("doc_id"), measured(F.col(text)).alias("found"))
     return found.select("doc_id", F.posexplode("found").alias("piece", "p")).select("doc_id", "piece", "p.start", "p.length", "p.ids_crc32")
