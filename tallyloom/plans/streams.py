@@ -21,8 +21,8 @@ def _(t):
     path = landed(t, t.outcomes, "event_id")
     stream = J.read_stream(t.spark, path, t.outcomes.schema)
     table = scratch_dir(t.spark, "rates")
-    J.run_available(J.running_win_rates(stream), J.replace_table(table), scratch_dir(t.spark, "progress"), "complete")
-    return rounded(t.spark.read.parquet(table), "rate")
+    J.run_available(J.running_win_rates(stream), J.publish(table), scratch_dir(t.spark, "progress"), "complete")
+    return rounded(J.published(t.spark, table), "rate")
 
 
 RESCORED = """SELECT artifact_id, model_key, weight, available, score, created_s FROM model_scores WHERE artifact_id % 5 <> 0
@@ -41,27 +41,37 @@ def _(t):
         "artifact_id", "model_key", "weight", F.lit(True).alias("available"), F.lit(6).alias("score"), (F.col("created_s") + 86400).alias("created_s")
     )
     arrivals = t.model_scores.select(*columns).unionByName(again)
-    stream = J.read_stream(t.spark, landed(t, arrivals, "created_s"), arrivals.schema)
+    stream = J.read_stream(t.spark, landed(t, arrivals, "created_s", 5), arrivals.schema)
     log = scratch_dir(t.spark, "scores")
-    J.run_available(stream, J.score_log(log), scratch_dir(t.spark, "progress"), "append")
+    J.run_available(stream, J.score_log(log, every=2), scratch_dir(t.spark, "progress"), "append")
     return rounded(J.running_type_summary(t.artifacts, J.latest_scores(t.spark, log)), "mean_s")
 
 
 @query(
     "t03_first_seen",
-    "SELECT count(DISTINCT regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS texts, count(DISTINCT regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS rows FROM documents",
+    """SELECT count(DISTINCT regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS texts, count(DISTINCT regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS rows, 0 AS late,
+    count(*) * 2 - count(DISTINCT regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS dropped FROM documents""",
 )
 def _(t):
-    # all rows fall inside one watermark here, so the stream equals the batch dedupe
-    rows = t.documents.select("doc_id", F.col("text").alias("code"), F.timestamp_seconds(1704067200 + F.col("doc_id")).alias("at"))
-    stream = J.read_stream(t.spark, landed(t, rows, "doc_id"), rows.schema)
-    table = scratch_dir(t.spark, "first")
+    # every text arrives again after a month, when the hours the first tier remembers are long over
+    start, apart = 1704067200, 30 * 86400
+    texts = t.documents.select("doc_id", F.col("text").alias("code"))
+    first, again = (texts.withColumn("at", F.timestamp_seconds(F.lit(s) + F.col("doc_id") * 60)) for s in (start, start + apart))
+    path, table, progress = landed(t, first, "at"), scratch_dir(t.spark, "first"), scratch_dir(t.spark, "progress")
+    name = "first_seen_" + table.rsplit("-", 1)[1]
 
-    def sink(batch, batch_id):
-        batch.select("doc_id", "hash").write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
+    def run():
+        stream = J.read_stream(t.spark, path, first.schema)
+        J.run_available(J.first_seen(stream, "code", "at", "6 hours"), J.unseen(table, name), progress, "append")
 
-    J.run_available(J.first_seen(stream, "code", "at", "3650 days"), sink, scratch_dir(t.spark, "progress"), "append")
-    return t.spark.read.parquet(table).agg(F.count_distinct("hash").alias("texts"), F.count("*").alias("rows"))
+    run()
+    again.repartitionByRange(3, "at").write.mode("append").parquet(path)
+    run()
+    came = first.unionByName(again).select(F.lit(None).cast("string").alias("hash"), F.lit(False).alias("late"), F.lit(1).alias("n"))
+    kept = J.accepted(t.spark, table).select("hash", (F.col("at") >= F.timestamp_seconds(F.lit(start + apart))).alias("late"), F.lit(0).alias("n"))
+    return kept.unionByName(came).agg(
+        F.count_distinct("hash").alias("texts"), F.count("hash").alias("rows"), F.count_if("late").alias("late"), (F.sum("n") - F.count("hash")).alias("dropped")
+    )
 
 
 @query(

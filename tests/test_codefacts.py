@@ -36,10 +36,10 @@ def test_c_functions_find_the_first_type_they_are_named_after(spark):
 
 
 def test_braced_functions_and_lists_of_their_own(spark):
-    code = "public class Depot extends Place implements Open, Shut {\n  static List<String> names(int a) {\n  }\n  void main(int b) {\n  }\n  else catch (int e) {\n  }\n}\n"
+    code = "public class Depot extends Place implements Open, Shut {\n  static List<String> names(int a) {\n  int x;  }\n  void main(int b) {\n  int y;  }\n  else catch (int e) {\n  }\n}\n"
     row, _, bases = facts(spark, code)
     assert row["language"] == "java" and bases == {"Depot": ["Place", "Open", "Shut"]}
-    assert "main" in row["functions"] and "catch" not in row["functions"]
+    assert row["functions"] == ["names", "main"] and "catch" not in row["functions"]
 
 
 def test_steps_variables_and_the_text_of_a_script(spark):

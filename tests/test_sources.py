@@ -90,19 +90,6 @@ def test_reap_keeps_young_jobs(spark):
     assert [rows[i].status for i in (1, 2, 3)] == ["running", "failed", "completed"] and rows[2].error == "old"
 
 
-def test_rescoring_replaces_and_reruns_are_idempotent(spark, tmp_path):
-    fields = "artifact_id long, model_key string, weight double, available boolean, score int, created_s long"
-    path, log, progress = str(tmp_path / "in"), str(tmp_path / "log"), str(tmp_path / "c")
-    schema = spark.createDataFrame([], fields).schema
-    for when, score in ((1, 2), (5, 6)):
-        spark.createDataFrame([(1, "m", 1.0, True, score, when)], fields).write.mode("append").parquet(path)
-        J.run_available(J.read_stream(spark, path, schema), J.score_log(log), progress, "append")
-    sink = J.score_log(log)
-    sink(spark.createDataFrame([(1, "m", 1.0, True, 2, 1)], fields), 0)  # the first batch again
-    rows = J.latest_scores(spark, log).collect()
-    assert [(r.artifact_id, r.score) for r in rows] == [(1, 6)]
-
-
 def test_checkpoint_reads_the_session_folder(spark):
     df = checkpointed(spark.range(3))
     assert df.count() == 3 and not spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty()
