@@ -57,16 +57,24 @@ def _(t):
     start, apart = 1704067200, 30 * 86400
     texts = t.documents.select("doc_id", F.col("text").alias("code"))
     first, again = (texts.withColumn("at", F.timestamp_seconds(F.lit(s) + F.col("doc_id") * 60)) for s in (start, start + apart))
-    path, table, progress = landed(t, first, "at"), scratch_dir(t.spark, "first"), scratch_dir(t.spark, "progress")
+    path, table, progress = (scratch_dir(t.spark, x) for x in ("landing", "first", "progress"))
     name = "first_seen_" + table.rsplit("-", 1)[1]
 
+    def land(rows):
+        """Three files, one after the other in time."""
+        a, b = rows.agg(F.min("doc_id"), F.max("doc_id")).first()
+        third = (b - a) // 3 + 1 if a is not None else 1
+        for k in range(3):
+            part = rows.where((F.col("doc_id") >= (a or 0) + k * third) & (F.col("doc_id") < (a or 0) + (k + 1) * third))
+            part.coalesce(1).write.mode("append").parquet(path)
+
     def run():
         stream = J.read_stream(t.spark, path, first.schema)
         J.run_available(J.first_seen(stream, "code", "at", "6 hours"), J.unseen(table, name), progress, "append")
 
-    run()
-    again.repartitionByRange(3, "at").write.mode("append").parquet(path)
-    run()
+    for rows in (first, again):
+        land(rows)
+        run()
     came = first.unionByName(again).select(F.lit(None).cast("string").alias("hash"), F.lit(False).alias("late"), F.lit(1).alias("n"))
     kept = J.accepted(t.spark, table).select("hash", (F.col("at") >= F.timestamp_seconds(F.lit(start + apart))).alias("late"), F.lit(0).alias("n"))
     return kept.unionByName(came).agg(

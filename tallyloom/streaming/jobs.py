@@ -135,7 +135,8 @@ def first_seen(stream: DataFrame, code: str, at: str, delay: str) -> DataFrame:
     """T3, first tier: rows whose content was not seen within ``delay``; adds ``hash``.
 
     State is bounded by the watermark. Copies further apart pass here and are stopped by the
-    second tier, :func:`unseen`.
+    second tier, :func:`unseen`. ``at`` is the time of arrival, or one whose disorder ``delay`` covers:
+    a row that is later than that is dropped, as in any watermarked stream.
     """
     hashed = stream.withColumn("hash", X.code_hash(F.col(code))).withWatermark(at, delay)
     return hashed.dropDuplicatesWithinWatermark(["hash"])
