@@ -108,17 +108,15 @@ def language_select(
 ) -> DataFrame:
     """the preferred source evenly by language, then its rest, then the other sources."""
     lang = F.coalesce("source_language", F.lit("unknown"))
-    keyed = df.withColumn("__pref", preferred).withColumn("__lang", F.when(F.col("__pref"), lang).otherwise(F.lit("")))
-    # one row per language, each with the share all languages get
-    table = keyed.groupBy("__pref", "__lang").agg(F.count("*").alias("__n"))
-    langs = F.sum(F.col("__pref").cast("int")).over(W.partitionBy())
-    even = F.floor(F.lit(target) / F.greatest(langs, F.lit(1)))
-    share = F.greatest(F.lit(1), even if most is None else F.least(even, F.lit(most)))
-    shares = table.select("__pref", "__lang", share.alias("__share"))
-    ranked = seeded_rank(keyed, key, seed, by=["__pref", "__lang"]).join(shares, ["__pref", "__lang"])
-    tiered = ranked.withColumn(
-        "__tier", F.when(~F.col("__pref"), 2).when(F.col("rank") <= F.col("__share"), 0).otherwise(1)
-    ).drop("__share", "rank")
+    keyed = df.withColumn("__pref", F.coalesce(preferred, F.lit(False))).withColumn("__lang", lang)
+    chosen, others = keyed.where("__pref"), keyed.where(~F.col("__pref"))
+    # every language gets the same share, so its size is one number and no row is joined for it
+    langs = chosen.agg(F.count_distinct("__lang").alias("n")).first()["n"]
+    even = target // max(langs, 1)
+    share = max(1, even if most is None else min(even, most))
+    ranked = seeded_rank(chosen, key, seed, by=["__lang"])
+    tiered = ranked.withColumn("__tier", F.when(F.col("rank") <= share, 0).otherwise(1)).drop("rank")
+    tiered = tiered.unionByName(others.withColumn("__tier", F.lit(2)))
     md5 = tiered.withColumn("__md5", order_key(seed, key))
     placed = exact_rank(
         md5, [F.col("__tier"), F.col("__md5"), F.col(key)],
@@ -167,8 +165,11 @@ def balanced(
     return chosen.join(first, key, "left_semi")
 
 
-def work_list(df: DataFrame, per_type: int, offset: int, key: str, types: Sequence[str] = fixed.APP_TYPES) -> DataFrame:
-    """F16: ``per_type`` rows of every type after skipping ``offset`` usable rows; short types fail.
+def work_list(
+    df: DataFrame, per_type: int, offset: int, key: str, types: Sequence[str] = fixed.APP_TYPES, strict: bool = True
+) -> DataFrame:
+    """F16: ``per_type`` rows of every type after skipping ``offset`` usable rows; a short type is an error
+    unless ``strict`` is false.
 
     Order is the key's own order, so the list is the same however the table is stored.
     """
@@ -178,6 +179,9 @@ def work_list(df: DataFrame, per_type: int, offset: int, key: str, types: Sequen
         late.drop("__seen"), [F.col(key)], id_levels(key), by=["diagram_type"], name="place", below=per_type
     )
     chosen = ranked.where(F.col("place") <= per_type)
+    if strict:
+        chosen = checkpointed(chosen)  # counted here and read by the caller
+        check_work_list(chosen, per_type, types)
     return chosen
 
 

@@ -71,5 +71,19 @@ def boosted_mix(
     parts = [replicate(harvest, copies).select(*columns, F.lit("live_accepted").alias("mix_source"))]
     for name, df, most in others:
         parts.append(seeded_sample(df, key, seed, most).select(*columns, F.lit(name).alias("mix_source")))
-    mix = reduce(DataFrame.unionByName, parts)
-    return mix.where((F.length("technical_spec") >= 40) & X.has_open_tag(F.col("uml_code")))
+    return reduce(DataFrame.unionByName, parts).where(_usable())
+
+
+def _usable() -> Column:
+    return (F.length("technical_spec") >= 40) & X.has_open_tag(F.col("uml_code"))
+
+
+def mix_counts(harvest: DataFrame, others: Sequence[tuple[str, DataFrame, int]], mix: DataFrame) -> DataFrame:
+    """rows each source brings, the harvest before and after its boost, and rows of the ``mix``."""
+    boost = F.coalesce(F.col("human_reviewed"), F.lit(False)).cast("int") + (F.coalesce(F.col("scores"), F.lit(0.0)) >= 4.0).cast("int")
+    own = harvest.agg(F.count("*").alias("live_accepted"), F.coalesce(F.sum(boost + 1), F.lit(0)).alias("live_after_boost"))
+    parts = [own.unpivot([], ["live_accepted", "live_after_boost"], "mix_source", "rows")]
+    for name, df, most in others:
+        parts.append(df.agg(F.least(F.count("*"), F.lit(most)).alias("rows")).select(F.lit(f"{name}_sample").alias("mix_source"), "rows"))
+    parts.append(mix.agg(F.count("*").alias("rows")).select(F.lit("row_count").alias("mix_source"), "rows"))
+    return reduce(DataFrame.unionByName, parts)

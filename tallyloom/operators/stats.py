@@ -227,9 +227,30 @@ def top_errors(model_scores: DataFrame, k: int = 3) -> DataFrame:
     return counts.withColumn("place", place).where(F.col("place") <= k)
 
 
+def run_quality(artifacts: DataFrame) -> DataFrame:
+    """Runs, how many made a text and a picture, and the mean score of those with a picture (0 without any)."""
+    drawn = F.col("render_status") == "success"
+    return artifacts.agg(
+        F.count("*").alias("runs"),
+        F.count_if(drawn).alias("render_success"),
+        F.count_if(F.length(F.coalesce("plantuml_code", F.lit(""))) > 0).alias("generation_ok"),
+        (F.coalesce(F.sum(F.when(drawn, F.coalesce("composite_score", F.lit(0.0)))), F.lit(0.0)) / F.greatest(F.count_if(drawn), F.lit(1))).alias(
+            "mean_composite_when_render_ok"
+        ),
+    )
+
+
+def rescored(before: DataFrame, fresh: DataFrame, key: str) -> DataFrame:
+    """The fresh scores, and of the rest the earlier ones; ``reused`` tells which is which."""
+    rest = before.join(fresh.select(key), key, "left_anti")
+    return fresh.withColumn("reused", F.lit(False)).unionByName(rest.withColumn("reused", F.lit(True)))
+
+
 def rescore_rollup(artifacts: DataFrame) -> DataFrame:
-    """Per type and overall."""
+    """Per type and overall; of rows from :func:`rescored` also how many are reused and new."""
+    kinds = [F.count_if("reused").alias("reused"), F.count_if(~F.col("reused")).alias("new")] if "reused" in artifacts.columns else []
     return artifacts.rollup("diagram_type").agg(
+        *kinds,
         F.count("*").alias("n"),
         F.avg("composite_score").alias("mean_s"),
         F.count_if("majority_accepted").alias("majority"),
@@ -330,7 +351,10 @@ def _weighted_pearson(df: DataFrame, x: str, y: str, w: str, by: str) -> DataFra
 
 
 def alignment(reviews: DataFrame, artifacts: DataFrame, types: Sequence[str] = fixed.APP_TYPES) -> DataFrame:
-    """Pairs, raters and both correlations, overall and per type, empty types included."""
+    """Pairs, raters and both correlations, overall and per type, empty types included.
+
+    ``n_reviews`` counts all reviews, also those whose artifact is gone; it is null per type.
+    """
     scoped = review_counts(reviews, artifacts).withColumn(
         "scope", F.explode(F.array(F.lit("all"), F.col("diagram_type")))
     )
@@ -339,9 +363,10 @@ def alignment(reviews: DataFrame, artifacts: DataFrame, types: Sequence[str] = f
     linear = _weighted_pearson(pairs, "composite_score", "human", "n", "scope")
     ranks = spearman(pairs, "composite_score", "human", ["scope"], weight="n").drop("n")
     scopes = types_frame(artifacts.sparkSession, ["all", *types]).withColumnRenamed("diagram_type", "scope")
+    every = reviews.agg(F.count("*").alias("n_reviews")).withColumn("scope", F.lit("all"))
     return (
-        scopes.join(linear, "scope", "left").join(ranks, "scope", "left").join(raters, "scope", "left")
-        .select("scope", F.coalesce("n", F.lit(0)).alias("n_pairs"), F.coalesce("n_raters", F.lit(0)).alias("n_raters"),
+        scopes.join(linear, "scope", "left").join(ranks, "scope", "left").join(raters, "scope", "left").join(every, "scope", "left")
+        .select("scope", "n_reviews", F.coalesce("n", F.lit(0)).alias("n_pairs"), F.coalesce("n_raters", F.lit(0)).alias("n_raters"),
                 "pearson_r", "spearman_rho")
     )
 

@@ -164,6 +164,36 @@ def edge_facts(diagrams: DataFrame) -> DataFrame:
     )
 
 
+def edge_degrees(edges: DataFrame) -> DataFrame:
+    """Edges that leave and reach every entity of every diagram, by (artifact_id, name).
+
+    Both ends of an edge are counted where they are found and only the counts travel, so a hub
+    that a third of all edges touch arrives as one row per task.
+    """
+    ends = edges.select(
+        "artifact_id",
+        F.inline(F.array(F.struct(F.col("src").alias("name"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(F.col("dst").alias("name"), F.lit(0).alias("o"), F.lit(1).alias("i")))),
+    )
+    return ends.groupBy("artifact_id", "name").agg(F.sum("o").alias("out_degree"), F.sum("i").alias("in_degree"))
+
+
+def hubs(degrees: DataFrame) -> DataFrame:
+    """Degree of every name over all diagrams."""
+    return degrees.groupBy("name").agg(
+        F.count("*").alias("diagrams"), F.sum("out_degree").alias("out_degree"), F.sum("in_degree").alias("in_degree"),
+        F.max(F.col("out_degree") + F.col("in_degree")).alias("most_in_a_diagram"),
+    )
+
+
+def centres(degrees: DataFrame) -> DataFrame:
+    """The entity each diagram turns on: most edges, ties to the first name."""
+    degree = F.col("out_degree") + F.col("in_degree")
+    best = F.min(F.struct((-degree).alias("d"), F.col("name").alias("name")))
+    return degrees.groupBy("artifact_id").agg(best.alias("b"), F.count("*").alias("entities")).select(
+        "artifact_id", F.col("b.name").alias("centre"), (-F.col("b.d")).alias("degree"), "entities"
+    )
+
+
 def edge_summary(edges: DataFrame) -> DataFrame:
     """Edges per operator and kind, with the diagrams they occur in."""
     per = edges.groupBy("op", "kind", "artifact_id").agg(F.count("*").alias("n"))
@@ -545,11 +575,11 @@ def cleaning_counts(diagrams: DataFrame) -> DataFrame:
     return stacked.groupBy("rule").agg(F.sum("n").alias("lines"), F.count_if(F.col("n") > 0).alias("diagrams"))
 
 
-def needs_fallback(code: Column, entities: Column, most: int | None = None) -> Column:
-    """Only generic class names, or none of the (first ``most``) specified entities in the text."""
+def needs_fallback(code: Column, entities: Column, valid: Column, most: int | None = None) -> Column:
+    """Validation failed, only generic class names, or none of the (first ``most``) specified entities in the text."""
     entities = entities if most is None else F.slice(entities, 1, most)
     names = F.transform(_all(code, r"(?imd)^\s*class\s+(\w+)"), F.lower)
     generic = (F.size(names) > 0) & F.forall(names, lambda n: n.isin(*fixed.GENERIC_CLASS_NAMES))
     low = F.lower(code)
     absent = (F.size(entities) > 0) & ~F.exists(entities, lambda e: F.contains(low, F.lower(e)))
-    return generic | absent
+    return ~F.coalesce(valid, F.lit(False)) | generic | absent

@@ -79,7 +79,7 @@ def _(t):
     f"""WITH p AS (SELECT * FROM ({PAIRS})),
     scoped AS (SELECT 'all' AS scope, reviewer_id, round(s, 9) AS s, human FROM p UNION ALL SELECT diagram_type, reviewer_id, round(s, 9), human FROM p),
     ranked AS ({RANKED})
-    SELECT v.scope, count(r.scope) AS n_pairs, count(DISTINCT reviewer_id) AS n_raters, CASE WHEN min(s) < max(s) AND min(human) < max(human) THEN round(corr(s, human), 6) END AS pearson_r, CASE WHEN min(s) < max(s) AND min(human) < max(human) THEN round(corr(rs, rh), 6) END AS spearman_rho
+    SELECT v.scope, CASE WHEN v.scope = 'all' THEN (SELECT count(*) FROM human_reviews) END AS n_reviews, count(r.scope) AS n_pairs, count(DISTINCT reviewer_id) AS n_raters, CASE WHEN min(s) < max(s) AND min(human) < max(human) THEN round(corr(s, human), 6) END AS pearson_r, CASE WHEN min(s) < max(s) AND min(human) < max(human) THEN round(corr(rs, rh), 6) END AS spearman_rho
     FROM (VALUES ('all'), ('class'), ('object'), ('component'), ('package')) v(scope) LEFT JOIN ranked r ON r.scope = v.scope GROUP BY v.scope""",
     "human_reviews scored",
 )

@@ -191,11 +191,11 @@ def _(t):
 
 @query(
     "g05_except_by_hash",
-    f"SELECT count(*) AS rows, count(DISTINCT {stripped('uml_code')}) AS texts FROM corpus_b WHERE {stripped('uml_code')} NOT IN (SELECT {stripped('uml_code')} FROM corpus_c)",
-    VIEWS,
+    f"SELECT count(*) AS rows, count(DISTINCT {stripped('uml_code')}) AS texts FROM corpus WHERE {stripped('uml_code')} NOT IN (SELECT {stripped('uml_code')} FROM corpus_c)",
+    VIEWS + " corpus",
 )
 def _(t):
-    rest = D.exclude_known(t.corpus_b, "uml_code", [(t.corpus_c, "uml_code")])
+    rest = D.exclude_known(t.corpus, "uml_code", [(t.corpus_c, "uml_code")])
     return rest.agg(F.count("*").alias("rows"), F.count_distinct(X.code_hash(F.col("uml_code"))).alias("texts"))
 
 

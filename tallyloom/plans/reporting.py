@@ -336,6 +336,33 @@ def _(t):
     return rounded(ST.rescore_rollup(t.scored), "mean_s", "majority_rate", "dataset_rate")
 
 
+@query(
+    "e29_run_quality",
+    """SELECT count(*) AS runs, count(*) FILTER (WHERE render_status = 'success') AS render_success, count(*) FILTER (WHERE length(plantuml_code) > 0) AS generation_ok,
+      round(coalesce(avg(coalesce(composite_score, 0)) FILTER (WHERE render_status = 'success'), 0), 6) AS mean_composite_when_render_ok FROM scored""",
+    "scored",
+)
+def _(t):
+    return rounded(ST.run_quality(t.scored), "mean_composite_when_render_ok")
+
+
+@query(
+    "e30_rescore_reused",
+    """WITH fresh AS (SELECT artifact_id, diagram_type, 6.0e0 AS composite_score, true AS majority_accepted, dataset_accepted, false AS reused FROM scored WHERE NOT coalesce(majority_accepted, false) AND render_ok),
+    u AS (SELECT * FROM fresh UNION ALL SELECT artifact_id, diagram_type, composite_score, majority_accepted, dataset_accepted, true FROM scored WHERE artifact_id NOT IN (SELECT artifact_id FROM fresh))
+    SELECT coalesce(diagram_type, 'all') AS diagram_type, count(*) AS n, count(*) FILTER (WHERE reused) AS reused, count(*) FILTER (WHERE NOT reused) AS new, round(avg(composite_score), 6) AS mean_s,
+      count(*) FILTER (WHERE majority_accepted) AS majority, count(*) FILTER (WHERE dataset_accepted) AS dataset, round(count(*) FILTER (WHERE majority_accepted) / count(*), 6) AS majority_rate,
+      round(count(*) FILTER (WHERE dataset_accepted) / count(*), 6) AS dataset_rate FROM u GROUP BY ROLLUP (diagram_type)""",
+    "scored",
+)
+def _(t):
+    # what the vote rejected is scored again
+    before = t.scored.select("artifact_id", "diagram_type", "composite_score", "majority_accepted", "dataset_accepted", "render_ok")
+    fresh = before.where(~F.coalesce("majority_accepted", F.lit(False)) & F.col("render_ok")).withColumns({"composite_score": F.lit(6.0), "majority_accepted": F.lit(True)})
+    out = ST.rescore_rollup(ST.rescored(before, fresh, "artifact_id"))
+    return rounded(out, "mean_s", "majority_rate", "dataset_rate")
+
+
 @query(
     "e32_job_progress",
     """SELECT j.job_id, status, coalesce(k, 0) AS artifacts, round(r / k, 6) AS completion FROM jobs j LEFT JOIN (

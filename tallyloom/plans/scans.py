@@ -119,13 +119,16 @@ def _(t):
 
 @query(
     "a06_text_files",
-    "SELECT count(*) AS lines, sum(length(l)) AS chars FROM (SELECT unnest(string_split(text, chr(10))) AS l FROM documents) WHERE l <> ''",
+    """SELECT concat('part=', doc_id % 40) AS folder, count(*) AS lines, sum(length(l))::BIGINT AS chars, md5(string_agg(l, chr(10) ORDER BY l)) AS digest
+    FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents) WHERE l <> '' GROUP BY 1""",
 )
 def _(t):
     path = scratch_dir(t.spark, "texts")
-    t.texts.select("text").write.option("maxRecordsPerFile", 50).text(path)
-    lines = R.scan_text_dir(t.spark, path, "*.txt").select(F.explode(F.split("text", "\n")).alias("line")).where("line <> ''")
-    return lines.agg(F.count("*").alias("lines"), F.sum(F.length("line")).alias("chars"))
+    part = (F.col("doc_id") % 40).alias("part")
+    t.texts.select("text", part).repartition("part").write.partitionBy("part").text(path)
+    lines = R.scan_text_dir(t.spark, path, "*.txt").select("folder", F.explode(F.split("text", "\n")).alias("line")).where("line <> ''")
+    sorted_lines = F.array_join(F.array_sort(F.collect_list("line")), "\n")
+    return lines.groupBy("folder").agg(F.count("*").alias("lines"), F.sum(F.length("line")).alias("chars"), F.md5(sorted_lines).alias("digest"))
 
 
 @query(
@@ -141,16 +144,17 @@ def _(t):
 
 
 def registry(t):
-    def rows(where):
-        return lambda: t.diagrams.where(where).select(
+    def rows(where=None):
+        diagrams = t.diagrams if where is None else t.diagrams.where(where)
+        return lambda: diagrams.select(
             F.col("artifact_id").alias("row_id"), F.col("plantuml_code").alias("uml_code"), F.col("plantuml_code").alias("code")
         )
 
     return G.Registry(
         [
-            G.Source("low", 5, "umlcode", rows("artifact_id % 2 = 0"), allow_types=["class", "object", "package"]),
+            G.Source("low", 5, "umlcode", rows(), allow_types=["class", "object", "package"]),
             G.Source("high", 20, "umlcode", rows("artifact_id % 3 = 0"), forced_type="class"),
-            G.Source("low", 1, "cas2uml", rows("artifact_id > 0")),
+            G.Source("low", 1, "cas2uml", rows()),  # a slug that is taken
             G.Source("gone", 9, "umlcode", lambda: None),
         ]
     )
@@ -160,7 +164,7 @@ def registry(t):
     "a09_registry",
     f"""WITH i AS (SELECT artifact_id, plantuml_code, {Q.INFERRED} AS k FROM (SELECT *, lower(plantuml_code) AS c FROM diagrams) WHERE length({Q.stripped('plantuml_code')}) >= 20),
     u AS (SELECT artifact_id, plantuml_code, 'high' AS slug, 20 AS p, 'class' AS t FROM i WHERE artifact_id % 3 = 0 AND k NOT IN ('usecase', 'sequence', 'state', 'deployment')
-      UNION ALL SELECT artifact_id, plantuml_code, 'low', 5, k FROM i WHERE artifact_id % 2 = 0 AND k IN ('class', 'object', 'package'))
+      UNION ALL SELECT artifact_id, plantuml_code, 'low', 5, k FROM i WHERE k IN ('class', 'object', 'package'))
     SELECT artifact_id AS row_id, slug AS source_dataset, t AS diagram_type FROM (SELECT *, row_number() OVER (PARTITION BY plantuml_code ORDER BY p DESC, slug, artifact_id) AS rn FROM u) WHERE rn = 1""",
     "diagrams",
 )
@@ -221,14 +225,14 @@ def _(t):
 
 @query(
     "a13_manifest",
-    """WITH c AS (SELECT diagram_type, source_dataset, input_mode, source_language, composite_score > 0 AS s, dataset_accepted AS a FROM scored),
+    """WITH c AS (SELECT diagram_type, source_dataset, input_mode, source_language, composite_score > 0 AS s, dataset_accepted AS a FROM scored WHERE render_ok),
     k AS (SELECT 'total' AS facet, 'all' AS key, s, a FROM c UNION ALL SELECT 'by_type', diagram_type, s, a FROM c UNION ALL SELECT 'by_source', source_dataset, s, a FROM c
       UNION ALL SELECT 'by_mode', input_mode, s, a FROM c UNION ALL SELECT 'by_language', coalesce(source_language, 'null'), s, a FROM c)
-    SELECT facet, key, count(*) AS rows, count(*) FILTER (WHERE s) AS scored, count(*) FILTER (WHERE a) AS accepted, CASE WHEN facet = 'total' THEN 5 END AS dropped FROM k GROUP BY facet, key""",
+    SELECT facet, key, count(*) AS rows, count(*) FILTER (WHERE s) AS scored, count(*) FILTER (WHERE a) AS accepted, CASE WHEN facet = 'total' THEN (SELECT count(*) FROM scored WHERE NOT coalesce(render_ok, false)) END AS dropped FROM k GROUP BY facet, key""",
     "scored",
 )
 def _(t):
-    return K.manifest(t.scored, rows_in=t.scored.count() + 5)
+    return K.manifest(t.scored, F.col("render_ok"))
 
 
 @query(

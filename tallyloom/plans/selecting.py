@@ -204,14 +204,32 @@ def _(t):
     HARVEST_VIEWS,
 )
 def _(t):
+    mix = SP.boosted_mix(*mix_parts(t), "ordinal", 42)
+    return mix.groupBy("ordinal", "mix_source").agg(F.count("*").alias("n"))
+
+
+@query(
+    "f15_mix_counts",
+    f"""WITH h AS (SELECT artifact_id AS ordinal, 1 + human::INT + (round(composite_score, 9) >= 4)::INT AS n FROM ({KEPT}) WHERE rn = 1),
+    s AS (SELECT ordinal FROM (SELECT ordinal, row_number() OVER (ORDER BY {md5_order(42, 'ordinal')}) AS rn FROM (SELECT artifact_id AS ordinal FROM diagrams)) WHERE rn <= 300),
+    ok AS (SELECT artifact_id AS ordinal FROM diagrams JOIN documents ON doc_id = artifact_id WHERE contains(lower(plantuml_code), '@startuml') AND length(text) >= 40)
+    SELECT 'live_accepted' AS mix_source, count(*) AS rows FROM h UNION ALL SELECT 'live_after_boost', sum(n)::BIGINT FROM h UNION ALL SELECT 'diagrams_sample', count(*) FROM s
+    UNION ALL SELECT 'row_count', ((SELECT sum(n) FROM h SEMI JOIN ok USING (ordinal)) + (SELECT count(*) FROM s SEMI JOIN ok USING (ordinal)))::BIGINT""",
+    HARVEST_VIEWS,
+)
+def _(t):
+    h, others = mix_parts(t)
+    return SP.mix_counts(h, others, SP.boosted_mix(h, others, "ordinal", 42))
+
+
+def mix_parts(t):
     h = SE.harvest(marked(t)).select(
         F.col("artifact_id").alias("ordinal"), "diagram_type", "technical_spec", F.col("plantuml_code").alias("uml_code"),
         "human_reviewed", F.col("composite_score").alias("scores"),
     )
     drawn = t.artifacts.select("artifact_id", "diagram_type", "technical_spec").join(t.diagrams.select("artifact_id", "plantuml_code"), "artifact_id")
     others = drawn.select(F.col("artifact_id").alias("ordinal"), "diagram_type", "technical_spec", F.col("plantuml_code").alias("uml_code"))
-    mix = SP.boosted_mix(h, [("diagrams", others, 300)], "ordinal", 42)
-    return mix.groupBy("ordinal", "mix_source").agg(F.count("*").alias("n"))
+    return h, [("diagrams", others, 300)]
 
 
 @query(

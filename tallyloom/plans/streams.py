@@ -70,7 +70,7 @@ def _(t):
 
     def run():
         stream = J.read_stream(t.spark, path, first.schema)
-        J.run_available(J.first_seen(stream, "code", "at", "6 hours"), J.unseen(table, name), progress, "append")
+        J.run_available(J.first_seen(stream, "code", "at", "6 hours"), J.unseen(table, name, 8), progress, "append")
 
     for rows in (first, again):
         land(rows)

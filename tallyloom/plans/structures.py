@@ -101,6 +101,34 @@ def _(t):
     return ST.edge_summary(ST.edge_facts(t.diagrams))
 
 
+DEGREES = f"""SELECT artifact_id, name, sum(o)::BIGINT AS out_degree, sum(i)::BIGINT AS in_degree FROM (
+  SELECT artifact_id, src AS name, 1 AS o, 0 AS i FROM ({EDGES}) UNION ALL SELECT artifact_id, dst, 0, 1 FROM ({EDGES})) GROUP BY ALL"""
+
+
+@query("l05_degrees", f"WITH {KNOWN} {DEGREES}", "diagrams")
+def _(t):
+    return ST.edge_degrees(ST.edge_facts(t.diagrams))
+
+
+@query(
+    "l05_hubs",
+    f"WITH {KNOWN} SELECT name, count(*) AS diagrams, sum(out_degree)::BIGINT AS out_degree, sum(in_degree)::BIGINT AS in_degree, max(out_degree + in_degree)::BIGINT AS most_in_a_diagram FROM ({DEGREES}) GROUP BY name",
+    "diagrams",
+)
+def _(t):
+    return ST.hubs(ST.edge_degrees(ST.edge_facts(t.diagrams)))
+
+
+@query(
+    "l05_centres",
+    f"""WITH {KNOWN}, d AS ({DEGREES}) SELECT artifact_id, name AS centre, degree, entities FROM (
+      SELECT artifact_id, name, (out_degree + in_degree)::BIGINT AS degree, count(*) OVER (PARTITION BY artifact_id) AS entities, row_number() OVER (PARTITION BY artifact_id ORDER BY out_degree + in_degree DESC, name) AS place FROM d) WHERE place = 1""",
+    "diagrams",
+)
+def _(t):
+    return ST.centres(ST.edge_degrees(ST.edge_facts(t.diagrams)))
+
+
 UNSAFE = "(?i)^\\s*!(?:include|includeurl|import|pragma|define|undef|definelong|enddefinelong|startsub|endsub|function|endfunction|procedure|endprocedure|return|exit|theme|includesub)\\b"
 STYLED = "(?i)^\\s*skinparam\\b|^\\s*style\\s+\\S|\\b(?:BackgroundColor|FontColor|BorderColor|ArrowColor|LineColor|Shadowing|RoundCorner|Gradient)\\b"
 WORDED = "^(\\s*)([A-Za-z_][\\w.]*)\\s+--\\s*([A-Za-z_]+)\\s*-->\\s*([A-Za-z_][\\w.]*)\\s*;?\\s*$"
@@ -315,16 +343,16 @@ def _(t):
 
 @query(
     "l18_fallback_rate",
-    """SELECT diagram_type, count(*) AS n, round(count(*) FILTER (WHERE (len(c) > 0 AND len(list_filter(c, lambda x: x NOT IN ('entity','entities','detected','language','unknown','model','class','process','module','module1','module2'))) = 0)
-      OR (len(e) > 0 AND len(list_filter(e, lambda x: contains(lower(plantuml_code), lower(x)))) = 0)) / count(*), 6) AS fallback_rate
-    FROM (SELECT diagram_type, plantuml_code, list_transform(regexp_extract_all(plantuml_code, '(?im)^\\s*class\\s+(\\w+)', 1), lambda x: lower(x)) AS c, n AS e
-      FROM diagrams JOIN spec_names USING (artifact_id)) GROUP BY diagram_type""",
-    "diagrams spec_names",
+    f"""SELECT diagram_type, count(*) AS n, round(count(*) FILTER (WHERE (len(c) > 0 AND len(list_filter(c, lambda x: x NOT IN ('entity','entities','detected','language','unknown','model','class','process','module','module1','module2'))) = 0)
+      OR len(syntax) > 0 OR (len(e) > 0 AND len(list_filter(e, lambda x: contains(lower(plantuml_code), lower(x)))) = 0)) / count(*), 6) AS fallback_rate
+    FROM (SELECT diagram_type, plantuml_code, {Q.SYNTAX} AS syntax, list_transform(regexp_extract_all(plantuml_code, '(?im)^\\s*class\\s+(\\w+)', 1), lambda x: lower(x)) AS c, n AS e
+      FROM blocks JOIN spec_names USING (artifact_id)) GROUP BY diagram_type""",
+    "blocks spec_names",
 )
 def _(t):
     from .reporting import rounded
 
-    both = t.diagrams.join(t.spec_names.select(F.col("doc_id").alias("artifact_id"), "n"), "artifact_id")
-    flag = ST.needs_fallback(F.col("plantuml_code"), F.col("n"))
+    both = ST.checked(t.diagrams.join(t.spec_names.select(F.col("doc_id").alias("artifact_id"), "n"), "artifact_id"))
+    flag = ST.needs_fallback(F.col("plantuml_code"), F.col("n"), F.size("syntax") == 0)
     out = both.groupBy("diagram_type").agg(F.count("*").alias("n"), (F.count_if(flag) / F.count("*")).alias("fallback_rate"))
     return rounded(out, "fallback_rate")

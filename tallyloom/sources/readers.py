@@ -117,10 +117,11 @@ def wild_type(primary: Column, code: Column) -> Column:
 
 
 def scan_text_dir(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """One row per file, name and leniently decoded text."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
+    """One row per file of a folder and those below it: folder, name and leniently decoded text."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(path)
     text = F.col("content").cast("string")  # a cast keeps going where ``decode`` would fail on bad bytes
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), text.alias("text"))
+    steps = F.split("path", "/")
+    return files.select(F.element_at(steps, -2).alias("folder"), F.element_at(steps, -1).alias("name"), text.alias("text"))
 
 
 def number_lines(lines: DataFrame, line: str, order: Sequence[Column], coarse: Sequence[Column]) -> DataFrame:

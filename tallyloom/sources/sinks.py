@@ -39,13 +39,17 @@ def write_twin(df: DataFrame, path: str) -> tuple[str, str]:
 FACETS = {"by_type": "diagram_type", "by_source": "source_dataset", "by_mode": "input_mode", "by_language": "source_language"}
 
 
-def manifest(df: DataFrame, rows_in: int | None = None) -> DataFrame:
-    """Totals and counts per facet in one pass, as (facet, key, rows, scored, accepted)."""
+def manifest(df: DataFrame, kept: Column | None = None) -> DataFrame:
+    """Totals and counts per facet in one pass, as (facet, key, rows, scored, accepted).
+
+    ``kept`` says which rows a release holds; the others are only counted, in ``dropped`` of the total.
+    """
     columns = list(FACETS.values())
     sets = [[], *[[c] for c in columns]]
-    grouped = df.groupingSets(sets, *columns).agg(
-        F.grouping_id().alias("g"), F.count("*").alias("rows"), F.count_if(F.col("composite_score") > 0).alias("scored"),
-        F.count_if("dataset_accepted").alias("accepted"),
+    stays = F.lit(True) if kept is None else F.coalesce(kept, F.lit(False))
+    grouped = df.withColumn("__kept", stays).groupingSets(sets, *columns).agg(
+        F.grouping_id().alias("g"), F.count_if("__kept").alias("rows"), F.count_if(F.col("__kept") & (F.col("composite_score") > 0)).alias("scored"),
+        F.count_if(F.col("__kept") & F.col("dataset_accepted")).alias("accepted"), F.count_if(~F.col("__kept")).alias("dropped"),
     )
     # a grouping id has a zero bit for every column that is grouped by
     facet, key = F.lit("total"), F.lit("all")
@@ -53,17 +57,16 @@ def manifest(df: DataFrame, rows_in: int | None = None) -> DataFrame:
         mine = F.col("g") == (2 ** len(columns) - 1) - 2 ** (len(columns) - 1 - i)
         facet = F.when(mine, F.lit(name)).otherwise(facet)
         key = F.when(mine, F.coalesce(F.col(column), F.lit("null"))).otherwise(key)
-    out = grouped.select(facet.alias("facet"), key.alias("key"), "rows", "scored", "accepted")
-    if rows_in is not None:
-        out = out.withColumn("dropped", F.when(F.col("facet") == "total", F.lit(rows_in) - F.col("rows")))
-    return out
+    out = grouped.select(facet.alias("facet"), key.alias("key"), "rows", "scored", "accepted", "dropped")
+    out = out.where((F.col("rows") > 0) | (F.col("facet") == "total"))
+    return out.drop("dropped") if kept is None else out.withColumn("dropped", F.when(F.col("facet") == "total", F.col("dropped")))
 
 
 def schema_rows(df: DataFrame) -> DataFrame:
-    """The columns of a release with their types."""
-    return df.sparkSession.createDataFrame(
-        [(i, n, t) for i, (n, t) in enumerate(df.dtypes)], "place int, column string, type string"
-    )
+    """The columns of a release with their types and how many of their values are there, in one pass."""
+    filled = df.agg(*[F.count(F.col(f"`{n}`")).alias(n) for n in df.columns])
+    each = [F.struct(F.lit(i).alias("place"), F.lit(n).alias("column"), F.lit(t).alias("type"), F.col(f"`{n}`").alias("filled")) for i, (n, t) in enumerate(df.dtypes)]
+    return filled.select(F.inline(F.array(*each)))
 
 
 def release_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
