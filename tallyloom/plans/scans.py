@@ -254,7 +254,17 @@ def _(t):
     return K.release_sample(t.corpus, "ordinal").select("ordinal", F.md5("uml_code").alias("digest"))
 
 
-@query("a14_release_schema")
+_COLUMNS = [
+    ("ordinal", "bigint"), ("diagram_type", "string"), ("input_mode", "string"), ("source_language", "string"), ("uml_code", "string"),
+    ("technical_spec", "string"), ("source_dataset", "string"), ("dataset_accepted", "boolean"), ("majority_accepted", "boolean"),
+]
+
+
+@query(
+    "a14_release_schema",
+    " UNION ALL ".join(f"""SELECT {i} AS place, '{n}' AS "column", '{k}' AS type, count({n}) AS filled FROM corpus""" for i, (n, k) in enumerate(_COLUMNS)),
+    "corpus",
+)
 def _(t):
     return K.schema_rows(t.corpus)
 

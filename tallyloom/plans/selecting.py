@@ -277,24 +277,27 @@ def _(t):
     )
 
 
+_STAMPED = "replace(uml_code, '@startuml', concat('@startuml', chr(10), chr(39), ' training-id:', id))"
+
+
 @query(
     "f19_topup_to_target",
-    f"""WITH base AS (SELECT DISTINCT uml_code FROM corpus), k AS (SELECT count(*) AS have FROM base),
-    numbers AS (SELECT unnest(range((SELECT have // 4 FROM k))) AS n),
-    u AS (SELECT sha1(uml_code) AS h, false AS synthetic FROM base UNION ALL SELECT sha1(replace(uml_code, '@startuml', concat('@startuml', chr(10), ''' training-id:', id))), true FROM ({SYNTH}))
-    SELECT count(*) AS rows, count(*) FILTER (WHERE synthetic) AS synthetic, count(DISTINCT h) AS texts, round(count(*) FILTER (WHERE synthetic) / count(*), 6) AS synthetic_share FROM u""",
+    f"""WITH own AS (SELECT DISTINCT uml_code FROM corpus), numbers AS (SELECT unnest(range((SELECT count(*) // 2 + 100 FROM own))) AS n), s AS ({SYNTH}),
+    base AS (SELECT uml_code FROM own UNION SELECT {_STAMPED} FROM s WHERE number < 30 OR number BETWEEN 40 AND 44), k AS (SELECT count(*) // 4 AS need FROM base),
+    made AS (SELECT number, {_STAMPED} AS uml_code FROM s WHERE number BETWEEN 30 AND 39 OR number >= 45),
+    u AS (SELECT uml_code, NULL AS number, false AS synthetic FROM base
+      UNION ALL SELECT uml_code, number, true FROM (SELECT *, row_number() OVER (ORDER BY number) AS place FROM made) WHERE place <= (SELECT need FROM k))
+    SELECT count(*) AS rows, count(*) FILTER (WHERE synthetic) AS synthetic, count(DISTINCT uml_code) AS texts, max(number) AS last_number, round(count(*) FILTER (WHERE synthetic) / count(*), 6) AS synthetic_share FROM u""",
     "corpus",
 )
 def _(t):
-    from ..operators import dedupe as D
-
-    base = D.keep_first(t.corpus, [F.sha1("uml_code")], [F.col("ordinal")]).select("uml_code", F.lit(False).alias("synthetic"))
-    have = base.count()
-    made = SY.top_up(base, have + have // 4, have).select("uml_code", F.lit(True).alias("synthetic"))
-    out = base.unionByName(made).agg(
-        F.count("*").alias("rows"), F.count_if("synthetic").alias("synthetic"),
-        F.count_distinct(F.sha1("uml_code")).alias("texts"),
-        (F.count_if("synthetic") / F.count("*")).alias("synthetic_share"),
+    # some template rows are in the corpus already: their numbers collide, and further ones take their places
+    there = SY.stamped_rows(t.spark.range(45)).where("number < 30 OR number >= 40").select(F.col("number").alias("ordinal"), "uml_code")
+    corpus = t.corpus.select("ordinal", "uml_code").unionByName(there)
+    have = corpus.select(F.sha1("uml_code")).distinct().count()
+    out = SY.top_up(corpus, have + have // 4, "ordinal", spare=10).agg(
+        F.count("*").alias("rows"), F.count_if("synthetic").alias("synthetic"), F.count_distinct(F.sha1("uml_code")).alias("texts"),
+        F.max("number").alias("last_number"), (F.count_if("synthetic") / F.count("*")).alias("synthetic_share"),
     )
     return rounded(out, "synthetic_share")
 
