@@ -161,3 +161,53 @@ DOMAIN_ENTITIES = {
     "ticketing": ["Ticket", "Requester", "Agent", "Queue", "Sla", "Comment"],
 }
 SYNTHETIC_TYPES = ["class", "object", "component", "package", "flowchart"]
+
+# --- fixed values: scenario sentences by human language; %D domain, %A %B %C entities --------
+SCENARIO_TEMPLATES = [
+    ("en", "Build a %D system where %A interacts with %B and %C."),
+    ("en", "The %D platform must manage %A, %B, and %C with clear relationships."),
+    ("es", "Sistema de %D: %A se relaciona con %B y %C."),
+    ("fr", "Le système %D gère %A, %B et %C."),
+    ("de", "Das %D-System verbindet %A, %B und %C."),
+    ("hi", "%D प्रणाली में %A, %B और %C हों।"),
+    ("zh", "%D系统需要%A、%B和%C。"),
+    ("pt", "O sistema de %D inclui %A, %B e %C."),
+    ("it", "Il sistema %D collega %A, %B e %C."),
+    ("ja", "%Dシステムは%A、%B、%Cを管理する。"),
+    ("ko", "%D 시스템은 %A, %B, %C를 관리한다."),
+    ("ar", "نظام %D يشمل %A و %B و %C."),
+    ("ru", "Система %D связывает %A, %B и %C."),
+    ("nl", "Het %D-systeem beheert %A, %B en %C."),
+    ("tr", "%D sistemi %A, %B ve %C içerir."),
+    ("pl", "System %D łączy %A, %B i %C."),
+    ("sv", "%D-systemet hanterar %A, %B och %C."),
+    ("vi", "Hệ thống %D gồm %A, %B và %C."),
+    ("th", "ระบบ %D มี %A %B และ %C"),
+    ("id", "Sistem %D mengelola %A, %B, dan %C."),
+]
+# --- fixed values: source texts by code language; %A %B %C types, %m %n methods, %M %N in capitals ---
+CODE_TEMPLATES = [
+    ("python", "class %A:\n    def %m(self):\n        return True\n\nclass %B(%A):\n    def %n(self):\n        pass\n\nclass %C:\n    def link(self, other: '%B'):\n        self.ref = other\n"),
+    ("java", "package demo;\npublic class %A {\n  public void %m() {}\n}\npublic class %B extends %A {\n  public void %n() {}\n}\npublic class %C {\n  private %B ref;\n}\n"),
+    ("c", "#include <stdio.h>\n#include <stdlib.h>\n\ntypedef struct %A {\n    int id;\n    char name[64];\n} %A;\n\ntypedef struct %B {\n    %A base;\n    void (*%n)(struct %B*);\n} %B;\n\ntypedef struct %C {\n    %B* ref;\n    int linked;\n} %C;\n\nvoid %m_%A(%A* self) {\n    if (self) self->id = 0;\n}\n"),
+    ("javascript", "class %A {\n  %m() { return true; }\n}\nclass %B extends %A {\n  %n() {}\n}\nclass %C {\n  constructor(ref) { this.ref = ref; }\n}\n"),
+    ("typescript", "export class %A {\n  %m(): boolean { return true; }\n}\nexport class %B extends %A {\n  %n(): void {}\n}\nexport class %C {\n  constructor(public ref: %B) {}\n}\n"),
+    ("rust", "struct %A {}\nimpl %A {\n  fn %m(&self) -> bool { true }\n}\nstruct %B { parent: %A }\nimpl %B {\n  fn %n(&self) {}\n}\nstruct %C { ref: %B }\n"),
+    ("go", "package demo\ntype %A struct{}\nfunc (a *%A) %M() bool { return true }\ntype %B struct{ %A }\nfunc (b *%B) %N() {}\ntype %C struct{ Ref *%B }\n"),
+    ("csharp", "namespace Demo {\npublic class %A { public void %M() {} }\npublic class %B : %A { public void %N() {} }\npublic class %C { public %B Ref { get; set; } }\n}\n"),
+    ("kotlin", "open class %A { fun %m(): Boolean = true }\nclass %B : %A() { fun %n() {} }\nclass %C(val ref: %B)\n"),
+    ("swift", "class %A { func %m() -> Bool { return true } }\nclass %B: %A { func %n() {} }\nclass %C { var ref: %B? }\n"),
+    ("cpp", "class %A { public: void %m(); };\nclass %B : public %A { public: void %n(); };\nclass %C { %B* ref; };\n"),
+    ("c", "#include <stdio.h>\n#include <stdlib.h>\n\ntypedef struct %A {\n    int id;\n    char name[64];\n} %A;\n\ntypedef struct %B {\n    %A base;\n    double value;\n} %B;\n\ntypedef struct %C {\n    %B* ref;\n    int count;\n} %C;\n\nvoid %m(%A* self) { self->id = 1; }\nint %n(%B* self) { return self ? (int)self->value : 0; }\n"),
+    ("ruby", "class %A\n  def %m; true; end\nend\nclass %B < %A\n  def %n; end\nend\nclass %C\n  attr_accessor :ref\nend\n"),
+    ("php", "<?php\nclass %A { public function %m() { return true; } }\nclass %B extends %A { public function %n() {} }\nclass %C { public $%B $ref; }\n"),
+    ("scala", "class %A { def %m(): Boolean = true }\nclass %B extends %A { def %n(): Unit = () }\nclass %C(val ref: %B)\n"),
+    ("dart", "class %A { bool %m() => true; }\nclass %B extends %A { void %n() {} }\nclass %C { %B? ref; }\n"),
+    ("perl", "package %A; sub %m { 1 }\npackage %B; use parent '%A'; sub %n {}\npackage %C; sub new { bless {}, shift }\n"),
+    ("lua", "%A = {}\nfunction %A:%m() return true end\n%B = setmetatable({}, {__index=%A})\nfunction %B:%n() end\n%C = { ref = nil }\n"),
+    ("r", "%A <- setRefClass('%A', methods = list(%m = function() TRUE))\n%B <- setRefClass('%B', contains = '%A', methods = list(%n = function() NULL))\n"),
+    ("matlab", "classdef %A\n  methods\n    function r = %m(obj), r = true; end\n  end\nend\n"),
+    ("haskell", "data %A = %A\n%m :: %A -> Bool\n%m _ = True\ndata %B = %B %A\ndata %C = %C %B\n"),
+    ("elixir", "defmodule %A do\n  def %m(), do: true\nend\ndefmodule %B do\n  def %n(), do: :ok\nend\n"),
+]
+WITHOUT_OBJECTS = ["haskell", "r", "matlab"]

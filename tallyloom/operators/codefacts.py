@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import code as CD, text as X
@@ -185,8 +187,10 @@ def spec_text(
     imports: int | None = None,
     variables: int | None = None,
     steps: int | None = None,
+    keep: Sequence[str] = ("artifact_id", "language"),
 ) -> DataFrame:
-    """The specification text a source's structure gives; whole lists unless limits are given."""
+    """The specification text a source's structure gives, beside the columns to ``keep``; whole lists
+    unless limits are given."""
     wanted = diagram_type if diagram_type is not None else F.lit("class")
     facts = with_structure(sources.withColumn("__type", wanted))
     typed, flow = F.size("types") > 0, F.col("__type") == "flowchart"
@@ -240,4 +244,4 @@ def spec_text(
         ),
         F.when(typed, F.lit("### Modules\n- domain: primary types from source")),
     )
-    return hold(facts, {"spec": spec}, ["artifact_id", "language"])
+    return hold(facts, {"spec": spec}, list(keep))

@@ -277,6 +277,71 @@ def _(t):
     )
 
 
+def _filled(template, **values):
+    """SQL text of a template by replacing its places one after the other."""
+    out = "'" + template.replace("'", "' || chr(39) || '") + "'"
+    for key, value in values.items():
+        out = f"replace({out}, '%{key}', {value})"
+    return out
+
+
+_PICKED = f"""SELECT *, concat(p[i + 1], n % 10000) AS a, concat(p[j + 1], n % 10000) AS b, concat(list_filter(p, lambda x, q: q <> i + 1 AND q <> j + 1)[k + 1], n % 10000) AS c FROM (
+  SELECT n, d, p, t, i, CASE WHEN h >= i THEN h + 1 ELSE h END AS j, k FROM (
+    SELECT doc_id AS n, {_DOMAINS}[(doc_id % 20 + 1)::INT] AS d, {_POOLS}[(doc_id % 20 + 1)::INT] AS p, ['class','object','component','package','flowchart'][(doc_id % 5 + 1)::INT] AS t,
+      (doc_id // 20 % 6)::INT AS i, (doc_id // 120 % 5)::INT AS h, (doc_id // 600 % 4)::INT AS k FROM documents))"""
+_ENTS = {"A": "a", "B": "b", "C": "c"}
+_UML = "CASE t " + " ".join(f"WHEN '{k}' THEN {_filled(v, **_ENTS, a='lower(a)')}" for k, v in SY.DIAGRAM_TEMPLATES.items()) + " END"
+_SCENARIO = "CASE n % 20 " + " ".join(f"WHEN {i} THEN {_filled(v, **_ENTS, D='d')}" for i, (_, v) in enumerate(fixed.SCENARIO_TEMPLATES)) + " END"
+_HUMAN = "['en','en','es','fr','de','hi','zh','pt','it','ja','ko','ar','ru','nl','tr','pl','sv','vi','th','id'][(n % 20 + 1)::INT]"
+_DIGESTS = ["source_requirement", "technical_spec", "uml_code"]
+
+
+@query(
+    "l15_scenario_rows",
+    f"""SELECT n AS number, d AS domain, t AS diagram_type, l AS human_language, substr(sha1(concat('sc|', n, '|', t, '|', l)), 1, 12) AS id, md5(r) AS source_requirement, md5({_UML}) AS uml_code,
+      md5(concat('## Technical Specification\n### Domain\n', d, '\n### Language\n', l, '\n### Entities\n- ', a, '\n- ', b, '\n- ', c, '\n### Relationships\n- ', b, ' specializes or depends on ', a, '\n- ', a, ' associates with ', c, '\n### Source intent\n', r, '\n')) AS technical_spec
+    FROM (SELECT *, {_HUMAN} AS l, {_SCENARIO} AS r FROM ({_PICKED}))""",
+)
+def _(t):
+    made = SY.scenario_rows(t.documents.select("doc_id"), "doc_id")
+    return made.select("number", "domain", "diagram_type", "human_language", "id", *[F.md5(x).alias(x) for x in _DIGESTS])
+
+
+_CODE = "CASE n % 22 " + " ".join(
+    f"WHEN {i} THEN {_filled(v, **_ENTS, m=repr('process'), n=repr('validate'), M=repr('Process'), N=repr('Validate'))}" for i, (_, v) in enumerate(fixed.CODE_TEMPLATES)
+) + " END"
+_CODE_LANGS = "['python','java','c','javascript','typescript','rust','go','csharp','kotlin','swift','cpp','c','ruby','php','scala','dart','perl','lua','r','matlab','haskell','elixir'][(n % 22 + 1)::INT]"
+
+
+@query(
+    "l15_code_rows",
+    f"""SELECT n AS number, d AS domain, t AS diagram_type, l AS source_language, substr(sha1(concat('cd|', n, '|', l, '|', t)), 1, 12) AS id, md5({_CODE}) AS source_requirement, md5({_UML}) AS uml_code,
+      md5(concat('## Technical Specification\n### Detected language\n- ', l, '\n### Source intent\nReverse-engineer UML from ', l, ' source for ', d, '.\n### Entities\n- ', a, '\n- ', b, '\n- ', c, '\n### Methods\n- ', a, '.process\n- ', b, '.validate\n')) AS technical_spec
+    FROM (SELECT * REPLACE (CASE WHEN t = 'object' AND l IN ('haskell', 'r', 'matlab') THEN 'class' ELSE t END AS t) FROM (SELECT *, {_CODE_LANGS} AS l FROM ({_PICKED})))""",
+)
+def _(t):
+    made = SY.code_rows(t.documents.select("doc_id"), "doc_id")
+    return made.select("number", "domain", "diagram_type", "source_language", "id", *[F.md5(x).alias(x) for x in _DIGESTS])
+
+
+_FOCUS_SPEC = """concat('## Technical Specification (from source code)\n### Detected language\n- ', CASE WHEN l = 'c' THEN 'c' ELSE l END, '\n### Source intent\nReverse-engineered structural model from provided source code.\n### Entities\n',
+  CASE n % 4 WHEN 0 THEN '- ' || a || ': process\n- ' || b || ': validate\n  - inherits: ' || a || '\n- ' || c || ': link\n### Relationships\n- ' || b || ' inherits ' || a
+    WHEN 1 THEN '- ' || a || ': (no methods extracted)\n- ' || b || ': (no methods extracted)\n  - inherits: ' || a || '\n- ' || c || ': (no methods extracted)\n### Relationships\n- ' || b || ' inherits ' || a
+    ELSE '- ' || a || ': (no methods extracted)\n- ' || b || ': (no methods extracted)\n- ' || c || ': (no methods extracted)\n### Relationships\n- ' || a || ' associates with ' || b END,
+  CASE WHEN t = 'flowchart' THEN '\n### Process steps\n1. ' || 'Initialize\n2. Run script logic\n3. Finish' ELSE '' END, '\n### Modules\n- domain: primary types from source')"""
+
+
+@query(
+    "l15_focus_rows",
+    f"""SELECT n AS number, l AS source_language, t AS diagram_type, substr(sha1(concat('cd|', n, '|', l, '|', t)), 1, 12) AS id, technical_spec
+    FROM (SELECT n, l, t, CASE WHEN t = 'flowchart' AND l = 'c' THEN replace({_FOCUS_SPEC}, '1. Initialize\n2. Run script logic\n3. Finish', '1. include <stdio.h>\n2. include <stdlib.h>') ELSE {_FOCUS_SPEC} END AS technical_spec
+      FROM (SELECT *, ['python','java','c','c'][(n % 4 + 1)::INT] AS l FROM ({_PICKED})))""",
+)
+def _(t):
+    made = SY.code_rows(t.documents.select("doc_id"), "doc_id", fixed.FOCUS_LANGS)
+    return made.select("number", "source_language", "diagram_type", "id", "technical_spec")
+
+
 _STAMPED = "replace(uml_code, '@startuml', concat('@startuml', chr(10), chr(39), ' training-id:', id))"
 
 
