@@ -128,11 +128,15 @@ def edge_facts(diagrams: DataFrame) -> DataFrame:
     Both ends are checked against the names of the same diagram inside the row; nothing is
     joined or paired, and only lines with a connector leave the row.
     """
-    code = F.col("plantuml_code")
-    names = hold(diagrams, {"names": F.array_distinct(_all(code, ENTITY_DECL)), "lines": X.lines(code)}, ["artifact_id"])
-    known = hold(
-        names, {"known": F.map_from_arrays("names", F.transform("names", lambda x: F.lit(True)))}, ["artifact_id", "lines"]
-    )
+    named = diagrams.select("artifact_id", "plantuml_code", F.array_distinct(_all(F.col("plantuml_code"), ENTITY_DECL)).alias("names"))
+    return with_edges(named, "names").select("artifact_id", F.inline("edges"))
+
+
+def with_edges(diagrams: DataFrame, names: str) -> DataFrame:
+    """Add ``edges``, the relationship edges of ``plantuml_code`` between the ``names`` of the row, in order."""
+    kept = list(diagrams.columns)
+    known = hold(diagrams, {"lines": X.lines(F.coalesce("plantuml_code", F.lit(""))), "known": F.array_distinct(F.coalesce(names, F.array().cast("array<string>")))})
+    known = hold(known, {"known": F.map_from_arrays("known", F.transform("known", lambda x: F.lit(True)))}, [*kept, "lines"])
     # plain searches first: the pattern only runs on lines that can hold an edge, and its groups
     # are taken from the short match
     numbered = F.transform("lines", lambda x, i: F.struct(i.alias("line_no"), x.alias("line")))
@@ -154,14 +158,16 @@ def edge_facts(diagrams: DataFrame) -> DataFrame:
         ),
         lambda e: F.map_contains_key("known", e["a"]) & F.map_contains_key("known", e["b"]),
     )
-    both = known.select("artifact_id", F.inline(edges))
-    down, up = F.col("op").isin("<|--", "<|.."), F.col("op").isin("--|>", "..|>")
-    return both.select(
-        "artifact_id", "line_no", "op",
-        F.when(up, F.col("b")).otherwise(F.col("a")).alias("src"),
-        F.when(up, F.col("a")).otherwise(F.col("b")).alias("dst"),
-        F.when(down | up, F.lit("inherit")).otherwise(F.lit("assoc")).alias("kind"),
-    )
+    def turned(e: Column) -> Column:
+        down, up = e["op"].isin("<|--", "<|.."), e["op"].isin("--|>", "..|>")
+        return F.struct(
+            e["line_no"].alias("line_no"), e["op"].alias("op"),
+            F.when(up, e["b"]).otherwise(e["a"]).alias("src"),
+            F.when(up, e["a"]).otherwise(e["b"]).alias("dst"),
+            F.when(down | up, F.lit("inherit")).otherwise(F.lit("assoc")).alias("kind"),
+        )
+
+    return hold(known, {"edges": F.transform(edges, turned)}, kept)
 
 
 def edge_degrees(edges: DataFrame) -> DataFrame:

@@ -3,11 +3,12 @@
 from pyspark.sql import functions as F
 
 from .. import fixed
-from ..operators import rank as R, select as SE, split as SP, structure as ST, synth as SY
+from ..operators import codefacts as CF, rank as R, select as SE, split as SP, structure as ST, synth as SY
 from ..operators.hold import hold
 from . import sqltext as Q
 from .catalog import query
 from .reporting import rounded
+from .structures import CODE_READ, EDGES, PROGRAM
 
 FP = "array_to_string(list_filter(list_transform(string_split(regexp_replace(plantuml_code, '^\\s+|\\s+$', '', 'g'), chr(10)), lambda l: regexp_replace(l, '^\\s+|\\s+$', '', 'g')), lambda l: l <> ''), chr(10))"
 MARKED = """SELECT s.* EXCLUDE (plantuml_code), d.plantuml_code, h.artifact_id IS NOT NULL AS human,
@@ -434,3 +435,62 @@ def _(t):
         t.artifacts.select("artifact_id", "diagram_type"), "artifact_id"
     )
     return rows.select("artifact_id", F.md5(SY.complete_diagram(F.col("n"), F.col("diagram_type"))).alias("digest"))
+
+
+def _entity_sql(kind):
+    """One file of the source, as concat_ws over its parts; ``x`` is the entity."""
+    base = "list_filter(heirs, lambda h: h.dst = x)[-1].src"
+    other = "list_filter(links, lambda h: h.src = x)[1].dst"
+    body = "regexp_extract(plantuml_code, concat('(?is)(?:class|interface|object)\\s+', x, '\\b[^{]*\\{([^}]*)\\}'), 1)"
+    found = f"list_filter(regexp_extract_all({body}, '(?m)^\\s*[+\\-#~]?\\s*(?:[\\w<>\\[\\]]+\\s+)?(\\w+)\\s*\\(', 1), lambda m: m NOT IN ('if', 'for', 'while', 'switch', 'new', 'class') AND m <> x)"
+    once = f"list_filter({found}, lambda m, i: list_position({found}, m) = i)"
+
+    def acts(line, usual):
+        return f"array_to_string(list_transform(CASE WHEN len({found}) > 0 THEN {once} ELSE {usual} END, lambda m: {line}), chr(10))"
+
+    if kind == "python":
+        return (f"concat_ws(chr(10), '# file: src/' || lower(x) || '.py', 'class ' || x || coalesce('(' || {base} || ')', '') || ':', "
+                f"{acts('concat(chr(32), chr(32), chr(32), chr(32), ' + repr('def ') + ', m, ' + repr('(self):') + ', chr(10), ' + repr('        return True') + ')', str(['process', 'validate']))}, "
+                f"'    def link_' || lower({other}) || '(self, other: ' || chr(39) || {other} || chr(39) || '):' || chr(10) || '        self.ref = other')")
+    if kind == "c":
+        return (f"concat_ws(chr(10), '/* file: src/' || lower(x) || '.h */', 'typedef struct ' || x || ' {{', '    int id;', '    char name[64];', "
+                f"'    struct ' || {other} || '* ' || lower({other}) || '_ref;', '}} ' || x || ';', {acts('concat(' + repr('void ') + ', x, chr(95), m, chr(40), x, ' + repr('* self);') + ')', str(['init', 'process']))})")
+    return (f"concat_ws(chr(10), '// file: src/main/java/com/industrial/' || x || '.java', 'package com.industrial;', 'public class ' || x || coalesce(' extends ' || {base}, '') || ' {{', '  private int id;', "
+            f"'  private ' || {other} || ' ' || lower({other}[1]) || {other}[2:] || ';', {acts('concat(' + repr('  public void ') + ', m, ' + repr('() {{}}') + ')', str(['process', 'validate']))}, '}}')")
+
+
+_SOURCES = " ".join(f"WHEN '{k}' THEN array_to_string(list_transform(ents, lambda x: {_entity_sql(k)}), chr(10) || chr(10))" for k in ("python", "c", "java")).replace("{{", "{").replace("}}", "}")
+
+
+@query(
+    "l16_source_from_diagram",
+    f"""WITH e0 AS (SELECT artifact_id, plantuml_code, names FROM (SELECT artifact_id, plantuml_code, {Q.every('plantuml_code', Q.ENTITY_RE)} AS every FROM diagrams), LATERAL (SELECT list_filter(every, lambda x, i: list_position(every, x) = i AND lower(x) NOT IN ({', '.join(repr(w) for w in ST.ENTITY_SKIP)})) AS names)),
+    e1 AS (SELECT artifact_id, plantuml_code, list_concat(names, ['Module1', 'Module2', 'Module3'][least(len(names), 3) + 1:3]) AS ents FROM e0),
+    known AS (SELECT artifact_id, unnest(ents) AS name FROM e1), edges AS ({EDGES}),
+    g AS (SELECT artifact_id, list({{'src': src, 'dst': dst}} ORDER BY line_no) FILTER (WHERE kind = 'inherit') AS heirs, list({{'src': src, 'dst': dst}} ORDER BY line_no) FILTER (WHERE kind = 'assoc') AS links FROM edges GROUP BY artifact_id),
+    r AS (SELECT artifact_id, plantuml_code, ents, coalesce(heirs, []) AS heirs, coalesce(links, []) AS links, ['java','python','c'][(artifact_id % 3 + 1)::INT] AS l FROM e1 LEFT JOIN g USING (artifact_id))
+    SELECT artifact_id, md5(CASE l {_SOURCES} END) AS digest FROM r""",
+    "diagrams",
+)
+def _(t):
+    lang = F.get(F.array(*[F.lit(x) for x in fixed.FOCUS_LANGS]), (F.col("artifact_id") % 3).cast("int"))
+    rows = t.diagrams.select("artifact_id", "plantuml_code", ST.entity_names(F.col("plantuml_code")).alias("names"), lang.alias("lang"))
+    return SY.with_source(rows, "names", "lang").select("artifact_id", F.md5("source").alias("digest"))
+
+
+@query(
+    "l16_diagram_from_source",
+    f"""WITH {CODE_READ},
+    mm AS (SELECT artifact_id, owner, string_agg('  +' || name || '()', chr(10) ORDER BY part, i) AS acts FROM m WHERE owner IS NOT NULL GROUP BY ALL),
+    en AS (SELECT artifact_id, list_concat(types, ['Entity1', 'Entity2', 'Entity3'][least(len(types), 3) + 1:3]) AS e FROM q),
+    ex AS (SELECT artifact_id, unnest(e) AS x, generate_subscripts(e, 1) AS k, e FROM en),
+    de AS (SELECT ex.artifact_id, string_agg(concat_ws(chr(10), 'class ' || x || ' {{', '  +id: int', coalesce(acts, '  +process()'), '}}'), chr(10) ORDER BY k) AS decl FROM ex LEFT JOIN mm ON mm.artifact_id = ex.artifact_id AND mm.owner = x GROUP BY ALL),
+    ih AS (SELECT artifact_id, string_agg(p || ' <|-- ' || owner, chr(10) ORDER BY i, j) AS inh FROM (SELECT b.artifact_id, owner, i, e, unnest(parents) AS p, generate_subscripts(parents, 1) AS j FROM bases b JOIN en USING (artifact_id)) WHERE list_contains(e, owner) AND list_contains(e, p) GROUP BY artifact_id)
+    SELECT artifact_id, md5(concat_ws(chr(10), '@startuml', 'title Industrial class model', decl, inh, array_to_string(list_transform(e[1:len(e) - 1], lambda x, i: x || ' "1" --> "*" ' || e[i + 1] || ' : uses'), chr(10)),
+      e[1] || ' ..> ' || e[len(e)] || ' : depends', '@enduml')) AS digest FROM en JOIN de USING (artifact_id) LEFT JOIN ih USING (artifact_id)""",
+    "code_sources",
+)
+def _(t):
+    rows = CF.with_structure(t.code_sources.selectExpr("artifact_id", f"{PROGRAM} AS code"))
+    code = SY.complete_diagram(F.col("types"), F.lit("class"), bases=F.col("bases"), methods=F.col("methods"))
+    return rows.select("artifact_id", F.md5(code).alias("digest"))
