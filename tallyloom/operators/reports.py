@@ -30,8 +30,8 @@ def _facts(df: DataFrame, section: str, key: str | None) -> DataFrame:
     return cast.unpivot(["key"], values, "metric", "value").select(F.lit(section).alias("section"), "key", "metric", "value")
 
 
-def briefing(artifacts: DataFrame, repairs: DataFrame, reviews: DataFrame) -> DataFrame:
-    """Every figure of the briefing as one long table.
+def briefing(artifacts: DataFrame, repairs: DataFrame, reviews: DataFrame, labels: DataFrame, totals: DataFrame) -> DataFrame:
+    """Every figure of the briefing as one long table; ``labels`` and ``totals`` are the failure report's.
 
     Long rows instead of one nested record: the sections are aggregated on their own and need
     no join to stand side by side.
@@ -41,6 +41,8 @@ def briefing(artifacts: DataFrame, repairs: DataFrame, reviews: DataFrame) -> Da
         _facts(ST.type_stats(artifacts), "by_type", "diagram_type"),
         _facts(ST.alignment(reviews, artifacts), "alignment", "scope"),
         _facts(published_vs_live(artifacts), "published", "diagram_type"),
+        _facts(totals, "failures", None),
+        _facts(labels, "failure_labels", "label"),
     ]
     return reduce(DataFrame.unionByName, parts)
 

@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from ..operators import failures as FA, policy as P, reports as R
-from .catalog import query
+from . import agreement, reporting  # noqa: F401  the briefing repeats their reports
+from .catalog import ORACLES, query
 from .reporting import rounded
 
 
@@ -181,9 +182,28 @@ def _(t):
     return P.latest(t.outcomes, 80).select("event_id", "key", "name", "ok")
 
 
-@query("e33_briefing")
+def _facts_sql(section, key, label):
+    """A registered report, turned to (section, key, metric, value)."""
+    rest = f"COLUMNS(* EXCLUDE ({label}))" if label else "COLUMNS(*)"
+    name = label or "'all'"
+    return (
+        f"SELECT '{section}' AS section, key, metric, round(value, 4) AS value FROM (UNPIVOT (SELECT {name} AS key, {rest}::DOUBLE FROM ({ORACLES[key]})) "
+        "ON COLUMNS(* EXCLUDE (key)) INTO NAME metric VALUE value)"
+    )
+
+
+BRIEFING = [
+    ("summary", "e06_summary", None), ("by_type", "e07_type_stats", "diagram_type"), ("alignment", "e24_alignment", "scope"),
+    ("published", "d12_published_vs_live", "diagram_type"), ("failures", "e15_failure_totals", None), ("failure_labels", "e15_label_counts", "label"),
+]
+
+
+@query("e33_briefing", " UNION ALL ".join(_facts_sql(*x) for x in BRIEFING))
 def _(t):
-    return R.briefing(t.scored, t.repair_attempts, t.human_reviews)
+    labels, totals = FA.label_counts(joined(t), "package"), FA.failure_totals(t.big_artifacts, "package")
+    scored = t.scored.withColumn("composite_score", F.round("composite_score", 9))
+    facts = R.briefing(scored, t.repair_attempts, t.human_reviews, labels, totals).where("value IS NOT NULL")
+    return rounded(facts, "value", digits=4)
 
 
 @query(
