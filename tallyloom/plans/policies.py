@@ -203,7 +203,7 @@ def _(t):
     labels, totals = FA.label_counts(joined(t), "package"), FA.failure_totals(t.big_artifacts, "package")
     scored = t.scored.withColumn("composite_score", F.round("composite_score", 9))
     facts = R.briefing(scored, t.repair_attempts, t.human_reviews, labels, totals).where("value IS NOT NULL")
-    return rounded(facts, "value", digits=4)
+    return rounded(rounded(facts, "value"), "value", digits=4)  # the reports themselves are rounded to six
 
 
 @query(
