@@ -362,10 +362,11 @@ def alignment(reviews: DataFrame, artifacts: DataFrame, types: Sequence[str] = f
     pairs = checkpointed(scoped.groupBy("scope", "composite_score", "human").agg(F.sum("n").alias("n")))
     linear = _weighted_pearson(pairs, "composite_score", "human", "n", "scope")
     ranks = spearman(pairs, "composite_score", "human", ["scope"], weight="n").drop("n")
-    scopes = types_frame(artifacts.sparkSession, ["all", *types]).withColumnRenamed("diagram_type", "scope")
-    every = reviews.agg(F.count("*").alias("n_reviews")).withColumn("scope", F.lit("all"))
+    every = reviews.agg(F.count("*").alias("n_reviews")).select(F.lit("all").alias("scope"), "n_reviews")
+    scopes = types_frame(artifacts.sparkSession, ["all", *types]).select(F.col("diagram_type").alias("scope"), F.lit(None).cast("long").alias("n_reviews"))
+    scopes = scopes.unionByName(every).groupBy("scope").agg(F.max("n_reviews").alias("n_reviews"))
     return (
-        scopes.join(linear, "scope", "left").join(ranks, "scope", "left").join(raters, "scope", "left").join(every, "scope", "left")
+        scopes.join(linear, "scope", "left").join(ranks, "scope", "left").join(raters, "scope", "left")
         .select("scope", "n_reviews", F.coalesce("n", F.lit(0)).alias("n_pairs"), F.coalesce("n_raters", F.lit(0)).alias("n_raters"),
                 "pearson_r", "spearman_rho")
     )
