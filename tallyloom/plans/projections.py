@@ -228,7 +228,18 @@ def _(t):
     return AD.adapt_typed(raw).select("row_id", "inferred_type")
 
 
-@query("b12_adapter_registry")
+_TRIMMED = Q.stripped("plantuml_code")
+_TAGGED = f"""CASE WHEN regexp_extract({_TRIMMED}, '(?is)@startuml.*?@enduml') <> '' THEN regexp_extract({_TRIMMED}, '(?is)@startuml.*?@enduml')
+  WHEN contains(lower({_TRIMMED}), '@startuml') THEN {_TRIMMED} ELSE '' END"""
+
+
+@query(
+    "b12_adapter_registry",
+    f"""WITH a AS (SELECT 'umlcode' AS adapter, plantuml_code AS code FROM diagrams WHERE length({_TRIMMED}) >= 20
+      UNION ALL SELECT name, {_TAGGED} FROM diagrams, (VALUES ('stack_plantuml'), ('stack_source'), ('cas2uml')) v(name) WHERE length({_TAGGED}) >= 20)
+    SELECT adapter, {Q.INFERRED} AS inferred_type, count(*) AS n FROM (SELECT adapter, lower(code) AS c FROM a) GROUP BY ALL""",
+    "diagrams",
+)
 def _(t):
     rows = t.diagrams.select(F.col("artifact_id").alias("row_id"), F.col("plantuml_code").alias("uml_code"), F.col("plantuml_code").alias("code"))
     out = None
