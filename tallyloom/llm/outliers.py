@@ -16,7 +16,8 @@ document.
 Defined results: a null text has no words and fails the base rule; a null language or source is a
 value of its own; a language and source with fewer than ``least`` rows is judged with all such of
 its language, those with all such rows of the table, and where even these are fewer than
-``least`` nobody is rejected; repeated rows are judged alike; ids are only carried along.
+``least`` by the estimate of all rows of the table; only a table with fewer than ``least`` rows to judge
+rejects nobody; a text of any length counts as one row; repeated rows are judged alike; ids are only carried along.
 """
 
 from __future__ import annotations
@@ -251,6 +252,10 @@ def estimates(rows: DataFrame, s: Settings) -> DataFrame:
     return found.groupBy("grp").agg(F.min_by(F.struct("mean", "inverse", "logdet", "start"), F.struct("logdet", "start")).alias("e")).select("grp", "e.*")
 
 
+#: the group of rows whose own groups and pools are too small: judged by the estimate of all rows
+EVERY = "**"
+
+
 def grouped(df: DataFrame, lang: str, source: str, s: Settings) -> DataFrame:
     """Add ``grp``: language and source, or the pool that takes the place of a rare one."""
 
@@ -260,13 +265,15 @@ def grouped(df: DataFrame, lang: str, source: str, s: Settings) -> DataFrame:
     keyed = df.withColumn("__lang", plain(lang)).withColumn("__both", F.concat_ws("\t", plain(lang), plain(source)))
     sizes = keyed.where(~F.col("base_failed")).groupBy("__lang", "__both").agg(F.count("*").alias("n"))
     small = F.coalesce(F.sum(F.when(F.col("n") < s.least, F.col("n"))), F.lit(0))
-    by_lang = sizes.groupBy("__lang").agg(small.alias("pool"))
-    of_pools = by_lang.agg(F.coalesce(F.sum(F.when(F.col("pool") < s.least, F.col("pool"))), F.lit(0)).alias("rest"))
+    by_lang = sizes.groupBy("__lang").agg(small.alias("pool"), F.sum("n").alias("open"))
+    every = F.coalesce(F.sum("open"), F.lit(0)).alias("every")
+    of_pools = by_lang.agg(F.coalesce(F.sum(F.when(F.col("pool") < s.least, F.col("pool"))), F.lit(0)).alias("rest"), every)
     chosen = sizes.join(by_lang, "__lang").crossJoin(F.broadcast(of_pools)).select(
         "__both",
         F.when(F.col("n") >= s.least, F.col("__both"))
         .when(F.col("pool") >= s.least, F.col("__lang"))
         .when(F.col("rest") >= s.least, F.lit("*"))
+        .when(F.col("every") >= s.least, F.lit(EVERY))
         .alias("grp"),
     )
     return keyed.join(chosen, "__both", "left").drop("__lang", "__both")
@@ -279,7 +286,10 @@ def judge(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     rows = counted(narrow).drop("text").withColumn("base_failed", base_failed(s))
     rows = rows.select("*", *[c.alias(v) for c, v in zip(vector(), VECTOR)])
     rows = checkpointed(grouped(checkpointed(rows), "lang", "source", s))
-    open_rows = rows.where(~F.col("base_failed") & F.col("grp").isNotNull()).select("grp", *VECTOR)
+    fit_rows = rows.where(~F.col("base_failed") & F.col("grp").isNotNull()).select("grp", *VECTOR)
+    open_rows = fit_rows.where(F.col("grp") != EVERY)
+    if not fit_rows.where(F.col("grp") == EVERY).isEmpty():
+        open_rows = open_rows.unionByName(fit_rows.withColumn("grp", F.lit(EVERY)))
     found = estimates(open_rows, s)
     placed = rows.join(found, "grp", "left").withColumn("distance", F.when(~F.col("base_failed"), _distance()))
     fits = F.coalesce(F.col("distance") <= chi2_quantile(s.level, P), F.lit(True))

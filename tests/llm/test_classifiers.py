@@ -206,6 +206,18 @@ def test_outliers_are_rejected_and_others_kept(spark):
     assert O.judge(empty).count() == 0
 
 
+def test_rows_of_rare_groups_are_judged_by_the_whole_table(spark):
+    rng = random.Random(9)
+    rows = [(i, prose(rng, rng.randint(30, 80)), "en", "a") for i in range(300)]
+    rows += [(1000 + i, prose(rng, 50), f"l{i}", "rare") for i in range(8)]
+    rows += [(2000 + i, " ".join(w + "###" for w in prose(rng, 50).split()), f"m{i}", None) for i in range(8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    kept = {r["doc_id"]: r["kept"] for r in O.judge(df).collect()}
+    assert all(kept[1000 + i] for i in range(8)) and not any(kept[2000 + i] for i in range(8))
+    few = df.where("doc_id >= 1000")  # too few to judge by at all
+    assert all(r["kept"] for r in O.judge(few).collect())
+
+
 def test_concentration_finds_the_clean_part():
     # against plain concentration steps over one group
     from pyspark.sql import SparkSession
