@@ -14,11 +14,14 @@ PYTHON_TYPE = r"(?md)^\s*class\s+(\w+)(?:\s*\(([^)]*)\))?:"
 PYTHON_FUNCTION = r"(?md)^\s*def\s+(\w+)\s*\("
 BRACED_TYPE = r"\b(?:class|interface|enum)\s+(\w+)(?:\s+extends\s+(\w+))?(?:\s+implements\s+([\w,\s]+))?"
 KEYWORD_FUNCTION = r"\b(?:function|func|fn)\s+(\w+)\s*\("
-BRACED_FUNCTION = r"\b(?:public|private|protected)?\s*(?:static\s+)?[\w<>\[\]]+\s+(\w+)\s*\([^;]*\)\s*\{"
+# a braced function is this head, anything but a semicolon, and a closing parenthesis before a brace
+BRACED_HEAD = r"\b(?:public|private|protected)?\s*(?:static\s+)?[\w<>\[\]]+\s+(\w+)\s*\("
+BRACED_END = r"\)\s*\{"
 NOT_BRACED_FUNCTIONS = ["if", "for", "while", "switch", "catch"]
 STRUCT_ALIAS = r"typedef\s+struct\s+(\w+)?\s*\{[^}]*\}\s*(\w+)\s*;"
 PLAIN_STRUCT = r"(?<!typedef\s)struct\s+(\w+)\s*\{"
-C_FUNCTION = r"(?md)^(?:static\s+)?(?:const\s+)?(?:struct\s+)?([\w\s*]+?)\s+(\w+)\s*\([^;]*\)\s*(?:\{|;)"
+C_HEAD = r"(?md)^(?:static\s+)?(?:const\s+)?(?:struct\s+)?([\w\s*]+?)\s+(\w+)\s*\("
+C_END = r"\)\s*[{;]"
 NOT_C_FUNCTIONS = ["if", "for", "while", "switch", "main"]
 IMPORT = r"(?md)^\s*((?:import|from|using|require)\s+[^\n]+)"
 VARIABLE = r"(?md)^\s*([A-Za-z_]\w*)\s*="
@@ -76,12 +79,39 @@ def steps_of(code: Column) -> Column:
     return F.filter(F.flatten(F.transform(telling, said)), lambda x: x.isNotNull() & (x != ""))
 
 
-def owned(function: Column, types: Column) -> Column:
-    """The first type whose name the function's name is or starts with, an underscore after it; else null."""
-    words = F.split(F.lower(function), "_")
-    heads = F.transform(words, lambda _, i: F.array_join(F.slice(words, 1, i + 1), "_"))
-    places = F.filter(F.transform(heads, lambda h: F.array_position(F.transform(types, F.lower), h)), lambda p: p > 0)
-    return F.when(F.size(places) > 0, F.element_at(types, F.array_min(places).cast("int")))
+def _headed(stretches: Column, head: str, group: int, end: str) -> Column:
+    """Per stretch the name in its first ``head`` before its last ``end``.
+
+    A function's text from head to end holds no semicolon and reaches for the last end there is, so
+    a stretch between semicolons names one function at most. Looking for the end first keeps
+    every text linear; one pattern for both would run to the end of the stretch from every head.
+    """
+    ending = F.filter(stretches, lambda s: F.contains(s, F.lit(")")) & F.rlike(s, F.lit(end)))
+    names = F.transform(ending, lambda s: F.regexp_extract(F.regexp_extract(s, f"(?s)^(.*){end}", 1), head, group))
+    return F.filter(names, lambda n: n != "")
+
+
+def braced_functions(code: Column) -> Column:
+    return _headed(F.split(code, ";"), BRACED_HEAD, 1, BRACED_END)
+
+
+def c_functions(code: Column) -> Column:
+    """Functions of C by definition or declaration; a stretch keeps the semicolons around it, as
+    one may end a declaration and what follows one does not start a line."""
+    def whole(parts: Column) -> Column:
+        return F.transform(
+            parts, lambda s, i: F.concat(F.when(i > 0, F.lit(";")).otherwise(F.lit("")), s, F.when(i < F.size(parts) - 1, F.lit(";")).otherwise(F.lit("")))
+        )
+
+    return _headed(X.once(F.split(code, ";"), whole), C_HEAD, 2, C_END)
+
+
+def owned(function: Column, types: Column, lows: Column) -> Column:
+    """The first of ``types`` (``lows`` in lower case) that the function's name is or starts with, an
+    underscore after it; else null."""
+    heads = X.once(F.split(F.lower(function), "_"), lambda words: F.transform(words, lambda _, i: F.array_join(F.slice(words, 1, i + 1), "_")))
+    places = F.filter(F.transform(heads, lambda h: F.array_position(lows, h)), lambda p: p > 0)
+    return X.once(F.array_min(places), lambda p: F.when(p.isNotNull(), F.element_at(types, p.cast("int"))))
 
 
 def with_structure(sources: DataFrame, code: str = "code") -> DataFrame:
@@ -95,7 +125,7 @@ def with_structure(sources: DataFrame, code: str = "code") -> DataFrame:
     extended = F.zip_with(
         _all(c, BRACED_TYPE, 2), _all(c, BRACED_TYPE, 3), lambda e, i: F.concat(F.when(e != "", F.array(e)).otherwise(_none()), _named(i))
     )
-    braced = F.filter(_all(c, BRACED_FUNCTION), lambda n: ~n.isin(*NOT_BRACED_FUNCTIONS))
+    braced = F.filter(braced_functions(c), lambda n: ~n.isin(*NOT_BRACED_FUNCTIONS))
     known = sources.withColumn("__code", F.coalesce(F.col(code), F.lit("")))
     known = hold(known, {"language": CD.language(c)})
     read = hold(
@@ -108,7 +138,7 @@ def with_structure(sources: DataFrame, code: str = "code") -> DataFrame:
             "__parents": F.when(python, F.transform(_all(c, PYTHON_TYPE, 2), lambda b: _named(b, "object"))).otherwise(extended),
             "__structs": F.when(c_like, F.concat(_all(c, STRUCT_ALIAS, 2), _all(c, PLAIN_STRUCT))).otherwise(_none()),
             "__functions": F.when(python, _all(c, PYTHON_FUNCTION)).otherwise(F.concat(_all(c, KEYWORD_FUNCTION), braced)),
-            "__c": F.when(c_like, F.filter(_all(c, C_FUNCTION, 2), lambda n: ~n.isin(*NOT_C_FUNCTIONS))).otherwise(_none()),
+            "__c": F.when(c_like, F.filter(c_functions(c), lambda n: ~n.isin(*NOT_C_FUNCTIONS))).otherwise(_none()),
             "__methods": F.when(python, python_methods(c)).otherwise(_none(LINKS)),
         },
     )
@@ -122,13 +152,15 @@ def with_structure(sources: DataFrame, code: str = "code") -> DataFrame:
         },
         [x for x in read.columns if x not in ("__names", "__parents", "__structs", "__functions", "__code")],
     )
+    found = hold(found, {"__last": F.reverse("__declared"), "__lows": F.transform("types", F.lower)})
+    found = hold(found, {"__owners": F.transform("__last", lambda d: d["n"])})
     bases = F.transform(
-        F.array_distinct(F.transform("__declared", lambda d: d["n"])),
-        lambda n: F.struct(n.alias("owner"), F.element_at(F.filter("__declared", lambda d: d["n"] == n), -1)["p"].alias("parents")),
+        F.array_distinct(F.reverse("__owners")),
+        lambda n: F.struct(n.alias("owner"), F.get("__last", (F.array_position("__owners", n) - 1).cast("int"))["p"].alias("parents")),
     )
-    by_name = F.transform(F.array_distinct("__c"), lambda f: F.struct(owned(f, F.col("types")).alias("owner"), f.alias("name")))
+    by_name = F.transform(F.array_distinct("__c"), lambda f: F.struct(owned(f, F.col("types"), F.col("__lows")).alias("owner"), f.alias("name")))
     methods = F.concat("__methods", F.filter(by_name, lambda m: m["owner"].isNotNull()))
-    return hold(found, {"bases": bases, "methods": methods}).drop("__declared", "__c", "__methods")
+    return hold(found, {"bases": bases, "methods": methods}).drop("__declared", "__last", "__lows", "__owners", "__c", "__methods")
 
 
 def with_facts(sources: DataFrame) -> DataFrame:
