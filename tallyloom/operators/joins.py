@@ -70,9 +70,12 @@ def golden_compare(expected: DataFrame, actual: DataFrame, case: str) -> DataFra
     """Language match and missing classes per case."""
     joined = expected.join(actual, case, "left")
     low = F.array_distinct(F.transform(F.coalesce("actual_classes", F.array().cast("array<string>")), F.lower))
-    joined = hold(joined, {"__low": low})
-    joined = hold(joined, {"__known": F.map_from_arrays("__low", F.transform("__low", lambda x: F.lit(True)))})
-    missing = F.filter("expected_classes", lambda c: ~F.map_contains_key("__known", F.lower(c)))
+    joined = hold(joined, {"__low": low, "__wanted": F.transform("expected_classes", F.lower)})
+    # one hash pass; only where some are there and some are not is each looked up among the latter
+    joined = hold(joined, {"__lost": F.array_except("__wanted", F.col("__low"))})
+    none = F.size(F.array_intersect("__wanted", F.col("__low"))) == 0
+    some = F.filter("expected_classes", lambda c: F.array_contains("__lost", F.lower(c)))
+    missing = F.when(F.size("__lost") == 0, F.slice("expected_classes", 1, 0)).when(none, F.filter("expected_classes", lambda c: c.isNotNull())).otherwise(some)
     joined = hold(joined, {"__missing": missing})
     missing = F.col("__missing")
     return joined.select(

@@ -136,7 +136,6 @@ def with_edges(diagrams: DataFrame, names: str) -> DataFrame:
     """Add ``edges``, the relationship edges of ``plantuml_code`` between the ``names`` of the row, in order."""
     kept = list(diagrams.columns)
     known = hold(diagrams, {"lines": X.lines(F.coalesce("plantuml_code", F.lit(""))), "known": F.array_distinct(F.coalesce(names, F.array().cast("array<string>")))})
-    known = hold(known, {"known": F.map_from_arrays("known", F.transform("known", lambda x: F.lit(True)))}, [*kept, "lines"])
     # plain searches first: the pattern only runs on lines that can hold an edge, and its groups
     # are taken from the short match
     numbered = F.transform("lines", lambda x, i: F.struct(i.alias("line_no"), x.alias("line")))
@@ -148,16 +147,19 @@ def with_edges(diagrams: DataFrame, names: str) -> DataFrame:
     found = F.transform(
         likely, lambda e: F.struct(e["line_no"].alias("line_no"), F.regexp_extract(e["line"], EDGE, 0).alias("m"))
     )
-    edges = F.filter(
-        F.transform(
-            F.filter(found, lambda e: e["m"] != ""),
-            lambda e: F.struct(
-                e["line_no"].alias("line_no"), F.regexp_extract(e["m"], EDGE, 1).alias("a"),
-                F.regexp_extract(e["m"], EDGE, 2).alias("op"), F.regexp_extract(e["m"], EDGE, 3).alias("b"),
-            ),
+    edges = F.transform(
+        F.filter(found, lambda e: e["m"] != ""),
+        lambda e: F.struct(
+            e["line_no"].alias("line_no"), F.regexp_extract(e["m"], EDGE, 1).alias("a"),
+            F.regexp_extract(e["m"], EDGE, 2).alias("op"), F.regexp_extract(e["m"], EDGE, 3).alias("b"),
         ),
-        lambda e: F.map_contains_key("known", e["a"]) & F.map_contains_key("known", e["b"]),
     )
+    known = hold(known, {"edges": edges}, [*kept, "known"])
+    # one hash pass tells the ends that are no names; only where there are such is each edge looked at
+    ends = F.flatten(F.transform("edges", lambda e: F.array(e["a"], e["b"])))
+    known = hold(known, {"strange": F.array_except(ends, F.col("known"))}, [*kept, "edges"])
+    inside = F.filter("edges", lambda e: ~F.array_contains("strange", e["a"]) & ~F.array_contains("strange", e["b"]))
+    edges = F.when(F.size("strange") > 0, inside).otherwise(F.col("edges"))
     def turned(e: Column) -> Column:
         down, up = e["op"].isin("<|--", "<|.."), e["op"].isin("--|>", "..|>")
         return F.struct(
@@ -357,23 +359,30 @@ def component_messages(code: Column) -> Column:
 
 def flowchart_messages(code: Column) -> Column:
     """L4: the flowchart rules."""
-    body = F.regexp_replace(code, r"(?i)@startuml|@enduml", "")
-    step = _found(body, r"(?md)^\s*:[^;\n]+;")
-    start = _found(body, r"(?imd)^\s*start\s*$")
-    stop = _found(body, r"(?imd)^\s*(stop|end)\s*$")
-    active = start | step | stop | F.contains(F.lower(body), F.lit("endif"))
-    shapes = _found(body, r"(?md)^\s*class\s+\w+") | _found(body, r"(?md)^\s*object\s+\w+")
-    return _messages(
-        [
-            (
-                "Flowchart looks like a structural UML diagram; use activity syntax (start / :Step; / if / stop)",
-                shapes & ~active,
-            ),
-            ("Flowchart has no activity steps (:Step;) or start", ~step & ~start),
-            ("Flowchart has start but missing stop/end", start & ~stop),
-            ("Flowchart steps should not use class-style --> arrows", active & _found(body, r"(?md)^\s*:\w+.*-->\s*\w+")),
-        ]
-    )
+    def signs(body: Column) -> Column:
+        return F.struct(
+            _found(body, r"(?md)^\s*:[^;\n]+;").alias("step"), _found(body, r"(?imd)^\s*start\s*$").alias("start"),
+            _found(body, r"(?imd)^\s*(stop|end)\s*$").alias("stop"), F.contains(F.lower(body), F.lit("endif")).alias("endif"),
+            (_found(body, r"(?md)^\s*class\s+\w+") | _found(body, r"(?md)^\s*object\s+\w+")).alias("shapes"),
+            # the pattern is for lines that have an arrow
+            (F.contains(body, F.lit("-->")) & _found(body, r"(?md)^\s*:\w+.*-->\s*\w+")).alias("arrow"),
+        )
+
+    def messages(s: Column) -> Column:
+        active = s["start"] | s["step"] | s["stop"] | s["endif"]
+        return _messages(
+            [
+                (
+                    "Flowchart looks like a structural UML diagram; use activity syntax (start / :Step; / if / stop)",
+                    s["shapes"] & ~active,
+                ),
+                ("Flowchart has no activity steps (:Step;) or start", ~s["step"] & ~s["start"]),
+                ("Flowchart has start but missing stop/end", s["start"] & ~s["stop"]),
+                ("Flowchart steps should not use class-style --> arrows", active & s["arrow"]),
+            ]
+        )
+
+    return X.once(X.once(F.regexp_replace(code, r"(?i)@startuml|@enduml", ""), signs), messages)
 
 
 def structure_messages(body: Column, kind: Column) -> Column:
@@ -490,7 +499,7 @@ def keyed_lines(lines: Column) -> Column:
             i.alias("i"), line.alias("line"),
         )
 
-    return F.array_sort(F.transform(lines, key))
+    return F.sort_array(F.transform(lines, key))  # array_sort would run a lambda per comparison
 
 
 def unrepeated(ordered: Column) -> Column:
@@ -503,7 +512,7 @@ def unrepeated(ordered: Column) -> Column:
             (x["i"].isNotNull() & (before["key"].isNull() | (before["key"] != x["key"]))).alias("first"),
         ),
     )
-    return F.transform(F.array_sort(F.filter(marked, lambda x: x["first"])), lambda x: x["line"])
+    return F.transform(F.sort_array(F.filter(marked, lambda x: x["first"])), lambda x: x["line"])
 
 
 def is_unsafe(line: Column) -> Column:

@@ -204,7 +204,7 @@ def names_expr(duck: bool) -> str:
     if duck:
         words = f"list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z]{{{WORDS},}}')))"
         return f"list_transform({words}, lambda x: concat(upper(substr(x, 1, 1)), substr(x, 2)))"
-    words = f"array_sort(array_distinct(regexp_extract_all(lower(text), '([a-z]{{{WORDS},}})', 1)))"
+    words = f"sort_array(array_distinct(regexp_extract_all(lower(text), '([a-z]{{{WORDS},}})', 1)))"
     return f"transform({words}, x -> concat(upper(substr(x, 1, 1)), substr(x, 2)))"
 
 
