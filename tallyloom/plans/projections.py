@@ -269,15 +269,18 @@ def _(t):
 )
 def _(t):
     from ..operators.structure import inferred_type
+    from ..session import checkpointed
 
+    # every text is read once: the modes resolve the few inferred types, counted
     rows = t.diagrams.select(inferred_type(F.col("plantuml_code")).alias("inferred_type"))
+    rows = checkpointed(rows.groupBy("inferred_type").agg(F.count("*").alias("rows")))
     out = None
     for mode, df in [
         ("allow", A.resolve_type(rows, None, ["class", "object", "unknown"])),
         ("forced", A.resolve_type(rows, "class", None, strict=True)),
         ("free", A.resolve_type(rows, None, None)),
     ]:
-        n = df.groupBy("diagram_type").agg(F.count("*").alias("n")).withColumn("mode", F.lit(mode))
+        n = df.groupBy("diagram_type").agg(F.sum("rows").alias("n")).withColumn("mode", F.lit(mode))
         out = n if out is None else out.unionByName(n)
     return out
 
