@@ -182,16 +182,19 @@ def _(t):
     return G.source_yield(raw, raw.where("chars >= 800"), "source_dataset")
 
 
-def _read_back(t, fmt):
+def _exported(t, fmt: str, rows):
+    """The path ``rows`` are exported to, and the format they have there."""
     path = scratch_dir(t.spark, fmt)
-    rows = t.scored.select("artifact_id", "diagram_type", "plantuml_code", "majority_accepted")
-    done = K.export_dataset(rows, path, fmt)
+    return path, K.export_dataset(rows, path, fmt)
+
+
+def _read_back(t, fmt, path, done, schema):
     if done == "parquet":
         back = t.spark.read.parquet(path)
     elif done == "csv":
-        back = t.spark.read.schema(rows.schema).option("header", True).option("escape", '"').option("multiLine", True).csv(path)
+        back = t.spark.read.schema(schema).option("header", True).option("escape", '"').option("multiLine", True).csv(path)
     else:
-        back = t.spark.read.schema(rows.schema).json(path)
+        back = t.spark.read.schema(schema).json(path)
     return back.agg(
         F.count("*").alias("n"), F.count_if("majority_accepted").alias("majority"), F.count_distinct(F.md5("plantuml_code")).alias("texts")
     ).withColumn("format", F.lit(fmt))
@@ -202,9 +205,13 @@ _EXPORT = "SELECT '{f}' AS format, count(*) AS n, count(*) FILTER (WHERE majorit
 
 @query("a11_export", " UNION ALL ".join(_EXPORT.format(f=f) for f in ("jsonl", "csv", "parquet", "xml")), "scored")
 def _(t):
-    out = None
+    rows = t.scored.select("artifact_id", "diagram_type", "plantuml_code", "majority_accepted")
+    # the join of whole texts with their scores runs once; the other formats are written from its rows
+    table, done = _exported(t, "parquet", rows)
+    stored, out = t.spark.read.parquet(table), None
     for fmt in ("jsonl", "csv", "parquet", "xml"):
-        n = _read_back(t, fmt)
+        path, kind = (table, done) if fmt == "parquet" else _exported(t, fmt, stored)
+        n = _read_back(t, fmt, path, kind, rows.schema)
         out = n if out is None else out.unionByName(n)
     return out
 
