@@ -106,3 +106,47 @@ def test_exports_join_once(spark, tmp_path, monkeypatch):
     rows = QUERIES["a11_export"](spark, _documents(spark, tmp_path)).collect()
     assert {(r["format"], r["n"], r["texts"]) for r in rows} == {(f, 29, 29) for f in ("jsonl", "csv", "parquet", "xml")}
     assert sum("Join" in p for p in plans) == 1 and len(plans) == 4
+
+
+def odd_texts(n=400):
+    import random
+
+    pick = random.Random(11)
+    parts = [
+        "@startuml", "@enduml", "@StartUML", "@EndUml", "@end", "uml", "start", "@", "\n", "\n", "\n", " ", "\t", "\r", "title a", "skinparam x", "Title", "hide all",
+        "!theme b", "left to right direction", "class A", "abcdefg", "abcdefgh", "a b c d e f", "{", "}", "```", "```plantuml\n", "é", "İ", "K", "-->", "x",
+    ]
+    return ["".join(pick.choice(parts) for _ in range(pick.randint(0, 14))) for _ in range(n)] + ["@startuml\n" + "".join(pick.choice(parts[8:]) for _ in range(6)) + "\n@enduml" for _ in range(n)]
+
+
+def test_blocks_and_tags_are_those_of_the_patterns(spark):
+    df = spark.createDataFrame([(t,) for t in odd_texts()], "t string")
+    s = F.col("t")
+    bare = F.regexp_replace(s, r"(?i)@startuml|@enduml", "")
+    block = F.regexp_extract(s, X.BLOCK, 1)
+    told = df.select("t", bare.alias("bare"), X.without_tags(s).alias("bare2"), F.when(block != "", block).otherwise(s).alias("block"), X._first_block(s).alias("block2"),
+                     X.strip(s).alias("strip"), X.trimmed(s).alias("strip2"), F.contains(F.lower(s), F.lit("@enduml")).alias("close"), X.has_close_tag(s).alias("close2"))
+    rows = told.collect()
+    assert sum(r["t"].count("@") == 2 and r["t"].startswith("@startuml") and r["t"].endswith("@enduml") for r in rows) > 100
+    for r in rows:
+        assert (r["bare"], r["block"], r["strip"], r["close"]) == (r["bare2"], r["block2"], r["strip2"], r["close2"]), r["t"]
+
+
+def test_bodies_are_short_where_the_patterns_leave_little(spark):
+    df = spark.createDataFrame([(t,) for t in odd_texts()], "t string")
+    body = F.regexp_replace("t", r"(?imd)@startuml|@enduml|^\s*title\b[^\n]*$|^\s*skinparam\b[^\n]*$", "")
+    body = F.regexp_replace(body, r"(?md)^\s*(left to right direction|hide\b.*|!theme\b.*)$", "")
+    said = F.array_contains(ST.syntax_messages(F.col("t")), "Diagram body is empty or incomplete")
+    rows = df.select("t", (F.length(X.strip(body)) < 8).alias("short"), said.alias("said"), F.rlike("t", F.lit(ST.BODY_LINE)).alias("told")).collect()
+    assert sum(r["told"] for r in rows) > 100 and sum(r["short"] for r in rows) > 50
+    for r in rows:
+        assert r["short"] == r["said"], r["t"]
+
+
+def test_stems_lose_role_words_before_a_line_break_too(spark):
+    words = ["cartservices", "CartService", "itemapi", "api", "storestores", "cartservice\n", "cartapi ", "modules\r\n", "Orders", "", "cartpackages", "bigitem"]
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    low = F.lower("w")
+    cut = F.regexp_replace(low, r"(service|api|store|repository|module|package|item)s?$", "")
+    for r in df.select("w", F.when(F.length(cut) >= 5, cut).otherwise(low).alias("want"), X.stem(F.col("w")).alias("got")).collect():
+        assert r["want"] == r["got"], r["w"]
